@@ -47,7 +47,8 @@ def find_exponent(tokens: dict, target_entropy: float | None, most_epochs: float
     """The exponent in 0..1. target_entropy: as a part of the largest possible one, that of equal weights.
 
     Entropy falls and repetition of the rarest source falls as the exponent rises, so both are bisected. A limit on
-    repetition goes before the target; a limit that even exponent 1 exceeds gives 1.
+    repetition goes before the target; a limit that even exponent 1 exceeds gives 1. Without a target, weights are as
+    even as the limit allows; without either they are the shares.
     """
 
     def highest(holds) -> float:
@@ -68,7 +69,7 @@ def find_exponent(tokens: dict, target_entropy: float | None, most_epochs: float
             low, high = (low, mid) if holds(mid) else (mid, high)
         return high
 
-    exponent = 1.0
+    exponent = 1.0 if most_epochs is None else 0.0
     if target_entropy is not None and len(tokens) > 1:
         goal = target_entropy * math.log(len(tokens))
         exponent = highest(lambda a: entropy(weights_at(tokens, a)) >= goal)
