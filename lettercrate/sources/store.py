@@ -50,9 +50,10 @@ def load_config(spark: SparkSession, path: str) -> Config:
     return Config.of_rows([tuple(r) for r in spark.read.schema("key string, value string").parquet(f"{path}/meta").collect()])
 
 
-def write_emails(emails: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder a year, the first drill-down level, so that choosing a year prunes the rest."""
-    emails.select([f.name for f in EMAILS.fields]).write.mode(mode).partitionBy("year").parquet(f"{path}/emails")
+def write_emails(emails: DataFrame, path: str, mode: str = "overwrite", part: str = "") -> None:
+    """One folder a year, the first drill-down level, so that choosing a year prunes the rest; below the folder ``part``
+    (such as "batch=3"), if one is named, which is all that is overwritten then."""
+    emails.select([f.name for f in EMAILS.fields]).write.mode(mode).partitionBy("year").parquet(f"{path}/emails/{part}".rstrip("/"))
 
 
 def open_emails(spark: SparkSession, path: str) -> DataFrame:

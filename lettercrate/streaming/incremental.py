@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettercrate.sources.parse import failed, good, parse_archive
-from lettercrate.sources.store import write_emails
+from lettercrate.sources.store import open_emails, write_emails
 
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -25,8 +25,8 @@ def import_new(spark: SparkSession, folder: str, database_path: str, sender_emai
     def store(batch: DataFrame, number: int) -> None:
         parsed = parse_archive(batch, list(sender_emails)).persist()
         try:
-            write_emails(good(parsed), f"{database_path}/batch={number}")
-            failed(parsed).write.mode("overwrite").parquet(f"{database_path}/batch={number}/errors")
+            write_emails(good(parsed), database_path, part=f"batch={number}")
+            failed(parsed).write.mode("overwrite").parquet(f"{database_path}/errors/batch={number}")
         finally:
             parsed.unpersist()
 
@@ -36,4 +36,4 @@ def import_new(spark: SparkSession, folder: str, database_path: str, sender_emai
 
 def open_imported(spark: SparkSession, database_path: str) -> DataFrame:
     """The emails of all batches."""
-    return spark.read.option("basePath", database_path).parquet(f"{database_path}/batch=*/emails").drop("batch")
+    return open_emails(spark, database_path)

@@ -1,0 +1,369 @@
+"""Readers, parser, store, filters, queries and drill-down on archives that the tests write."""
+
+from __future__ import annotations
+
+import gzip
+import json
+from datetime import datetime
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lettercrate.functions import filters as P
+from lettercrate.operators import query as Q
+from lettercrate.plans.drill import DrillDown
+from lettercrate.plans.fields import CATALOG, GROUPABLE, FieldMap, join_tags, split_tags, title
+from lettercrate.sources import archives, store
+from lettercrate.sources.parse import failed, good, parse_archive
+from lettercrate.sources.synthetic import synthetic_mails
+from lettercrate.streaming.incremental import import_new, open_imported
+
+
+def mail(**headers) -> str:
+    return "".join(f"{k.replace('_', '-')}: {v}\n" for k, v in headers.items()) + "\nbody line\nSubject: not a header\n"
+
+
+def raw(spark, *messages, error=None):
+    rows = [(f"file:/x/{i}.eml", bytearray(m if isinstance(m, bytes) else m.encode()), ["t"], True, "eml") for i, m in enumerate(messages)]
+    return spark.createDataFrame(rows, "path string, content binary, path_tags array<string>, seen_hint boolean, format string")
+
+
+BASE = {"From": "Ann Bee <ann@b.example>", "Date": "Fri, 9 Jun 2006 00:44:16 -0700"}
+
+
+def parsed(spark, *messages, **kw):
+    return sorted(parse_archive(raw(spark, *messages), **kw).collect(), key=lambda r: r.path)
+
+
+def test_headers(spark):
+    r = parsed(spark, mail(**BASE, Subject="hello", To="Cat <c@d.example>, e@f.example"))[0]
+    assert (r.sender_name, r.sender_local_part, r.sender_domain, r.subject) == ("Ann Bee", "ann", "b.example", "hello")
+    assert (r.year, r.month, r.day) == (2006, 6, 9) and r.datetime == datetime(2006, 6, 9, 0, 44, 16)
+    assert r.datetime_utc == datetime(2006, 6, 9, 7, 44, 16) and r.timestamp == 1149813856
+    assert (r.to_count, r.to_group, r.to_name, r.to_address) == (2, None, "Cat", "c@d.example")
+    assert (r.is_reply, r.is_send, r.tags, r.is_seen, r.error) == (False, False, ["t"], True, None)
+
+
+def test_sender_goes_before_from_and_must_be_good(spark):
+    a, b, c = parsed(spark, mail(**BASE, Sender="s@t.example"), mail(**BASE, Sender="nonsense"), mail(Date=BASE["Date"]))
+    assert a.sender_domain == "t.example"
+    assert b.error and c.error
+
+
+def test_awkward_headers(spark):
+    messages = [
+        "From: A (zzz)\n      U\n      Thor\n      <a.u.thor@example.com> (Comment)\nDate: Fri, 9 Jun 2006 00:44:16 -0700\n\nx",
+        mail(**BASE | {"From": "<bda@mnsspb.example> (David)"}),
+        mail(**BASE | {"From": "=?ISO-8859-1?Q?Keld_J=F8rn?= <keld@x.example>"}, Subject="=?UTF-8?B?w6ljbGFpcg==?=\n =?UTF-8?Q?_bon?="),
+        (mail(**BASE, Subject="caf\xe9")).encode("latin-1"),
+        mail(**BASE).replace("\n", "\r\n"),
+        mail(**BASE, To="Team: Ann <a@b.example>, b@c.example;, d@e.example"),
+        mail(**BASE, To="undisclosed"),
+        mail(**BASE, Subject="=?no-such-charset?B?AAAA?="),
+    ]
+    r = parsed(spark, *messages)
+    assert [x.error for x in r] == [None] * len(messages)
+    assert r[0].sender_local_part == "a.u.thor" and r[0].sender_name.startswith("A U Thor")
+    assert (r[1].sender_local_part, r[1].sender_domain) == ("bda", "mnsspb.example")
+    assert r[2].sender_name == "Keld Jørn" and r[2].subject == "éclair bon"
+    assert r[3].subject == "café" and r[4].sender_domain == "b.example"
+    assert (r[5].to_count, r[5].to_group, r[5].to_name, r[5].to_address) == (3, "Team", "Ann", "a@b.example")
+    assert (r[6].to_count, r[6].to_group, r[6].to_address) == (0, None, None)
+
+
+def test_bad_messages_become_errors(spark):
+    good_one = mail(**BASE)
+    bad = ["", "\n\n", mail(**BASE | {"Date": "Fri, 30 Feb 2001 10:00:00"}), mail(**BASE | {"Date": "soon"}), mail(From="a@b.example"), "no headers at all"]
+    rows = parse_archive(raw(spark, good_one, *bad))
+    assert good(rows).count() == 1 and "error" not in good(rows).columns
+    assert failed(rows).columns == ["path", "stage", "message"] and failed(rows).count() == len(bad)
+    assert parse_archive(raw(spark, good_one).where("false")).count() == 0
+
+
+def test_replies_and_sent(spark):
+    messages = [mail(**BASE), mail(**BASE, In_Reply_To="<id@x>"), mail(**BASE, Reply_To="r@s.example"), mail(**BASE, Reply_To="bad")]
+    assert [r.is_reply for r in parsed(spark, *messages)] == [False, True, True, False]
+    assert [r.is_reply for r in parsed(spark, *messages, compat_reply=True)] == [False, False, True, False]
+    assert [r.is_send for r in parsed(spark, messages[0], sender_emails=["ann@b.example"])] == [True]
+    assert [r.is_send for r in parsed(spark, messages[0], sender_emails=["Ann@b.example"])] == [False]
+    members = spark.createDataFrame([("ann@b.example",), ("ann@b.example",), (None,)], "address string")
+    assert [r.is_send for r in parsed(spark, messages[0], sender_emails=members)] == [True]
+
+
+# --- archives
+
+
+def test_mbox(spark, tmp_path):
+    (tmp_path / "INBOX.mbox").write_text(
+        "    \n\t\n" + "From nobody Mon Sep 17 00:00:00 2001\n" + mail(**BASE, Subject="one")
+        + "From the body this line comes\nSubject: fake\n" + "From a@b Mon Sep 17 00:00:00 2001\n" + mail(**BASE, Subject="no blank line before")
+        + "\nFrom x Mon Sep 17 00:00:00 2002\n" + mail(**BASE, Subject="last")
+    )
+    (tmp_path / "SENT.mbox").write_bytes(("From z Mon Sep 17 00:00:00 2003\n" + mail(**BASE, Subject="first line")).replace("\n", "\r\n").encode())
+    (tmp_path / "empty.mbox").write_text("")
+    (tmp_path / "notes.txt").write_text("From a 2001\n" + mail(**BASE))
+    rows = good(parse_archive(archives.read_archive(spark, str(tmp_path), "mbox"))).collect()
+    assert sorted((r.subject, r.tags[0]) for r in rows) == [("first line", "SENT"), ("last", "INBOX"), ("no blank line before", "INBOX"), ("one", "INBOX")]
+
+
+def test_large_mbox_is_split(spark, tmp_path):
+    one = "From nobody Mon Sep 17 00:00:00 2001\n" + mail(**BASE, Subject="x" * 200) + "\n"
+    (tmp_path / "big.mbox").write_text(one * 3000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = archives.read_mbox(spark, str(tmp_path))
+        assert df.select(F.spark_partition_id()).distinct().count() > 3
+        assert good(parse_archive(df)).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_apple(spark, tmp_path):
+    box = tmp_path / "Work.mbox" / "Messages"
+    box.mkdir(parents=True)
+    for name, flags, tag in (("1", 8590195713, "integer"), ("2", 8590195712, "integer"), ("3", 1, "real")):
+        body = mail(**BASE, Subject=f"é {name}").encode()
+        (box / f"{name}.emlx").write_bytes(f"{len(body)}      \n".encode() + body + f"<?xml?><plist><dict><key>flags</key>\n\t<{tag}>{flags}</{tag}></dict></plist>".encode())
+    (tmp_path / "stray.emlx").write_text("5\nhello")
+    rows = sorted(good(parse_archive(archives.read_archive(spark, str(tmp_path), "apple"))).collect(), key=lambda r: r.subject)
+    assert [(r.subject, r.is_seen, r.tags) for r in rows] == [("é 1", True, ["Work"]), ("é 2", False, ["Work"]), ("é 3", True, ["Work"])]
+
+
+def test_maildir(spark, tmp_path):
+    root = tmp_path / "Mail (old)"
+    for place in ("cur/1:2,S", "cur/2:2,RF", "new/3", ".Work/cur/4:2,FRS", ".Work/.Deep/new/5", "plain/cur/6:2,S", "tmp/7", "cur/.hidden"):
+        f = root / place
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(mail(**BASE, Subject=place))
+    rows = good(parse_archive(archives.read_archive(spark, str(root), "maildir"))).collect()
+    assert {r.subject: r.is_seen for r in rows} == {"cur/1:2,S": True, "cur/2:2,RF": False, "new/3": False, ".Work/cur/4:2,FRS": True, ".Work/.Deep/new/5": False}
+    assert all(r.tags == [] for r in rows)
+
+
+def test_gmail(spark, tmp_path):
+    box = tmp_path / "db" / "2024-01"
+    box.mkdir(parents=True)
+    note = {"msg_id": "1", "subject": "s", "labels": ["\\Inbox", "a|b"], "flags": ["\\Seen"], "internal_date": 5}
+    (box / "a.eml").write_text(mail(**BASE, Subject="a"))
+    (box / "a.meta").write_text(json.dumps(note))
+    (box / "b.eml.gz").write_bytes(gzip.compress(mail(**BASE, Subject="b").encode()))
+    (box / "b.meta").write_text(json.dumps(note | {"labels": [], "flags": []}, indent=1))
+    (box / "c.eml").write_text(mail(**BASE, Subject="c"))
+    (box / "d.eml").write_text(mail(**BASE, Subject="d"))
+    (box / "d.meta").write_text("{broken")
+    (box / "e.eml.gz").write_text("not gzip")
+    rows = parse_archive(archives.read_archive(spark, str(tmp_path), "gmailvault"))
+    assert {r.subject: (r.tags, r.is_seen) for r in good(rows).collect()} == {"a": (["\\Inbox", "a|b"], True), "b": ([], False), "c": ([], None)}
+    assert {r.path.rsplit("/", 1)[1]: r.stage for r in failed(rows).collect()} == {"d.eml": "meta", "e.eml.gz": "parse"}
+
+
+def test_formats_can_be_added(spark):
+    archives.register_format("made", lambda s, path: raw(s, mail(**BASE)), "Made up")
+    try:
+        assert good(parse_archive(archives.read_archive(spark, "x", "made"))).count() == 1
+    finally:
+        del archives.FORMATS["made"], archives.TITLES["made"]
+    with pytest.raises(ValueError):
+        archives.read_archive(spark, "x", "made")
+
+
+# --- the store
+
+
+def test_import_store_and_settings(spark, tmp_path):
+    box = tmp_path / "in"
+    box.mkdir()
+    dates = ["Fri, 9 Jun 2006 00:44:16 -0700", "Fri, 10 Aug 2007 10:00:00 +0000", "nonsense"]
+    (box / "A.mbox").write_text("\n".join("From x Mon Sep 17 00:00:00 2001\n" + mail(**BASE | {"Date": d}) for d in dates))
+    config = store.Config(str(tmp_path / "db"), str(box), "mbox", ("ann@b.example", "z@y.example"))
+    assert store.import_archive(spark, config) == {"read": 3, "written": 2, "failed": 1}
+    emails = store.open_emails(spark, config.database_path)
+    assert emails.columns[0] == "path" and {r.year for r in emails.collect()} == {2006, 2007} and emails.where("is_send").count() == 2
+    assert store.open_errors(spark, config.database_path).count() == 1
+    assert store.load_config(spark, config.database_path) == config
+    plan = DrillDown(emails).push(2006).segments()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    with pytest.raises(KeyError):
+        store.Config.of_rows([("format", '"mbox"')])
+    with pytest.raises(ValueError):
+        store.Config("a", "b", "nope")
+
+
+def test_incremental_import_sees_new_files_once(spark, tmp_path):
+    box, db = tmp_path / "in", str(tmp_path / "db")
+    box.mkdir()
+    (box / "1.eml").write_text(mail(**BASE, Subject="1"))
+    import_new(spark, str(box), db)
+    import_new(spark, str(box), db)
+    assert open_imported(spark, db).count() == 1
+    (box / "2.eml").write_text(mail(**BASE, Subject="2"))
+    import_new(spark, str(box), db)
+    assert sorted(r.subject for r in open_imported(spark, db).collect()) == ["1", "2"]
+
+
+# --- filters and queries
+
+
+@pytest.fixture(scope="module")
+def mails(spark):
+    rows = [
+        (f"p{i:03d}", ["a.example", "b.example", "", None, "Ä_x"][i % 5], ["ann", "bob_1", "bobx1"][i % 3], 2000 + i % 4, 1 + i % 12, 1 + i % 28, i * 86400, f"Re: Subject {i} 50%\\",
+         ["grp", None, ""][i % 3], i % 2 == 0, i % 7 == 0, [None, True, False][i % 3], [["x"], ["x", "y"], [], ["", "z"], None][i % 5])
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "path string, sender_domain string, sender_local_part string, year int, month int, day int, timestamp bigint, subject string, to_group string, is_reply boolean, is_send boolean, is_seen boolean, tags array<string>",
+    )
+    return df.withColumn("datetime", F.timestamp_seconds("timestamp")).cache()
+
+
+def paths(df):
+    return sorted(r.path for r in df.collect())
+
+
+def test_like_has_no_escape_and_is_case_blind(mails):
+    got = lambda *p: P.where(mails, p).count()
+    assert got(P.like("sender_local_part", "BOB_1")) == sum(i % 3 > 0 for i in range(200))
+    assert got(P.like("subject", "%50%\\")) == 200  # a backslash is itself
+    assert got(P.like("year", "200_")) == 200 and got(P.like("year", 2001)) == 50
+    assert got(P.not_like("sender_domain", "a.%")) == 120  # nulls pass neither
+    assert got(P.contains("subject", "0%\\")) == 200 and got(P.contains("subject", "T_1")) == 0
+    assert got(P.contains("subject", "T_1", wildcards=True)) > 0
+    assert got(P.equals("year", 2001), P.equals("is_send", True)) == sum(i % 4 == 1 and i % 7 == 0 for i in range(200))
+    assert got() == 200 and mails.where(P.all_of([])).count() == 200
+
+
+def test_tags_and_form(mails):
+    assert P.where(mails, [P.has_tag("x")]).count() == 80 and P.where(mails, [P.has_tag("y", "z")]).count() == 80
+    assert P.FilterState().predicates() and not P.FilterState(is_send=None).predicates()
+    form = P.FilterState(is_send=None, is_seen=True, is_reply=False, tag="x", subject="SUBJECT 1")
+    want = [f"p{i:03d}" for i in range(200) if i % 3 == 1 and i % 2 and i % 5 < 2 and f"Subject {i}".startswith("Subject 1")]
+    assert paths(P.where(mails, form.predicates())) == want
+    assert {r.tag for r in Q.known_tags(mails).collect()} == {"x", "y", "z"}
+    assert {r.tag: r.amount for r in Q.count_per_tag(mails).collect()} == {"x": 80, "y": 40, "z": 40}
+    assert Q.has_tags_has_seen(mails).first() == (True, True)
+    assert Q.has_tags_has_seen(mails.where("false")).first() == (False, False)
+
+
+@pytest.mark.parametrize(("name", "value"), [("year", "2001"), ("year", True), ("subject", 5), ("is_send", 1), ("year", None), ("subject", ["a"])])
+def test_literals_are_checked(name, value):
+    with pytest.raises(TypeError):
+        P.literal(name, value)
+
+
+def test_catalog():
+    assert len(GROUPABLE) == 9 and title("sender_local_part") == "Address" and CATALOG["tags"].kind == "tags"
+
+
+def test_tags_round_trip(spark):
+    df = spark.createDataFrame([(["a|b", "c"],), ([],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(split_tags(join_tags(F.col("t")))).collect()] == [["a|b", "c"], [], []]
+
+
+def test_null_and_empty_are_one_group(mails):
+    got = {r.sender_domain: r.amount for r in Q.segments(mails, "sender_domain").collect()}
+    assert got == {"a.example": 40, "b.example": 40, "": 80, "Ä_x": 40}
+    place = DrillDown(mails, levels=("sender_domain",), defaults=("sender_domain", "year"))
+    assert place.push("").count().first()[0] == 80 and place.push("Ä_x").count().first()[0] == 40
+
+
+def test_drill_down_scenario(mails):
+    start = DrillDown(mails)
+    assert start.segments().count() == 4 and start.can_aggregate_more()
+    second = start.push(2001)
+    assert second.aggregated_by() == [("year", 2001, 0), ("sender_domain", None, 1)]
+    assert second.set_filters(P.equals("is_send", True)).segments().count() < 5 and second.set_filters().filters == ()
+    third = second.push("a.example").push("ann")
+    assert third.levels == ("year", "sender_domain", "sender_local_part", "month")
+    assert third.pop().pop().pop() == start and start.pop() == start
+    assert "year" not in second.aggregation_fields(1) and "sender_domain" in second.aggregation_fields(1)
+    assert second.set_aggregation(1, "to_group").levels == ("year", "to_group")
+    with pytest.raises(ValueError):
+        second.set_aggregation(1, "year")
+    with pytest.raises(IndexError):
+        third.push(1).push(2)
+    assert second.push("b.example").items(0, 5).count() == 5
+    only_send = second.set_filters(P.equals("is_send", True))
+    assert only_send.items(0, 500, include_filters=False).count() == 50 > only_send.items(0, 500).count()
+
+
+def test_drill_down_reaches_the_scan(spark, mails, tmp_path):
+    mails.write.parquet(str(tmp_path / "m"))
+    df = DrillDown(spark.read.parquet(str(tmp_path / "m"))).push(2001).push("").segments()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(year,2001)" in plan and "Or(IsNull(sender_domain),EqualTo(sender_domain,))" in plan
+
+
+def test_segment_limit(mails):
+    grouped = Q.segments(mails.where("path < 'p037'"), "month")
+    rows = sorted(((r.amount, r.month) for r in grouped.collect()), key=lambda x: (-x[0], x[1]))
+    keep = lambda *a: {(r.amount, r.month) for r in Q.segment_limit(grouped, "month", *a).collect()}
+    assert keep(3) == set(rows[-3:]) and keep(3, "largest") == set(rows[:3])
+    assert keep(None) == keep(99) == set(rows) and keep(0) == set()
+    with pytest.raises(ValueError):
+        Q.segment_limit(grouped, "month", -1)
+    assert [r.month for r in Q.by_size(grouped, "month").collect()] == [m for _, m in rows]
+
+
+def test_display(mails):
+    r = Q.mail_list(mails, 0, 2, overscan=1).collect()
+    assert len(r) == 3 and tuple(r[0]) == ("p000", "ann@a.example", "1970-01-01", "Re: Subject 0 50%\\")
+    assert Q.segments(mails, "year").withColumn("amount", F.lit(12345)).select(Q.label("year")).first()[0].endswith(": #12,345")
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(year=st.sampled_from([None, 2000, 2003]), send=st.sampled_from([None, True, False]), size=st.integers(1, 70))
+def test_counts_agree_and_pages_join(mails, year, send, size):
+    predicates = [P.equals(n, v) for n, v in (("year", year), ("is_send", send)) if v is not None]
+    whole = Q.total(mails, predicates).first()[0]
+    assert Q.segment_total(Q.segments(mails, "to_group", predicates)).first()[0] == whole
+    seen = [r.path for a in range(0, whole + size, size) for r in Q.page(mails, ("path",), a, a + size, predicates).collect()]
+    assert seen == [r.path for r in P.where(mails, predicates).orderBy("datetime", "path").collect()]
+
+
+def test_cube_levels_sum_to_their_parents(mails):
+    levels = ("year", "sender_domain", "month")
+    rows = Q.drill_cube(mails, levels).collect()
+    by = {k: {} for k in range(4)}
+    for r in rows:
+        by[r.level][tuple(r[n] for n in levels[: r.level])] = r.amount
+    assert by[0] == {(): 200}
+    for k in range(3):
+        for parent, n in by[k].items():
+            assert n == sum(m for key, m in by[k + 1].items() if key[:k] == parent)
+    free = Q.drill_cube(mails, levels, free_order=True)
+    assert free.groupBy("grouping").agg(F.sum("amount").alias("n")).where("n != 200").count() == 0 and free.select("grouping").distinct().count() == 8
+
+
+def test_share(mails):
+    grouped = mails.groupBy("year", "month").agg(F.count("*").alias("amount"))
+    out = Q.segment_share(grouped, ["year"], "month")
+    for r in out.groupBy("year").agg(F.sum("share").alias("s"), F.max("cumulative_share").alias("c"), F.max("rank").alias("k"), F.count("*").alias("n")).collect():
+        assert r.s == pytest.approx(1) and r.c == pytest.approx(1) and r.k == r.n
+
+
+def test_field_map_serves_other_tables(spark):
+    df = spark.createDataFrame([("u", 1), ("u", 2), (None, 3)], "who string, n int")
+    fields = FieldMap({"sender_domain": "who", "year": lambda: F.col("n") + 2000})
+    assert {tuple(r) for r in Q.segments(df, "sender_domain", fields=fields).collect()} == {("u", 2), ("", 1)}
+    assert DrillDown(df, fields=fields).push(2001).count().first()[0] == 1
+    assert fields.select(df, "year").columns == ["year"]
+
+
+def test_synthetic_mails_follow_their_seed(spark):
+    a = synthetic_mails(spark, 300, seed=1)
+    assert a.exceptAll(synthetic_mails(spark, 300, seed=1).repartition(5)).count() == 0
+    assert a.exceptAll(synthetic_mails(spark, 300, seed=2)).count() > 0
+    per = [r["count"] for r in a.groupBy("sender_local_part").count().collect()]
+    assert len(per) == 300 and 0.2 < sum(n > 1 for n in per) / 300 < 0.4 and all(n == 1 or 6 <= n <= 51 for n in per)
+
+
+def test_entry_points(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).columns == ["year", "amount"]
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
