@@ -1,11 +1,11 @@
 """Quality rules: document counts, and a hashed n-gram likelihood ratio of trusted text to raw text.
 
-Words and pairs of neighbouring words are hashed into ``n_buckets`` buckets. Two multinomials over the buckets are
+Words are hashed into 65,536 buckets and pairs of neighbouring words into ``n_buckets``. Two multinomials over the buckets are
 counted on all documents: one on the trusted documents, one on the raw corpus. A document's score is the mean, over
 its n-grams, of log(p_trusted / p_raw); documents whose score is below ``threshold`` are rejected.
 
 Everything is DataFrame expressions. The two counts are one aggregation over exploded n-grams (combined before the
-shuffle, so a frequent word costs one row a task). The table of ratios has ``n_buckets`` rows whatever the input, so
+shuffle, so a frequent word costs one row a task). The table of ratios has 65,536 + ``n_buckets`` rows at most, so
 it is broadcast. Ratios are whole numbers of millionths, so sums don't depend on the order of rows.
 """
 
@@ -16,27 +16,27 @@ from pyspark.sql import functions as F
 
 from lettercrate.llm.common import WHITE, words_of
 
-N_BUCKETS = 1 << 18
+N_BUCKETS = 1 << 17
 #: In nats an n-gram: junk scores far below this, clean text that merely differs from the trusted documents above it.
 THRESHOLD = -0.33
 SMOOTHING = 5.0
 MICRO = 1_000_000
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _marks(hashes: Column) -> Column:
+    """16 bits of each word's hash: array<smallint>, half the size of the words themselves when shuffled."""
+    return F.transform(hashes, lambda h: F.shiftright(h, 48).cast("smallint"))
 
 
-def _grams(hashes: Column, n_buckets: int) -> Column:
-    """Buckets of the words and of the word pairs."""
-    mask = F.lit(n_buckets - 1).cast("long")
-    one = F.transform(hashes, lambda h: h.bitwiseAND(mask))
-    two = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)).bitwiseAND(mask))
-    return F.concat(one, F.slice(two, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
+def _grams(marks: Column, n_buckets: int) -> Column:
+    """Buckets of the words (the first 65,536) and of the pairs of neighbouring words (the n_buckets after them)."""
+    one = F.transform(marks, lambda x: x.cast("int") + 32768)
+    two = F.transform(marks, lambda x, i: F.xxhash64(x, F.get(marks, i + 1)).bitwiseAND(F.lit(n_buckets - 1).cast("long")).cast("int") + 65536)
+    return F.concat(one, F.slice(two, 1, F.greatest(F.size(marks) - 1, F.lit(0))))
 
 
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and _hashes for the n-grams.
+    """df and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and _marks for the n-grams.
 
     Repeated windows are found inside the row: the hash of each 3-word window, shifted to make room for its place, is
     sorted as a long; neighbours with an equal hash are repeats. No rows are exploded.
@@ -49,7 +49,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
         "n_symbols": (F.char_length(body) - F.char_length(F.regexp_replace(body, "[#*$%&|<>]", ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_hashes": _hashes(F.col("_words")),
+        "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
         "_bits": F.length(F.bin(F.size("_words"))),
     }).drop("_words", "_lines")
 
@@ -74,7 +74,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0).cast("long"),
         lambda total, x: total + x,
     )
-    return df.withColumn("n_repeat_words", covered).drop("_packed", "_bits", "_at")
+    return df.withColumns({"n_repeat_words": covered, "_marks": _marks(F.col("_hashes"))}).drop("_hashes", "_packed", "_bits", "_at")
 
 
 def base_failed() -> Column:
@@ -91,13 +91,14 @@ def ratios(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, smoo
     document every ratio is 0.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
-    rows = rows.select("_trusted", words_of(F.col("text")).alias("_words"))
-    rows = rows.select("_trusted", _hashes(F.col("_words")).alias("_hashes"))
-    grams = rows.select("_trusted", F.explode(_grams(F.col("_hashes"), n_buckets)).alias("bucket"))
+    rows = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
+    rows = rows.select("doc_id", _marks(F.transform("_words", lambda w: F.xxhash64(w))).alias("_marks"))
+    # a merge join whatever the size of the labels: the two sides are shuffled once, at any scale
+    rows = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    grams = rows.select("_trusted", F.explode(_grams(F.col("_marks"), n_buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good"))
     counts = counts.agg(F.collect_list(F.struct("bucket", "raw", "good")).alias("all"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
-    # one row: n_buckets entries at most
+    # one row, with an entry a bucket
     counts = counts.select("n_raw", "n_good", F.explode("all").alias("x")).select("n_raw", "n_good", "x.*")
     # (good + s * n_good / n_raw) / (n_good + ...) over (raw + s) / (n_raw + ...): what is left of the two multinomials
     ratio = F.log((F.col("good") * F.col("n_raw") / F.col("n_good") + smoothing) / (F.col("raw") + smoothing))
@@ -114,7 +115,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n_b
     table = ratios(docs, trusted, n_buckets)
     rows = with_counts(docs.select("doc_id", "text", *carried)).withColumn("_row", F.monotonically_increasing_id())
     keys = ["_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *carried]
-    grams = rows.select(*keys, F.explode_outer(_grams(F.col("_hashes"), n_buckets)).alias("bucket"))
+    grams = rows.select(*keys, F.explode_outer(_grams(F.col("_marks"), n_buckets)).alias("bucket"))
     scored = grams.join(F.broadcast(table), "bucket", "left").groupBy(*keys)
     scored = scored.agg(F.sum("ratio").alias("_sum"), F.count("bucket").alias("n_grams"))
     score = F.when(F.col("n_grams") > 0, F.col("_sum") / F.col("n_grams") / MICRO)
