@@ -1,96 +1,107 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into units: sentences, the longer ones cut again after every ``longest`` words. A span is a run of
-consecutive units with at least ``least_units`` units and ``least_words`` words: from each unit on the shortest such
-run forwards, and up to each unit the shortest one backwards. A text too short for any is one span as a whole. Spans
-are hashed and joined over all documents; the units of every occurrence but the first (least doc_id, then least
-place) are removed from the text.
-
-Only hashes and places are shuffled for the search: the first place of a hash is an aggregate, combined before the
-shuffle, so a passage that a third of all documents share costs a row a task there.
+A text is cut into units: sentences, those of over ``longest`` words cut again after every word whose hash is a
+multiple of CUT, so that the cuts are the same on both sides of an edit. From each unit on, the
+shortest run of consecutive units with at least ``least_units`` units and ``least_words`` words is a span, and so is
+the shortest one at the end of the text; a text too short for any is one span as a whole. Spans are hashed and joined
+over all documents; the units of every occurrence but the first (least doc_id, then least place) are removed.
+
+Only hashes and places are shuffled for the search, three numbers a span. The first place of a hash is an aggregate,
+combined before the shuffle, so a passage that a third of all documents share costs a row a task there; in the join
+back Spark splits such a hash, as neither side is needed together.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettercrate.llm.common import written
 
-LEAST_UNITS, LEAST_WORDS, LONGEST = 3, 25, 20
+LEAST_UNITS, LEAST_WORDS, LONGEST, CUT = 3, 12, 20, 8
 
 
 def _units(body: str, longest: int) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each unit, in order; white space after a unit belongs to it."""
     import re
 
-    out = []
+    out, word = [], re.compile(r"\S+")
     for sentence in re.finditer(r"[^\n]*?(?:[.!?…]+[\"'”’)\]]*(?=\s)|\n|\Z)\s*", body):
-        words = [(w.start(), w.group()) for w in re.compile(r"\S+").finditer(body, sentence.start(), sentence.end())]
-        for i in range(0, len(words), longest):
-            end = words[i + longest][0] if i + longest < len(words) else sentence.end()
-            out.append((words[i][0] if i else sentence.start(), end, [w for _, w in words[i : i + longest]]))
+        words = [(w.start(), w.group()) for w in word.finditer(body, sentence.start(), sentence.end())]
+        cuts = [0]
+        if len(words) > longest:
+            for i, (_, w) in enumerate(words, 1):
+                if i < len(words) and (i - cuts[-1] >= longest or zlib.crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0):
+                    cuts.append(i)
+        for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True) if words else ():
+            end = words[b][0] if b < len(words) else sentence.end()
+            out.append((words[a][0] if a else sentence.start(), end, [w for _, w in words[a:b]]))
     return out
 
 
-def _spans(counts: list[int], least_units: int, least_words: int) -> set[tuple[int, int]]:
-    """(first, end) unit numbers of the spans of a text whose units have these word counts."""
-    n, out, total, end = len(counts), set(), 0, 0
-    for first in range(n):  # forwards
+def _spans(counts: list[int], least_units: int, least_words: int) -> dict[int, tuple[int, int]]:
+    """{code: (first unit, end)} of the spans of a text whose units have these word counts. Codes: 0 for a whole text,
+    1 for the span at its end, 2 more than the first unit for the others."""
+    n, out, total, end = len(counts), {}, 0, 0
+    for first in range(n):
         while end < n and (end - first < least_units or total < least_words):
             total += counts[end]
             end += 1
         if end - first < least_units or total < least_words:
             break
-        out.add((first, end))
+        out[first + 2] = (first, end)
         total -= counts[first]
+    if not out:
+        return {0: (0, n)} if n else {}
     total, first = 0, n
-    for end in range(n, 0, -1):  # backwards
-        while first > 0 and (end - first < least_units or total < least_words):
-            first -= 1
-            total += counts[first]
-        if end - first < least_units or total < least_words:
-            break
-        out.add((first, end))
-        total -= counts[end - 1]
-    return out or ({(0, n)} if n else set())
+    while n - first < least_units or total < least_words:
+        first -= 1
+        total += counts[first]
+    if out.get(first + 2) != (first, n):
+        out[1] = (first, n)
+    return out
+
+
+def _mark(text: Column) -> Column:
+    """32 bits that tell apart the texts of rows with one doc_id."""
+    return F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32)
 
 
 def spans(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST) -> DataFrame:
-    """doc_id, text_hash, first, end, hash: the spans of every document (unit numbers, end exclusive)."""
-    schema = "doc_id bigint, text_hash bigint, first int, end int, hash bigint"
+    """doc_id, at, hash: the spans of every document. at: the text's mark in the upper half, the span's code in the
+    lower one."""
+    schema = "doc_id bigint, at bigint, hash bigint"
 
     def per_batch(batches):
+        import numpy as np
         import xxhash
 
         for batch in batches:
-            ids, marks, firsts, ends, hashes = [], [], [], [], []
+            ids, places, hashes = [], [], []
             for doc, mark, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                units = [" ".join(words) for _, _, words in _units(body or "", longest)]
-                for first, end in _spans([u.count(" ") + 1 for u in units], least_units, least_words):
-                    h = xxhash.xxh64_intdigest(" ".join(units[first:end]).encode("utf-8", "surrogatepass"))
-                    ids.append(doc)
-                    marks.append(mark)
-                    firsts.append(first)
-                    ends.append(end)
-                    hashes.append(h - (1 << 64) if h >> 63 else h)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            columns = [pa.array(x, k) for x, k in zip((ids, marks, firsts, ends, hashes), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "first", "end", "hash"])
-
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return rows.mapInArrow(per_batch, schema)
+                units = [(" ".join(words), len(words)) for _, _, words in _units(body or "", longest)]
+                found = _spans([n for _, n in units], least_units, least_words)
+                for first, end in found.values():
+                    hashes.append(xxhash.xxh64_intdigest(" ".join([u for u, _ in units[first:end]]).encode("utf-8", "surrogatepass")))
+                ids += [doc] * len(found)
+                places += [(mark << 32) + code for code in found]
+            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "hash"])
+
+    return docs.select("doc_id", _mark(F.col("text")), "text").mapInArrow(per_batch, schema)
 
 
 def repeated(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST) -> DataFrame:
-    """doc_id, text_hash, removed (array<int>: sorted numbers of the units in a span seen before)."""
+    """doc_id, mark, codes: for documents with spans seen before the sorted codes of these."""
     found = written(spans(docs, least_units, least_words, longest))
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "text_hash", "first", "end")
-    firsts = found.groupBy("hash").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select("hash", "place")
-    again = found.join(firsts, "hash").where(place > F.col("place"))
-    cut = again.select("doc_id", "text_hash", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("unit")).distinct()
-    return cut.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("unit")).alias("removed"))
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "at")
+    firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = found.join(written(firsts.select("hash", "first")), "hash").where(place > F.col("first"))
+    again = again.groupBy("doc_id", F.shiftright("at", 32).alias("mark"))
+    return again.agg(F.sort_array(F.collect_list(F.col("at").bitwiseAND(0xFFFFFFFF))).alias("codes"))
 
 
 def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST) -> DataFrame:
@@ -100,20 +111,18 @@ def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words:
     doc_id and text count as one document: they are treated alike, and don't make each other's spans repeated. A null
     doc_id comes after all others.
     """
-    cut = repeated(docs, least_units, least_words, longest)
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    key = lambda df: F.xxhash64(df["doc_id"], df["text_hash"])
-    cut = cut.select(key(cut).alias("_key"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
-    rows = rows.withColumn("_key", key(rows))
-    same = (rows["_key"] == cut["_key"]) & rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["text_hash"] == cut["_hash"])
-    rows = rows.join(cut, same, "left").select("doc_id", "text", "removed")
+    cut = repeated(docs, least_units, least_words, longest).select(F.col("doc_id").alias("_id"), "mark", "codes")
+    rows = docs.select("doc_id", "text", _mark(F.col("text")).alias("_mark"))
+    rows = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["_mark"] == cut["mark"]), "left").select("doc_id", "text", "codes")
     schema = "doc_id bigint, n_units int, removed_units array<int>, removed_chars int, text string"
 
     def per_batch(batches):
         for batch in batches:
             out = []
-            for doc, body, gone in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                units, drop = _units(body or "", longest), set(gone or ())
+            for doc, body, codes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                units = _units(body or "", longest)
+                found = _spans([len(w) for _, _, w in units], least_units, least_words) if codes else {}
+                drop = {k for code in codes or () for k in range(*found[code])}
                 left = "".join(body[a:b] for i, (a, b, _) in enumerate(units) if i not in drop) if drop else body
                 out.append((doc, len(units), sorted(drop), len(body or "") - len(left or ""), left))
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string())
