@@ -106,18 +106,24 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, n_buck
     """(a weight for each bucket, intercept). Without documents of both labels all weights are 0 and the intercept
     says that none, or all, have the label."""
 
-    def features(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = pa.array([buckets_of(x, n_buckets) for x in part.column(1).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), found, part.column(2).cast(pa.int32())], names=["doc_id", "buckets", "label"])
-
-    rows = written(training_rows(docs, labels, most_rows).mapInArrow(features, "doc_id bigint, buckets array<int>, label int"))
+    rows = written(training_rows(docs, labels, most_rows))  # the texts: their features are ten times as large, so they are made twice
     count = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
     if not 0 < count["p"] < count["n"]:
         return np.zeros(n_buckets, dtype=np.float32), 6.0 if count["p"] else -6.0
-    shared = docs.sparkSession.sparkContext.broadcast(_ratios(rows, count["p"], count["n"] - count["p"], n_buckets))
+
+    def features(ratios=None):
+        def per_batch(batches):
+            r = None if ratios is None else ratios.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    found = [buckets_of(x, n_buckets) for x in part.column(1).to_pylist()]
+                    found = pa.array(found if r is None else [b[r[b] != 0] for b in found], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), found, part.column(2).cast(pa.int32())], names=["doc_id", "buckets", "label"])
+
+        return rows.select("doc_id", "text", "label").mapInArrow(per_batch, "doc_id bigint, buckets array<int>, label int")
+
+    shared = docs.sparkSession.sparkContext.broadcast(_ratios(features(), count["p"], count["n"] - count["p"], n_buckets))
     groups = max(1, count["n"] // GROUP_ROWS)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, n_buck
         at = np.flatnonzero(w)
         return pd.DataFrame({"bucket": np.append(at, -1), "weight": np.append(w[at], b), "n": len(group)})
 
-    parts = rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).applyInPandas(fit, "bucket int, weight double, n int")
+    # few features have a ratio other than 0, so little is shuffled
+    parts = features(shared).groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).applyInPandas(fit, "bucket int, weight double, n int")
     mean = parts.groupBy("bucket").agg(F.sum(F.col("weight") * F.col("n")).alias("w")).toPandas()  # n_buckets rows at most
     weights = np.zeros(n_buckets + 1)
     weights[mean["bucket"].to_numpy(dtype=np.int64)] = mean["w"].to_numpy(dtype=float) / count["n"]
