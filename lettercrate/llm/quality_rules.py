@@ -1,12 +1,13 @@
 """Quality rules: document counts, and a hashed n-gram likelihood ratio of trusted text to raw text.
 
-Words are hashed into 65,536 buckets and pairs of neighbouring words into ``n_buckets``. Two multinomials over the buckets are
+Words and pairs of neighbouring words are hashed into buckets, whose numbers grow with the corpus so that a bucket
+never stands for more than about ``load`` distinct n-grams. Two multinomials over the buckets are
 counted on all documents: one on the trusted documents, one on the raw corpus. A document's score is the mean, over
 its n-grams, of log(p_trusted / p_raw); documents whose score is below ``threshold`` are rejected.
 
 Everything is DataFrame expressions. The two counts are one aggregation over exploded n-grams (combined before the
-shuffle, so a frequent word costs one row a task). The table of ratios has 65,536 + ``n_buckets`` rows at most, so
-it is broadcast. Ratios are whole numbers of millionths, so sums don't depend on the order of rows.
+shuffle, so a frequent word costs one row a task). The table of ratios is broadcast up to MOST_BROADCAST buckets; a
+larger one meets the n-grams in a merge join. Ratios are whole numbers of millionths, so sums don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -14,28 +15,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettercrate.llm.common import words_of
+from lettercrate.llm.common import words_of, written
 
-N_BUCKETS = 1 << 17
+#: Most distinct n-grams a bucket, least bits of a word's and a pair's bucket, and most buckets of a broadcast table.
+LOAD = 8.0
+LEAST_BITS = (16, 18)
+MOST_BROADCAST = 1 << 19
 #: In nats an n-gram: junk scores far below this, clean text that merely differs from the trusted documents above it.
 THRESHOLD = -0.33
 SMOOTHING = 5.0
 MICRO = 1_000_000
 
 
-def _marks(hashes: Column) -> Column:
-    """16 bits of each word's hash: array<smallint>, half the size of the words themselves when shuffled."""
-    return F.transform(hashes, lambda h: F.shiftright(h, 48).cast("smallint"))
+def _marks(hashes: Column, word_bits: int) -> Column:
+    """16 bits of each word's hash, or 32 where the buckets need them: array<smallint> or array<int>, which is less than the
+    words themselves when shuffled."""
+    shift, kind = (48, "smallint") if word_bits <= 16 else (32, "int")
+    return F.transform(hashes, lambda h: F.shiftright(h, shift).cast(kind))
 
 
-def _grams(marks: Column, n_buckets: int) -> Column:
-    """Buckets of the words (the first 65,536) and of the pairs of neighbouring words (the n_buckets after them)."""
-    one = F.transform(marks, lambda x: x.cast("int") + 32768)
-    two = F.transform(marks, lambda x, i: F.xxhash64(x, F.get(marks, i + 1)).bitwiseAND(F.lit(n_buckets - 1).cast("long")).cast("int") + 65536)
+def _grams(marks: Column, bits: tuple[int, int]) -> Column:
+    """Buckets of the words (the first 1 << bits[0]) and of the pairs of neighbouring words (1 << bits[1] after them)."""
+    low = lambda x, n: x.cast("long").bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    one = F.transform(marks, lambda x: low(x, bits[0]))
+    two = F.transform(marks, lambda x, i: low(F.xxhash64(x, F.get(marks, i + 1)), bits[1]) + F.lit(1 << bits[0]).cast("long"))
     return F.concat(one, F.slice(two, 1, F.greatest(F.size(marks) - 1, F.lit(0))))
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
+def _marks_of(text: Column, word_bits: int) -> Column:
+    return _marks(F.transform(words_of(text), lambda w: F.xxhash64(w)), word_bits)
+
+
+def bits_for(docs: DataFrame, load: float = LOAD) -> tuple[int, int]:
+    """Bits of the word and pair buckets that hold about ``load`` distinct n-grams each at most."""
+    hashes = docs.select(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    h = F.col("h")
+    # outer: from a plain explode Spark infers a filter that works out the hashes again for each word
+    pairs = hashes.select(F.explode_outer(F.transform(h, lambda x, i: F.struct(x.alias("one"), F.xxhash64(x, F.get(h, i + 1)).alias("two")))).alias("x"))
+    counts = pairs.agg(F.approx_count_distinct("x.one"), F.approx_count_distinct("x.two")).first()
+    needed = [max(0, int(n / load) - 1).bit_length() for n in counts]
+    return min(32, max(LEAST_BITS[0], needed[0])), min(62, max(LEAST_BITS[1], needed[1]))
+
+
+def with_counts(df: DataFrame, text: str = "text", word_bits: int = LEAST_BITS[0]) -> DataFrame:
     """df and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and _marks for the n-grams.
 
     Repeated windows are found inside the row: the hash of each 3-word window, shifted to make room for its place, is
@@ -74,14 +96,14 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0).cast("long"),
         lambda total, x: total + x,
     )
-    return df.withColumns({"n_repeat_words": covered, "_marks": _marks(F.col("_hashes"))}).drop("_hashes", "_packed", "_bits", "_at")
+    return df.withColumns({"n_repeat_words": covered, "_marks": _marks(F.col("_hashes"), word_bits)}).drop("_hashes", "_packed", "_bits", "_at")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, bits: tuple[int, int], smoothing: float = SMOOTHING) -> DataFrame:
     """bucket, ratio (millionths of a nat): one row for each bucket that occurs in the corpus.
 
     Both multinomials get ``smoothing`` pseudo-counts a bucket, as many as are usual for their size, so an n-gram that
@@ -91,45 +113,60 @@ def ratios(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, smoo
     document every ratio is 0.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
-    rows = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
-    rows = rows.select("doc_id", _marks(F.transform("_words", lambda w: F.xxhash64(w))).alias("_marks"))
+    rows = docs.select("doc_id", _marks_of(F.col("text"), bits[0]).alias("_marks"))
     # a merge join whatever the size of the labels: the two sides are shuffled once, at any scale
     rows = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    grams = rows.select("_trusted", F.explode(_grams(F.col("_marks"), n_buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good"))
-    counts = counts.agg(F.collect_list(F.struct("bucket", "raw", "good")).alias("all"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
-    # one row, with an entry a bucket
-    counts = counts.select("n_raw", "n_good", F.explode("all").alias("x")).select("n_raw", "n_good", "x.*")
+    grams = rows.select("_trusted", F.explode(_grams(F.col("_marks"), bits)).alias("bucket"))
+    counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good")))
+    n_raw, n_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    if not n_good:
+        return counts.select("bucket", F.lit(0).cast("long").alias("ratio"))
     # (good + s * n_good / n_raw) / (n_good + ...) over (raw + s) / (n_raw + ...): what is left of the two multinomials
-    ratio = F.log((F.col("good") * F.col("n_raw") / F.col("n_good") + smoothing) / (F.col("raw") + smoothing))
-    value = F.when(F.col("n_good") > 0, F.round(ratio * MICRO)).otherwise(F.lit(0.0))
-    return counts.select("bucket", value.cast("long").alias("ratio"))
+    ratio = F.log((F.col("good") * n_raw / n_good + smoothing) / (F.col("raw") + smoothing))
+    return counts.select("bucket", F.round(ratio * MICRO).cast("long").alias("ratio"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS, carried: tuple[str, ...] = ()) -> DataFrame:
+def judge(
+    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, load: float = LOAD, carried: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST
+) -> DataFrame:
     """A row for each row of docs: doc_id, the counts, base_failed, kept, n_grams, score, and the carried columns.
 
     docs has doc_id and text; other columns are ignored. A null text counts as empty. Documents with no words have
     score null and fail the base rules. Repeated rows get a row each; a null doc_id is kept as it is.
     """
-    table = ratios(docs, trusted, n_buckets)
-    rows = with_counts(docs.select("doc_id", "text", *carried)).withColumn("_row", F.monotonically_increasing_id())
-    keys = ["_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *carried]
-    grams = rows.select(*keys, F.explode_outer(_grams(F.col("_marks"), n_buckets)).alias("bucket"))
-    scored = grams.join(F.broadcast(table), "bucket", "left").groupBy(*keys)
-    scored = scored.agg(F.sum("ratio").alias("_sum"), F.count("bucket").alias("n_grams"))
+    bits = bits_for(docs, load)
+    table = ratios(docs, trusted, bits)
+    rows = with_counts(docs.select("doc_id", "text", *carried), word_bits=bits[0])
+    keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *carried]
+    n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0).cast("long")).alias("n_grams")
+    if (1 << bits[0]) + (1 << bits[1]) <= most_broadcast:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+        grams = rows.select("_row", *keys, F.explode_outer(_grams(F.col("_marks"), bits)).alias("bucket"))
+        scored = grams.join(F.broadcast(table), "bucket", "left").groupBy("_row", *keys)
+        scored = scored.agg(F.sum("ratio").alias("_sum")).select(*keys, n_grams, "_sum")
+    else:
+        # rows with equal ids and texts add up to equal means
+        key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key")
+        grams = docs.select(key, _marks_of(F.col("text"), bits[0]).alias("_marks"))
+        grams = grams.select("_key", F.explode_outer(_grams(F.col("_marks"), bits)).alias("bucket"))
+        means = grams.join(table.hint("merge"), "bucket").groupBy("_key").agg(F.sum("ratio").alias("_total"), F.count("*").alias("_n"))
+        rows = with_counts(docs.select("doc_id", "text", *carried, key))
+        # a row's number, times nothing, keeps filters on the verdict above the counts, where they would be worked out for each word
+        rows = rows.select((F.col("_key") + F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))).alias("_key"), *keys)
+        scored = rows.join(means.hint("merge"), "_key", "left").select(*keys, n_grams, "_total", "_n")
+        scored = scored.select(*keys, "n_grams", (F.col("_total") / F.col("_n") * F.col("n_grams")).alias("_sum"))
     score = F.when(F.col("n_grams") > 0, F.col("_sum") / F.col("n_grams") / MICRO)
     verdict = ~base_failed() & F.coalesce(F.col("_sum") >= F.lit(threshold * MICRO) * F.col("n_grams"), F.lit(False))
-    return scored.select(*keys[1:], base_failed().alias("base_failed"), verdict.alias("kept"), "n_grams", score.alias("score"))
+    return scored.select(*keys[:6], base_failed().alias("base_failed"), verdict.alias("kept"), "n_grams", score.alias("score"), *carried)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select("doc_id")
 
 
-def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS) -> DataFrame:
+def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, load: float = LOAD) -> DataFrame:
     """The rows of docs, with all their columns, whose document is kept."""
     rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    good = judge(rows, trusted, threshold, n_buckets, ("_text_hash",)).where("kept")
+    good = judge(rows, trusted, threshold, load, ("_text_hash",)).where("kept")
     good = good.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash")).distinct()
     return rows.join(good, rows["doc_id"].eqNullSafe(good["_id"]) & (rows["_text_hash"] == good["_hash"]), "left_semi").select(docs.columns)

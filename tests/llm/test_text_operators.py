@@ -116,6 +116,23 @@ def test_quality_without_trusted_documents_keeps_by_base_rules(spark, docs):
     assert kept.count() == sum(1 for _, t in TEXTS if (c := counts(t))[0] >= 50 and 100 * c[4] <= 50 * c[0])
 
 
+def test_quality_buckets_grow_with_the_corpus(spark, docs):
+    few = spark.createDataFrame([(1, "a b c a b")], "doc_id bigint, text string")
+    assert quality_rules.bits_for(few) == quality_rules.LEAST_BITS
+    many = spark.range(1200).select("id", F.expr("concat_ws(' ', transform(sequence(0, 499), x -> concat('w', id * 500 + x)))").alias("text"))
+    word_bits, pair_bits = quality_rules.bits_for(many, 1.0)  # 600,000 words and about as many pairs
+    assert (word_bits, pair_bits) == (20, 20)
+
+
+def test_quality_scores_are_the_same_by_either_join(spark, docs):
+    trusted = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    by_broadcast = quality_rules.judge(docs, trusted).where("not base_failed or base_failed")
+    by_merge = quality_rules.judge(docs, trusted, most_broadcast=0)
+    as_set = lambda df: Counter((*r[:-1], r.score is not None and round(r.score, 9)) for r in df.collect())
+    assert as_set(by_merge) == as_set(by_broadcast)
+    assert by_merge.columns == by_broadcast.columns and by_merge.where("kept").count() == by_broadcast.where("kept").count()
+
+
 # --- secrets
 
 
