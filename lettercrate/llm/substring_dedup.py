@@ -3,7 +3,9 @@
 A text is cut into units: sentences, those of over ``longest`` words cut again after every word whose hash is a
 multiple of CUT, so that the cuts are the same on both sides of an edit. From each unit on, the
 shortest run of consecutive units with at least ``least_units`` units and ``least_words`` words is a span, and so is
-the shortest one at the end of the text; a text too short for any is one span as a whole. Spans are hashed and joined
+the shortest one backwards from each unit, where no forward one is the same; a text too short for any is one span as a
+whole. Any longer run that repeats is covered by spans inside it: each of its units starts or ends one, or lies within
+one. Spans are hashed and joined
 over all documents; the units of every occurrence but the first (least doc_id, then least place) are removed.
 
 Only hashes and places are shuffled for the search, three numbers a span. The first place of a hash is an aggregate,
@@ -44,7 +46,7 @@ def _units(body: str, longest: int) -> list[tuple[int, int, list[str]]]:
 
 def _spans(counts: list[int], least_units: int, least_words: int) -> dict[int, tuple[int, int]]:
     """{code: (first unit, end)} of the spans of a text whose units have these word counts. Codes: 0 for a whole text,
-    1 for the span at its end, 2 more than the first unit for the others."""
+    twice the first unit and 2 more for those forwards from a unit, twice the end and 1 more for the others backwards."""
     n, out, total, end = len(counts), {}, 0, 0
     for first in range(n):
         while end < n and (end - first < least_units or total < least_words):
@@ -52,16 +54,18 @@ def _spans(counts: list[int], least_units: int, least_words: int) -> dict[int, t
             end += 1
         if end - first < least_units or total < least_words:
             break
-        out[first + 2] = (first, end)
+        out[2 * first + 2] = (first, end)
         total -= counts[first]
     if not out:
         return {0: (0, n)} if n else {}
-    total, first = 0, n
-    while n - first < least_units or total < least_words:
-        first -= 1
-        total += counts[first]
-    if out.get(first + 2) != (first, n):
-        out[1] = (first, n)
+    total, first = 0, 0
+    for end in range(1, n + 1):
+        total += counts[end - 1]
+        while end - first > least_units and total - counts[first] >= least_words:
+            total -= counts[first]
+            first += 1
+        if end - first >= least_units and total >= least_words and out.get(2 * first + 2) != (first, end):
+            out[2 * end + 1] = (first, end)
     return out
 
 

@@ -399,6 +399,15 @@ def test_substring_dedup_against_brute_force(spark, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_substring_dedup_removes_short_sentences_that_end_a_passage(spark):
+    # 20, 1, 1, 1, 1, 1 words: the forward run from the second sentence leaves the passage
+    passage = " ".join(f"word{i}" for i in range(19)) + " end. Yes. No. So. But. Then."
+    tails = [" ".join(f"{c}{i}" for i in range(15)) + "." for c in "pq"]
+    df = spark.createDataFrame([(1, f"{passage} {tails[0]}"), (2, f"{passage} {tails[1]}")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert got[1] == f"{passage} {tails[0]}" and got[2] == tails[1]
+
+
 def test_units_join_to_the_text():
     for _, t in TEXTS:
         t = t or ""
