@@ -144,7 +144,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), pair_words=substring_dedup.PAIR_WORDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,8 @@
 
 A text is cut into units: sentences, those of over ``longest`` words cut again after every word whose hash is a
 multiple of CUT, so that the cuts are the same on both sides of an edit. From each unit on, the
-shortest run of consecutive units with at least ``least_units`` units and ``least_words`` words is a span, and so is
+shortest run of consecutive units with at least ``least_units`` units and ``least_words`` words is a span (with
+``pair_words``, which the query sets, also one of two units with at least so many words), and so is
 the shortest one backwards from each unit, where no forward one is the same; a text too short for any is one span as a
 whole. Any longer run that repeats is covered by spans inside it: each of its units starts or ends one, or lies within
 one. Spans are hashed and joined
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from lettercrate.llm.common import written
 
 LEAST_UNITS, LEAST_WORDS, LONGEST, CUT = 3, 12, 20, 8
+#: With so many words a run of two units is a span as well.
+PAIR_WORDS = 24
 
 
 def _units(body: str, longest: int) -> list[tuple[int, int, list[str]]]:
@@ -44,15 +47,19 @@ def _units(body: str, longest: int) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def _spans(counts: list[int], least_units: int, least_words: int) -> dict[int, tuple[int, int]]:
+def _spans(counts: list[int], least_units: int, least_words: int, pair_words: int | None = None) -> dict[int, tuple[int, int]]:
     """{code: (first unit, end)} of the spans of a text whose units have these word counts. Codes: 0 for a whole text,
     twice the first unit and 2 more for those forwards from a unit, twice the end and 1 more for the others backwards."""
+
+    def wide(units: int, words: int) -> bool:
+        return (units >= least_units and words >= least_words) or (pair_words is not None and units >= 2 and words >= pair_words)
+
     n, out, total, end = len(counts), {}, 0, 0
     for first in range(n):
-        while end < n and (end - first < least_units or total < least_words):
+        while end < n and not wide(end - first, total):
             total += counts[end]
             end += 1
-        if end - first < least_units or total < least_words:
+        if not wide(end - first, total):
             break
         out[2 * first + 2] = (first, end)
         total -= counts[first]
@@ -61,10 +68,10 @@ def _spans(counts: list[int], least_units: int, least_words: int) -> dict[int, t
     total, first = 0, 0
     for end in range(1, n + 1):
         total += counts[end - 1]
-        while end - first > least_units and total - counts[first] >= least_words:
+        while wide(end - first - 1, total - counts[first]):
             total -= counts[first]
             first += 1
-        if end - first >= least_units and total >= least_words and out.get(2 * first + 2) != (first, end):
+        if wide(end - first, total) and out.get(2 * first + 2) != (first, end):
             out[2 * end + 1] = (first, end)
     return out
 
@@ -74,7 +81,7 @@ def _mark(text: Column) -> Column:
     return F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32)
 
 
-def spans(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST) -> DataFrame:
+def spans(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None) -> DataFrame:
     """doc_id, at, hash: the spans of every document. at: the text's mark in the upper half, the span's code in the
     lower one."""
     schema = "doc_id bigint, at bigint, hash bigint"
@@ -87,7 +94,7 @@ def spans(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LE
             ids, places, hashes = [], [], []
             for doc, mark, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 units = [(" ".join(words), len(words)) for _, _, words in _units(body or "", longest)]
-                found = _spans([n for _, n in units], least_units, least_words)
+                found = _spans([n for _, n in units], least_units, least_words, pair_words)
                 for first, end in found.values():
                     hashes.append(xxhash.xxh64_intdigest(" ".join([u for u, _ in units[first:end]]).encode("utf-8", "surrogatepass")))
                 ids += [doc] * len(found)
@@ -98,9 +105,9 @@ def spans(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LE
     return docs.select("doc_id", _mark(F.col("text")), "text").mapInArrow(per_batch, schema)
 
 
-def repeated(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST) -> DataFrame:
+def repeated(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None) -> DataFrame:
     """doc_id, mark, codes: for documents with spans seen before the sorted codes of these."""
-    found = written(spans(docs, least_units, least_words, longest))
+    found = written(spans(docs, least_units, least_words, longest, pair_words))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "at")
     firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = found.join(written(firsts.select("hash", "first")), "hash").where(place > F.col("first"))
@@ -108,14 +115,14 @@ def repeated(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int =
     return again.agg(F.sort_array(F.collect_list(F.col("at").bitwiseAND(0xFFFFFFFF))).alias("codes"))
 
 
-def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, n_units, removed_units (array<int>), removed_chars, text without them.
 
     docs has doc_id and text; other columns are ignored. A null text stays null and has no units. Rows with the same
     doc_id and text count as one document: they are treated alike, and don't make each other's spans repeated. A null
     doc_id comes after all others.
     """
-    cut = repeated(docs, least_units, least_words, longest).select(F.col("doc_id").alias("_id"), "mark", "codes")
+    cut = repeated(docs, least_units, least_words, longest, pair_words).select(F.col("doc_id").alias("_id"), "mark", "codes")
     rows = docs.select("doc_id", "text", _mark(F.col("text")).alias("_mark"))
     rows = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["_mark"] == cut["mark"]), "left").select("doc_id", "text", "codes")
     schema = "doc_id bigint, n_units int, removed_units array<int>, removed_chars int, text string"
@@ -125,7 +132,7 @@ def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words:
             out = []
             for doc, body, codes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 units = _units(body or "", longest)
-                found = _spans([len(w) for _, _, w in units], least_units, least_words) if codes else {}
+                found = _spans([len(w) for _, _, w in units], least_units, least_words, pair_words) if codes else {}
                 drop = {k for code in codes or () for k in range(*found[code])}
                 left = "".join(body[a:b] for i, (a, b, _) in enumerate(units) if i not in drop) if drop else body
                 out.append((doc, len(units), sorted(drop), len(body or "") - len(left or ""), left))

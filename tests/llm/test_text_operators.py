@@ -408,6 +408,15 @@ def test_substring_dedup_removes_short_sentences_that_end_a_passage(spark):
     assert got[1] == f"{passage} {tails[0]}" and got[2] == tails[1]
 
 
+def test_substring_dedup_finds_a_passage_with_two_whole_units(spark):
+    # two sentences of 19 words, neither cut, with their neighbours cut off within: no run of three units repeats
+    whole = " ".join(" ".join(f"{c}{i}" for i in range(19)) + "." for c in "ab")
+    texts = {d: f"{d}one {d}two tail of a sentence. {whole} Head of another {d}three {d}four." for d in "xy"}
+    df = spark.createDataFrame([(1, texts["x"]), (2, texts["y"])], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df, pair_words=substring_dedup.PAIR_WORDS).collect()}
+    assert got[1] == texts["x"] and whole not in got[2] and "yone" in got[2] and "yfour" in got[2]
+
+
 def test_units_join_to_the_text():
     for _, t in TEXTS:
         t = t or ""
