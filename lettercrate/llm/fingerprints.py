@@ -3,7 +3,8 @@
 A k-mer (k words in a row) is chosen when the least of its s-mers (by hash) is its first or its last one. Whether a
 k-mer is chosen depends on its own words alone, so equal passages have equal anchors wherever they stand, and anchors
 carry their place for positional matching. A text of fewer than k words has one anchor, its whole word sequence; a
-text without words has none. Every step is a DataFrame expression on one row's arrays.
+text without words has none. A text of k words or more in which no k-mer is chosen has none either, unless ``always``
+is set, as the query does: then its least k-mer (by hash, then place) stands in. Every step is a DataFrame expression on one row's arrays.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from lettercrate.llm.common import words_of
 K, S = 7, 2
 
 
-def anchors(df: DataFrame, text: str, into: str, k: int = K, s: int = S) -> DataFrame:
+def anchors(df: DataFrame, text: str, into: str, k: int = K, s: int = S, always: bool = False) -> DataFrame:
     """df with the column ``into``: array<struct<place int, hash long>>, the chosen k-mers in order of place."""
     m = k - s + 1
     words, inner = f"_{into}_words", f"_{into}_inner"
@@ -27,15 +28,27 @@ def anchors(df: DataFrame, text: str, into: str, k: int = K, s: int = S) -> Data
     df = df.withColumn(inner, F.slice(smers, 1, F.greatest(F.size(w) - (s - 1), F.lit(0))))
     h = F.col(inner)
 
-    def chosen(x: Column, i: Column) -> Column:
+    def parts(x: Column, i: Column) -> tuple[list[Column], Column]:
         rest = [F.get(h, i + j) for j in range(1, m)]
         spread = [x, *(rest[j - 1] for j in range(s, m - 1, s)), rest[-1]]  # s-mers that cover all words of the k-mer
-        return F.when(F.least(x, *rest).isin(x, rest[-1]), F.struct(i.alias("place"), F.xxhash64(*spread).alias("hash")))
+        return rest, F.xxhash64(*spread).alias("hash")
+
+    def chosen(x: Column, i: Column) -> Column:
+        rest, number = parts(x, i)
+        return F.when(F.least(x, *rest).isin(x, rest[-1]), F.struct(i.alias("place"), number))
+
+    def every(x: Column, i: Column) -> Column:
+        return F.struct(parts(x, i)[1], i.alias("place"))
 
     kmers = F.filter(F.slice(F.transform(h, chosen), 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x: x.isNotNull())
     whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(F.array_join(w, " ")).alias("hash")))
     few = F.when(F.size(w) == 0, F.slice(whole, 1, 0)).otherwise(whole)
-    return df.withColumn(into, F.when(F.size(w) < k, few).otherwise(kmers)).drop(words, inner)
+    df = df.withColumn(into, F.when(F.size(w) < k, few).otherwise(kmers))
+    if not always:
+        return df.drop(words, inner)
+    least = F.array_min(F.slice(F.transform(h, every), 1, F.greatest(F.size(w) - (k - 1), F.lit(0))))
+    least = F.array(F.struct(least["place"].alias("place"), least["hash"].alias("hash")))
+    return df.withColumn(into, F.when((F.size(into) == 0) & (F.size(w) >= k), least).otherwise(F.col(into))).drop(words, inner)
 
 
 def fingerprint(found: Column) -> Column:
@@ -107,7 +120,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
-def compare_with_edits(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
+def compare_with_edits(docs: DataFrame, k: int = K, s: int = S, always: bool = False) -> DataFrame:
     """A row for each row of docs: its fingerprint, that of its edited text, and its likeness to that and to the next
     document's. A null text counts as empty; a table of one row has itself as the next document.
 
@@ -117,7 +130,7 @@ def compare_with_edits(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     rows = in_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     rows = rows.withColumn("_next", F.coalesce(F.lead("text").over(w), F.lit("")))
     rows = rows.withColumn("_edited", edited(F.col("text"), F.col("_next"))).drop("_next")
-    rows = anchors(anchors(rows, "text", "_a", k, s), "_edited", "_b", k, s)
+    rows = anchors(anchors(rows, "text", "_a", k, s, always), "_edited", "_b", k, s, always)
     rows = rows.withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("_edited", 256)})
     rows = rows.withColumns({"_a": fingerprint(F.col("_a")), "_b": fingerprint(F.col("_b"))}).drop("text", "_edited")
     rows = rows.withColumn("_c", F.lead("_a").over(w)).where("_own")

@@ -63,7 +63,7 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_with_edits(documents(spark, sf_dir))
+    return fingerprints.compare_with_edits(documents(spark, sf_dir), always=True)
 
 
 #: Captures and a dated list that follow from pages: a page's id sets when it was fetched; a host's least page id sets

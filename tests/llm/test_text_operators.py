@@ -263,6 +263,16 @@ def test_positional_matching_finds_a_moved_passage(spark):
     assert (best.left_id, best.right_id, best["shift"]) == (1, 2, -30)
 
 
+def test_every_text_with_words_has_an_anchor(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(7 + i % 4))) for i in range(80)] + [(80, "  ")]
+    df = fingerprints.anchors(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", "found", always=True)
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in df.collect()}
+    assert got.pop(80) == [] and all(got.values())
+    bare = [i for i, t in rows[:80] if not syncmers(t)]
+    assert len(bare) > 20 and all(len(got[i]) == 1 for i in bare)
+    assert len({got[i][0][1] for i in bare}) == len(bare)  # unrelated texts share none
+
+
 # --- SimHash
 
 
