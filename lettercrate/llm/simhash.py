@@ -153,28 +153,35 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 30))), F.lit(0))).first())
 
 
+def _rooted(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """docs without its text and with fingerprint and root, the least fingerprint of its component."""
+    marks = written(fingerprints(docs, width))
+    roots = components(links(marks, radius))
+    rows = marks.join(roots, F.col("fingerprint") == F.col("node"), "left").select(*marks.columns, F.coalesce("root", "fingerprint").alias("root"))
+    return written(rows)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """A row for each row of docs: doc_id, fingerprint (16 hex digits), component_id, the least doc_id linked to it
     over any number of links of at most ``radius`` bits.
 
     Repeated rows get equal rows; a null doc_id is a document whose id is never the least unless all are null.
     """
-    marks = written(fingerprints(docs.select("doc_id", "text"), width))
-    roots = components(links(marks, radius))
-    rows = marks.join(roots, F.col("fingerprint") == F.col("node"), "left").select("doc_id", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
-    rows = written(rows)
+    rows = _rooted(docs.select("doc_id", "text"), width, radius)
     names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(names, "root")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least doc_id stays, one if several share it.
+    """docs without near-duplicates: of each component the row with the least doc_id stays (then the least hash of its
+    text), one if several share both.
 
     A row without an id counts as having one of its own, above all others and the same for equal texts.
     """
-    own = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", own))
-    kept = near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), width, radius)
-    kept = kept.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return rows.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(docs.columns)
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = F.lit(1 << 62) + F.pmod(mark, F.lit(1 << 61))
+    rows = docs.withColumns({"_id": F.coalesce("doc_id", own), "_hash": mark})
+    kept = _rooted(rows.select("_id", "_hash", "text"), width, radius)
+    kept = kept.groupBy("root").agg(F.min(F.struct("_id", "_hash")).alias("x")).select("x.*")
+    return rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)

@@ -320,6 +320,14 @@ def test_simhash_against_brute_force(docs, nothing):
     assert len(ids) == len(set(ids)) == len({root[m] for _, m in marks})
 
 
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    a, b = prose(90, 31), prose(90, 32)
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b)], "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash.one_of_each(df).collect())) == [(1, a), (2, b)]
+    df = spark.createDataFrame([(2, a), (2, b)], "doc_id bigint, text string")
+    assert sorted(r.text for r in simhash.one_of_each(df).collect()) == sorted([a, b])
+
+
 @pytest.mark.parametrize("crowd", [0, 3, 10_000])
 def test_links_lose_none_however_crowded(spark, crowd):
     import random
