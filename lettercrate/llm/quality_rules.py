@@ -1,26 +1,31 @@
 """Quality rules: document counts, and a hashed n-gram likelihood ratio of trusted text to raw text.
 
-Words and pairs of neighbouring words are hashed into buckets, whose numbers grow with the corpus so that a bucket
-never stands for more than about ``load`` distinct n-grams. Two multinomials over the buckets are
+Words and pairs of neighbouring words are hashed into buckets, whose numbers grow in proportion to the corpus, one for
+at most ``load`` n-grams of it, so that they never fill up. Two multinomials over the buckets are
 counted on all documents: one on the trusted documents, one on the raw corpus. A document's score is the mean, over
 its n-grams, of log(p_trusted / p_raw); documents whose score is below ``threshold`` are rejected.
 
 Everything is DataFrame expressions. The two counts are one aggregation over exploded n-grams (combined before the
-shuffle, so a frequent word costs one row a task). The table of ratios is broadcast up to MOST_BROADCAST buckets; a
-larger one meets the n-grams in a merge join. Ratios are whole numbers of millionths, so sums don't depend on the order of rows.
+shuffle, so a frequent word costs one row a task). The ratios of up to MOST_BROADCAST buckets (32 MB) become one array,
+in which a document's n-grams are looked up without exploding or shuffling them; a larger table meets the n-grams in a
+merge join. Ratios are whole numbers of millionths, so sums don't depend on the order of rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettercrate.llm.common import words_of, written
 
-#: Most distinct n-grams a bucket, least bits of a word's and a pair's bucket, and most buckets of a broadcast table.
-LOAD = 8.0
+#: Most n-grams of the corpus for each bucket, least bits of a word's and a pair's bucket, most buckets of a table that is one array
+#: (4 bytes each), and how many of them are gathered in one row on the way there.
+LOAD = 128.0
 LEAST_BITS = (16, 18)
-MOST_BROADCAST = 1 << 19
+MOST_BROADCAST = 1 << 23
+CHUNK = 1 << 12
 #: In nats an n-gram: junk scores far below this, clean text that merely differs from the trusted documents above it.
 THRESHOLD = -0.33
 SMOOTHING = 5.0
@@ -47,13 +52,13 @@ def _marks_of(text: Column, word_bits: int) -> Column:
 
 
 def bits_for(docs: DataFrame, load: float = LOAD) -> tuple[int, int]:
-    """Bits of the word and pair buckets that hold about ``load`` distinct n-grams each at most."""
-    hashes = docs.select(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    h = F.col("h")
-    # outer: from a plain explode Spark infers a filter that works out the hashes again for each word
-    pairs = hashes.select(F.explode_outer(F.transform(h, lambda x, i: F.struct(x.alias("one"), F.xxhash64(x, F.get(h, i + 1)).alias("two")))).alias("x"))
-    counts = pairs.agg(F.approx_count_distinct("x.one"), F.approx_count_distinct("x.two")).first()
-    needed = [max(0, int(n / load) - 1).bit_length() for n in counts]
+    """Bits of the word and pair buckets: one bucket for at most ``load`` words, or pairs, of all documents together.
+
+    The vocabulary grows more slowly than the corpus, so a bucket never stands for more distinct n-grams as it grows.
+    """
+    words = F.size(words_of(F.col("text"))).cast("long")
+    counts = docs.agg(F.sum(words), F.sum(F.greatest(words - 1, F.lit(0).cast("long")))).first()
+    needed = [max(0, int((n or 0) / load) - 1).bit_length() for n in counts]
     return min(32, max(LEAST_BITS[0], needed[0])), min(62, max(LEAST_BITS[1], needed[1]))
 
 
@@ -61,7 +66,8 @@ def with_counts(df: DataFrame, text: str = "text", word_bits: int = LEAST_BITS[0
     """df and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and _marks for the n-grams.
 
     Repeated windows are found inside the row: the hash of each 3-word window, shifted to make room for its place, is
-    sorted as a long; neighbours with an equal hash are repeats. No rows are exploded.
+    sorted as a long; neighbours that agree in what is left of the hash may be repeats, and their whole 64-bit hashes
+    decide, at any length of text. No rows are exploded.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
@@ -87,16 +93,25 @@ def with_counts(df: DataFrame, text: str = "text", word_bits: int = LEAST_BITS[0
     def same(x: Column, other: Column) -> Column:
         return F.coalesce(F.call_function("shiftright", x, bits) == F.call_function("shiftright", other, bits), F.lit(False))
 
-    found = F.filter(s, lambda x, i: F.when(i > 0, same(x, F.get(s, i - 1))).otherwise(F.lit(False)) | same(x, F.get(s, i + 1)))
+    alike = F.filter(s, lambda x, i: F.when(i > 0, same(x, F.get(s, i - 1))).otherwise(F.lit(False)) | same(x, F.get(s, i + 1)))
     ones = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    df = df.withColumn("_at", F.sort_array(F.transform(found, lambda x: x.bitwiseAND(ones))))
+
+    def whole(x: Column) -> Column:
+        place = x.bitwiseAND(ones).cast("int")
+        return F.struct(F.xxhash64(F.get(h, place), F.get(h, place + 1), F.get(h, place + 2)).alias("hash"), place.cast("long").alias("place"))
+
+    df = df.withColumn("_alike", F.sort_array(F.transform(alike, whole)))
+    c = F.col("_alike")
+    equal = lambda x, other: F.coalesce(x["hash"] == other["hash"], F.lit(False))
+    found = F.filter(c, lambda x, i: F.when(i > 0, equal(x, F.get(c, i - 1))).otherwise(F.lit(False)) | equal(x, F.get(c, i + 1)))
+    df = df.withColumn("_at", F.sort_array(F.transform(found, lambda x: x["place"])))
     at = F.col("_at")
     covered = F.aggregate(
         F.transform(at, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - p, F.lit(3).cast("long")))),
         F.lit(0).cast("long"),
         lambda total, x: total + x,
     )
-    return df.withColumns({"n_repeat_words": covered, "_marks": _marks(F.col("_hashes"), word_bits)}).drop("_hashes", "_packed", "_bits", "_at")
+    return df.withColumns({"n_repeat_words": covered, "_marks": _marks(F.col("_hashes"), word_bits)}).drop("_hashes", "_packed", "_bits", "_alike", "_at")
 
 
 def base_failed() -> Column:
@@ -114,8 +129,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, bits: tuple[int, int], smoothing
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     rows = docs.select("doc_id", _marks_of(F.col("text"), bits[0]).alias("_marks"))
-    # a merge join whatever the size of the labels: the two sides are shuffled once, at any scale
-    rows = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    # Spark broadcasts the ids while they are under its threshold; beyond, marks are shuffled, not texts
+    rows = rows.join(ids, F.col("doc_id") == F.col("_id"), "left")
     grams = rows.select("_trusted", F.explode(_grams(F.col("_marks"), bits)).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good")))
     n_raw, n_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
@@ -126,24 +141,45 @@ def ratios(docs: DataFrame, trusted: DataFrame, bits: tuple[int, int], smoothing
     return counts.select("bucket", F.round(ratio * MICRO).cast("long").alias("ratio"))
 
 
+def _as_array(table: DataFrame, n_buckets: int) -> DataFrame:
+    """One row, ratios: array<int> with the ratio of every bucket in its place, 0 for those without one."""
+    every = table.sparkSession.range(n_buckets).select(F.col("id").alias("bucket"))
+    every = every.join(table, "bucket", "left").select("bucket", F.coalesce("ratio", F.lit(0)).cast("int").alias("ratio"))
+    parts = every.groupBy(F.floor(F.col("bucket") / CHUNK).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("x"))
+    parts = parts.select("part", F.col("x.ratio").alias("x"))
+    return parts.agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("x")).select(F.flatten(F.col("x.x")).alias("ratios"))
+
+
+def _variable(one: DataFrame) -> Column:
+    """The single value of a frame of one row, as a session variable: lambdas can read those, but no subqueries."""
+    name = f"ratios_{uuid.uuid4().hex}"
+    one.sparkSession.sql(f"DECLARE VARIABLE {name} {one.schema[0].dataType.simpleString()}")
+    one.sparkSession.sql(f"SET VARIABLE {name} = (SELECT * FROM {{one}})", one=one)
+    return F.expr(f"session.{name}")
+
+
 def judge(
     docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, load: float = LOAD, carried: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST
 ) -> DataFrame:
     """A row for each row of docs: doc_id, the counts, base_failed, kept, n_grams, score, and the carried columns.
 
-    docs has doc_id and text; other columns are ignored. A null text counts as empty. Documents with no words have
-    score null and fail the base rules. Repeated rows get a row each; a null doc_id is kept as it is.
+    docs has doc_id and text; other columns are ignored unless carried (those must not have the name of a new column).
+    A null text counts as empty. Documents with no words have score null and fail the base rules. Repeated rows get a
+    row each; a null doc_id is kept as it is. An empty table gives an empty one.
     """
     bits = bits_for(docs, load)
     table = ratios(docs, trusted, bits)
-    rows = with_counts(docs.select("doc_id", "text", *carried), word_bits=bits[0])
+    n_buckets = (1 << bits[0]) + (1 << bits[1])
     keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *carried]
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0).cast("long")).alias("n_grams")
-    if (1 << bits[0]) + (1 << bits[1]) <= most_broadcast:
-        rows = rows.withColumn("_row", F.monotonically_increasing_id())
-        grams = rows.select("_row", *keys, F.explode_outer(_grams(F.col("_marks"), bits)).alias("bucket"))
-        scored = grams.join(F.broadcast(table), "bucket", "left").groupBy("_row", *keys)
-        scored = scored.agg(F.sum("ratio").alias("_sum")).select(*keys, n_grams, "_sum")
+    if n_buckets <= most_broadcast:
+        rows = with_counts(docs.select("doc_id", "text", *carried), word_bits=bits[0])
+        ratio = _variable(_as_array(table, n_buckets))
+        found = F.transform(_grams(F.col("_marks"), bits), lambda g: F.get(ratio, g.cast("int")).cast("long"))
+        total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x)
+        # a filter on the verdict isn't pushed below this column, where it would have the counts worked out twice
+        one = F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))
+        scored = rows.select(*keys, n_grams, (total + one).alias("_sum"))
     else:
         # rows with equal ids and texts add up to equal means
         key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key")
@@ -165,8 +201,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, load: float = LOAD) -> DataFrame:
-    """The rows of docs, with all their columns, whose document is kept."""
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    good = judge(rows, trusted, threshold, load, ("_text_hash",)).where("kept")
-    good = good.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash")).distinct()
-    return rows.join(good, rows["doc_id"].eqNullSafe(good["_id"]) & (rows["_text_hash"] == good["_hash"]), "left_semi").select(docs.columns)
+    """The rows of docs, with all their columns (whatever their names), whose document is kept. Rows aren't shuffled for it."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return judge(rows, trusted, threshold, load, ("_row",)).where("kept").select("_row.*")
