@@ -22,10 +22,12 @@ from lettercrate.llm.common import words_of, written
 
 #: Most n-grams of the corpus for each bucket, least bits of a word's and a pair's bucket, most buckets of a table that is one array
 #: (4 bytes each), and how many of them are gathered in one row on the way there.
-LOAD = 128.0
+LOAD = 256.0
 LEAST_BITS = (16, 18)
 MOST_BROADCAST = 1 << 23
 CHUNK = 1 << 12
+#: Most ids of trusted documents that are broadcast (8 bytes each).
+MOST_IDS = 1 << 20
 #: In nats an n-gram: junk scores far below this, clean text that merely differs from the trusted documents above it.
 THRESHOLD = -0.33
 SMOOTHING = 5.0
@@ -129,8 +131,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, bits: tuple[int, int], smoothing
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     rows = docs.select("doc_id", _marks_of(F.col("text"), bits[0]).alias("_marks"))
-    # Spark broadcasts the ids while they are under its threshold; beyond, marks are shuffled, not texts
-    rows = rows.join(ids, F.col("doc_id") == F.col("_id"), "left")
+    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+    # more ids than may be broadcast: the marks, not the texts, are shuffled to them
+    rows = rows.join(F.broadcast(ids) if few else ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     grams = rows.select("_trusted", F.explode(_grams(F.col("_marks"), bits)).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good")))
     n_raw, n_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
