@@ -1,13 +1,16 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into units: sentences, those of over ``longest`` words cut again after every word whose hash is a
-multiple of CUT, so that the cuts are the same on both sides of an edit. From each unit on, the
+A text is cut into units. A unit is a sentence: it ends with a line, or after closing punctuation before white space. A
+sentence of over ``longest`` words is no unit itself, since a passage copied from its middle would hold no whole one: it
+is cut after every word whose hash is a multiple of CUT, so at the same words on both sides of an edit, and after
+``longest`` words without such a word. From each unit on, the
 shortest run of consecutive units with at least ``least_units`` units and ``least_words`` words is a span (with
 ``pair_words``, which the query sets, also one of two units with at least so many words), and so is
 the shortest one backwards from each unit, where no forward one is the same; a text too short for any is one span as a
 whole. Any longer run that repeats is covered by spans inside it: each of its units starts or ends one, or lies within
 one. Spans are hashed and joined
-over all documents; the units of every occurrence but the first (least doc_id, then least place) are removed.
+over all documents; the units of every occurrence but the first (least doc_id, then least place) are removed. Texts are
+read in linear time, whatever they hold.
 
 Only hashes and places are shuffled for the search, three numbers a span. The first place of a hash is an aggregate,
 combined before the shuffle, so a passage that a third of all documents share costs a row a task there; in the join
@@ -16,6 +19,7 @@ back Spark splits such a hash, as neither side is needed together.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pyarrow as pa
@@ -29,21 +33,31 @@ LEAST_UNITS, LEAST_WORDS, LONGEST, CUT = 3, 12, 20, 8
 PAIR_WORDS = 24
 
 
+#: Where a sentence ends: closing punctuation, quotes and brackets after it, white space; or a line feed. Runs are taken
+#: from their start and whole, so no character is looked at again and again.
+SENTENCE_END = re.compile(r"(?:(?<![.!?…])[.!?…]++[\"'”’)\]]*+(?=\s)|\n)\s*+")
+WORD = re.compile(r"\S+")
+
+
 def _units(body: str, longest: int) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each unit, in order; white space after a unit belongs to it."""
-    import re
-
-    out, word = [], re.compile(r"\S+")
-    for sentence in re.finditer(r"[^\n]*?(?:[.!?…]+[\"'”’)\]]*(?=\s)|\n|\Z)\s*", body):
-        words = [(w.start(), w.group()) for w in word.finditer(body, sentence.start(), sentence.end())]
-        cuts = [0]
-        if len(words) > longest:
-            for i, (_, w) in enumerate(words, 1):
-                if i < len(words) and (i - cuts[-1] >= longest or zlib.crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0):
-                    cuts.append(i)
-        for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True) if words else ():
-            end = words[b][0] if b < len(words) else sentence.end()
-            out.append((words[a][0] if a else sentence.start(), end, [w for _, w in words[a:b]]))
+    """(start, end, words) of each unit, in order; white space after a unit belongs to it, as does what stands before
+    the first."""
+    out, start = [], 0
+    for stop in (*(m.end() for m in SENTENCE_END.finditer(body)), len(body)):
+        words = WORD.findall(body, start, stop)
+        if not words:
+            continue
+        if len(words) <= longest:
+            out.append((start, stop, words))
+        else:
+            first, at = 0, start
+            places = [m.start() for m in WORD.finditer(body, start, stop)]
+            for i, w in enumerate(words[:-1], 1):
+                if i - first >= longest or zlib.crc32(w.encode("utf-8", "surrogatepass")) % CUT == 0:
+                    out.append((at, places[i], words[first:i]))
+                    first, at = i, places[i]
+            out.append((at, stop, words[first:]))
+        start = stop
     return out
 
 
@@ -116,28 +130,33 @@ def repeated(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int =
 
 
 def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None) -> DataFrame:
-    """A row for each row of docs: doc_id, n_units, removed_units (array<int>), removed_chars, text without them.
+    """A row for each row of docs: doc_id, removed_units (array<int>, their numbers from 0), removed_chars, text without
+    them.
 
-    docs has doc_id and text; other columns are ignored. A null text stays null and has no units. Rows with the same
-    doc_id and text count as one document: they are treated alike, and don't make each other's spans repeated. A null
-    doc_id comes after all others.
+    docs has doc_id and text; other columns are ignored. A null text stays null, and it, an empty one and one of white
+    space alone have no units. Rows with the same doc_id and text count as one document: they are treated alike, and
+    don't make each other's spans repeated. A null doc_id comes after all others. No rows give no rows.
     """
     cut = repeated(docs, least_units, least_words, longest, pair_words).select(F.col("doc_id").alias("_id"), "mark", "codes")
     rows = docs.select("doc_id", "text", _mark(F.col("text")).alias("_mark"))
     rows = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["_mark"] == cut["mark"]), "left").select("doc_id", "text", "codes")
-    schema = "doc_id bigint, n_units int, removed_units array<int>, removed_chars int, text string"
+    schema = "doc_id bigint, removed_units array<int>, removed_chars int, text string"
 
     def per_batch(batches):
         for batch in batches:
-            out = []
-            for doc, body, codes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                units = _units(body or "", longest)
-                found = _spans([len(w) for _, _, w in units], least_units, least_words, pair_words) if codes else {}
-                drop = {k for code in codes or () for k in range(*found[code])}
-                left = "".join(body[a:b] for i, (a, b, _) in enumerate(units) if i not in drop) if drop else body
-                out.append((doc, len(units), sorted(drop), len(body or "") - len(left or ""), left))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string())
-            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_units", "removed_units", "removed_chars", "text"])
-
-    return rows.mapInArrow(per_batch, schema)
+            ids, texts = batch.column(0), batch.column(1)
+            numbers, chars, changed = [[]] * batch.num_rows, [0] * batch.num_rows, texts.to_pylist() if batch.column(2).null_count < batch.num_rows else None
+            # texts without repeats go through as they are
+            for row, codes in enumerate(batch.column(2).to_pylist()):
+                if codes:
+                    body = changed[row]
+                    units = _units(body, longest)
+                    found = _spans([len(w) for _, _, w in units], least_units, least_words, pair_words)
+                    drop = {k for code in codes for k in range(*found[code])}
+                    changed[row] = "".join([body[a:b] for i, (a, b, _) in enumerate(units) if i not in drop])
+                    numbers[row], chars[row] = sorted(drop), len(body) - len(changed[row])
+            left = texts if changed is None else pa.array(changed, pa.string())
+            columns = [ids, pa.array(numbers, pa.list_(pa.int32())), pa.array(chars, pa.int32()), left]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "removed_units", "removed_chars", "text"])
+
+    return rows.select(F.col("doc_id").cast("bigint"), "text", "codes").mapInArrow(per_batch, schema)
