@@ -45,10 +45,11 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]+", 24),
 )
-#: Widely published formats of keys; they add to the base rules.
+#: Widely published formats of keys; they add to the base rules. Each reads a text in linear time: a match starts only
+#: where a token starts, runs don't give characters back, or lengths are bounded.
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("code_host", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("url_login", r"://[A-Za-z0-9._~%+-]{1,64}:[A-Za-z0-9._~%+!$&*=-]{3,128}@"),
@@ -144,7 +145,8 @@ def as_text(findings: Column) -> Column:
 
 def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<secret>") -> DataFrame:
     """docs with every finding in text replaced by ``mark`` (overlapping or touching ones by one together) and n_chars,
-    where there is such a column, counted anew. Rows without findings stay as they are, null texts included."""
+    where there is such a column, counted anew. Rows without findings stay as they are, null texts included; so do all
+    other columns, whatever their names. Repeated rows are treated alike; no rows give no rows."""
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -158,9 +160,12 @@ def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
 
         return pd.Series([one(*x) if x[1] is not None and len(x[1]) else x[0] for x in zip(text, starts, ends, strict=True)], dtype=object)
 
-    found = findings_of(ledger, rules).select("blob", F.col("findings.start").alias("_starts"), F.col("findings.end").alias("_ends"))
-    out = docs.withColumn("_blob", blob_of(F.col("text"))).join(found, F.col("_blob") == F.col("blob"), "left")
-    out = out.withColumn("text", clean("text", "_starts", "_ends"))
+    found = findings_of(ledger, rules).select("blob", F.col("findings.start").alias("starts"), F.col("findings.end").alias("ends"))
+    # a row travels as one column, so its names meet no others
+    rows = docs.select(blob_of(F.col("text")).alias("address"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(found, F.col("address") == F.col("blob"), "left").select("row", "starts", "ends", clean("row.text", "starts", "ends").alias("cleaned"))
+    new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        n_chars = F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("starts").isNull(), F.col("row.n_chars")).otherwise(n_chars)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
