@@ -30,11 +30,14 @@ from lettercrate.llm.common import written
 CAPACITY, SMALL, GROUPS = 1024, 448, 128
 END = 2
 RANKED_TOGETHER = 20_000
+#: What a Python worker remembers of runs and their ids, in bytes, an entry's own overhead included.
+MOST_REMEMBERED, ENTRY = 128 << 20, 200
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """texts -> ids as little-endian unsigned 32-bit numbers, the same as the tokenizers library gives.
+    """texts -> ids as little-endian unsigned 32-bit numbers, the same as the tokenizers library gives, added tokens such
+    as <|endoftext|> in a text included.
 
     A pre-token always ends before a space or line feed between two characters other than white space. Runs between
     such places are encoded apart, those of a batch together, and remembered for the life of a Python worker. Texts
@@ -46,19 +49,21 @@ def _encoder(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, special = whole["model"], {x["content"]: x["id"] for x in whole.get("added_tokens", ())}
     # the byte alphabet of byte-level BPE: printable Latin-1 characters are themselves, the rest follow from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
-    ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token != "<|endoftext|>"}
+    ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    coding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    coding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     others = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
     wide = others + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
     known: dict[str, bytes] = {}
+    size = 0
 
     def encode(text: str):
-        return coding.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        return coding.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
     def runs_of(text: str) -> list[str] | None:
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
@@ -68,8 +73,10 @@ def _encoder(path: str):
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def ids_of(texts: list[str]) -> list[bytes]:
-        if len(known) > 700_000:
+        nonlocal size
+        if size > MOST_REMEMBERED:
             known.clear()
+            size = 0
         known["\n"] = encode("\n").tobytes()
         runs = [runs_of(x) for x in texts]
         new = [r for r in set().union(*(r for r in runs if r)) if r not in known]
@@ -79,6 +86,7 @@ def _encoder(path: str):
             flat = ids.tobytes()
             for run, a, b in zip(new, [0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True):
                 known[run] = flat[4 * a : 4 * b]
+                size += ENTRY + len(run) + 4 * (b - a)
         of = known.__getitem__
         return [b"".join(map(of, r)) if r else encode(x).tobytes() if x else b"" for x, r in zip(texts, runs, strict=True)]
 
