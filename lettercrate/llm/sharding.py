@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots.
 
 A record's slot is a hash of its id, one of some thousand, and never changes. Bytes and rows are summed per slot, and
-a versioned map says which shard holds a slot. The first version deals slots to shards by size, largest first to the
+a versioned map says which shard holds a slot, for every slot there is, in use or not, so it has a shard for any row
+that comes later. The first version deals slots to shards by size, largest first to the
 lightest shard; later versions edit the one before: only slots that must move do. Moving a slot moves its rows and
 nothing else. The map has one row a slot, whatever the number of records, so it is made on the driver and broadcast.
 """
@@ -18,25 +19,33 @@ MAP = "version int, virtual_slot int, shard int, n_bytes bigint, n_rows bigint"
 
 
 def with_slots(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
-    """docs with virtual_slot and size (UTF-8 bytes of text, none for null, plus 1)."""
+    """docs with virtual_slot and size (UTF-8 bytes of text, none for null, plus 1); columns with these names are
+    replaced. A row without an id is dealt by its text, lest all such rows meet in one slot."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return docs.withColumns({"virtual_slot": F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int"), "size": size})
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.xxhash64("doc_id"))
+    return docs.withColumns({"virtual_slot": F.pmod(mark, F.lit(n_slots)).cast("int"), "size": size})
 
 
-def slot_sizes(rows: DataFrame) -> list[tuple[int, int, int]]:
-    """(virtual_slot, bytes, rows) of the slots in use."""
+def slot_sizes(rows: DataFrame, n_slots: int = SLOTS) -> list[tuple[int, int, int]]:
+    """(virtual_slot, bytes, rows) of every slot, 0 and 0 for those without rows; n_slots rows on the driver."""
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    return [(r["virtual_slot"], r["b"], r["n"]) for r in sums.collect()]
+    used = {r["virtual_slot"]: (r["b"], r["n"]) for r in sums.collect()}
+    return [(slot, *used.get(slot, (0, 0))) for slot in range(n_slots)]
 
 
 def first_map(sizes: list[tuple[int, int, int]], n_shards: int) -> list[tuple[int, int, int, int, int]]:
-    """Version 1: slots by size, largest first, each to the shard with the fewest bytes so far."""
+    """Version 1: slots by size, largest first, each to the shard with the fewest bytes so far; of slots without bytes
+    each to the shard with the fewest slots."""
     heap = [(0, shard) for shard in range(n_shards)]
-    out = []
+    out, held = [], [0] * n_shards
     for slot, size, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        total, shard = heapq.heappop(heap)
+        if size:
+            total, shard = heapq.heappop(heap)
+            heapq.heappush(heap, (total + size, shard))
+        else:
+            shard = min(range(n_shards), key=lambda k: (held[k], k))
+        held[shard] += 1
         out.append((1, slot, shard, size, n))
-        heapq.heappush(heap, (total + size, shard))
     return sorted(out)
 
 
@@ -84,25 +93,40 @@ def load_map(spark: SparkSession, root: str, version: int | None = None) -> list
     return sorted(tuple(r) for r in table.where(F.col("version") == version).select(*[x.split()[0] for x in MAP.split(", ")]).collect())
 
 
-def assign(rows: DataFrame, mapping: list[tuple]) -> DataFrame:
+def _whole(mapping: list[tuple], n_slots: int) -> None:
+    """Refuses a map without a shard for some slot, which would lose rows."""
+    missing = set(range(n_slots)) - {x[1] for x in mapping}
+    if missing:
+        raise ValueError(f"the map lacks {len(missing)} of {n_slots} slots, such as {min(missing)}")
+
+
+def assign(rows: DataFrame, mapping: list[tuple], n_slots: int = SLOTS) -> DataFrame:
     """rows (from with_slots, with doc_id and size) with shard, slot (its number in the shard, from 0 without gaps) and
-    map_version.
+    map_version; columns with these names are replaced, others kept whatever their names.
 
-    Rows are numbered within their virtual slot, and each virtual slot starts where those before it in its shard end,
-    so no task sees a whole shard. Rows in a virtual slot that the map lacks get a null shard.
+    The map's row counts must be those of rows. Rows are numbered within their virtual slot, and each virtual slot
+    starts where those before it in its shard end, so no task sees a whole shard. A map that lacks slots is refused.
+    No rows give no rows; repeated rows get a number each.
     """
+    _whole(mapping, n_slots)
     starts, at = [], {}
     for version, slot, shard, _, n in sorted(mapping, key=lambda x: (x[2], x[1])):
-        starts.append((version, slot, shard, at.get(shard, 0)))
+        starts.append((slot, version, shard, at.get(shard, 0)))
         at[shard] = at.get(shard, 0) + n
-    table = rows.sparkSession.createDataFrame(starts, "map_version int, virtual_slot int, shard int, _start bigint")
-    w = Window.partitionBy("virtual_slot").orderBy("doc_id", *[c for c in rows.columns if c not in ("doc_id", "virtual_slot")])
-    numbered = rows.withColumn("_number", F.row_number().over(w)).join(F.broadcast(table), "virtual_slot", "left")
-    return numbered.withColumn("slot", (F.col("_start") + F.col("_number") - 1).cast("long")).drop("_start", "_number")
+    table = rows.sparkSession.createDataFrame(starts, "at int, version int, shard int, start bigint")
+    kept = rows.drop("shard", "slot", "map_version")
+    # the row travels as one column, so its names meet no others
+    packed = kept.select("virtual_slot", F.struct(*kept.columns).alias("row"))
+    w = Window.partitionBy("virtual_slot").orderBy(*[F.col("row")[c] for c, kind in kept.dtypes if c != "virtual_slot" and "map<" not in kind and kind != "variant"])
+    numbered = packed.withColumn("number", F.row_number().over(w)).join(F.broadcast(table), F.col("virtual_slot") == F.col("at"))
+    return numbered.select("row.*", "shard", (F.col("start") + F.col("number") - 1).cast("long").alias("slot"), F.col("version").alias("map_version"))
 
 
 def write_shards(docs: DataFrame, mapping: list[tuple], path: str, n_slots: int = SLOTS) -> None:
-    """Writes docs as one folder a shard (shard=0, shard=1, ...), each in files of whole virtual slots."""
-    table = docs.sparkSession.createDataFrame([(x[1], x[2]) for x in mapping], "virtual_slot int, shard int")
-    rows = with_slots(docs, n_slots).join(F.broadcast(table), "virtual_slot")
-    rows.repartition("virtual_slot").write.partitionBy("shard").parquet(path)
+    """Writes docs as one folder a shard (shard=0, shard=1, ...), each in files of whole virtual slots, with virtual_slot
+    and size. A column shard of docs is replaced, as the folders have that name. A map that lacks slots is refused."""
+    _whole(mapping, n_slots)
+    table = docs.sparkSession.createDataFrame([(x[1], x[2]) for x in mapping], "at int, shard int")
+    rows = with_slots(docs.drop("shard"), n_slots)
+    rows = rows.select("virtual_slot", F.struct(*rows.columns).alias("row")).repartition("virtual_slot")
+    rows.join(F.broadcast(table), F.col("virtual_slot") == F.col("at")).select("row.*", "shard").write.partitionBy("shard").parquet(path)
