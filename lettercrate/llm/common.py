@@ -28,7 +28,25 @@ def written(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: later jobs start from files, not from its lineage."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table that nothing will read again; what other frames are read from later must stay."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Scripts that are written without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
+def tokens_of(text: Column) -> Column:
+    """The words of a text; in scripts without spaces, every letter. None for a null text."""
+    return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"({UNSPACED})", " $1 "), WHITE), "")
 
 
 def words_of(text: Column) -> Column:

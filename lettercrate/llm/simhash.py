@@ -4,11 +4,13 @@ Each distinct fingerprint gets a row of Hamming distances to many reference fing
 in at most r bits, their distances to every pivot differ by at most r, so a pair whose largest coordinate difference
 exceeds r is discarded without comparing fingerprints; survivors are verified bit by bit.
 
-Which pairs are looked at: two fingerprints that differ in at most r bits agree on one of r + 1 bands of bits. Pairs
-are joined on an equal band and an equal or neighbouring cell of one pivot coordinate, so nothing is compared with
-everything. A crowded group (more than ``crowd`` fingerprints with an equal band) isn't paired off at all: for r = 2
-two fingerprints are linked exactly if a third lies within one bit of both, so each of its members names its 65
-neighbours, and members that name the same one are linked to the least of them. Both ways together are exact.
+Which pairs are looked at: of two fingerprints that differ in at most r bits one of r + 1 bands of bits is equal, and so
+is one of r + 1 bands of the remaining bits. Pairs are joined on an equal pair of bands (over half of all bits) and an
+equal or neighbouring cell of one pivot coordinate, so nothing is compared with everything; pivot tables then discard,
+and bits verify. Should more than ``crowd`` distinct fingerprints share such a pair of bands, pairing them off would be
+quadratic; for r = 2 there is an exact way for those: two fingerprints are linked exactly if a third lies within one bit
+of both, so each names its 65 neighbours, and those that name the same one are paired with the least of them. These
+pairs go through the same tables and the same verification.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettercrate.llm.common import written
+from lettercrate.llm.common import discard, written
 
 RADIUS = 2
 #: Reference fingerprints: words of the SplitMix64 sequence, a fixed rule.
 N_PIVOTS = 24
 CELL = 4
-CROWD = 128
+#: Most distinct fingerprints with an equal pair of bands that are paired off.
+CROWD = 2048
+#: A key with more than one in so many rows is hot: there are fewer hot keys than this, so they may be broadcast.
+HOT = 1000
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:
@@ -84,23 +89,35 @@ def _table(fingerprint: Column) -> Column:
     return F.array(*[F.bit_count(fingerprint.bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()])
 
 
+def _masks(radius: int) -> list[int]:
+    """Masks of the pairs of bands: a band of 64 bits, and a band of the bits outside it, as signed numbers."""
+
+    def bands(bits: list[int]) -> list[list[int]]:
+        cuts = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
+        return [bits[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+    out = []
+    for outer in bands(list(range(64))):
+        for inner in bands([x for x in range(64) if x not in outer]):
+            mask = sum(1 << x for x in (*outer, *inner))
+            out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
+
+
 def links(marks: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """(a, b), a < b: edges between distinct fingerprints of marks (column fingerprint) whose connected components
-    are those of all pairs within ``radius`` bits. Each edge is such a pair."""
-    if radius != 2:
-        raise ValueError("the exact way for crowded groups is worked out for radius 2")
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    """(a, b), a < b: edges between distinct fingerprints of marks (column fingerprint; nulls are left out) whose
+    connected components are those of all pairs within ``radius`` bits. Each edge is such a pair.
+
+    For another radius than 2 crowded groups have no way of their own and are paired off like the others.
+    """
     f = F.col("fingerprint")
-    bands = F.array(*[
-        F.struct(F.lit(i).alias("band"), f.bitwiseAND(F.lit(((1 << (hi - lo)) - 1) << lo if hi < 64 else -(1 << lo))).alias("bits"))
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-    ])
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), f.bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(_masks(radius))])
     rows = marks.select("fingerprint").where("fingerprint is not null").distinct()
     rows = rows.withColumn("x", F.explode(bands)).select("fingerprint", "x.*")
     sizes = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
     rows = written(rows.join(sizes, ["band", "bits"]))
 
-    few = rows.where(F.col("n") <= crowd).select("band", "bits", "fingerprint", _table(f).alias("table"))
+    few = (rows.where(F.col("n") <= crowd) if radius == 2 else rows).select("band", "bits", "fingerprint", _table(f).alias("table"))
     cell = F.floor(F.get("table", F.lit(0)) / CELL).cast("int")
     a = few.select("band", "bits", F.col("fingerprint").alias("a"), F.col("table").alias("ta"), cell.alias("cell"))
     b = few.select("band", "bits", F.col("fingerprint").alias("b"), F.col("table").alias("tb"), F.explode(_cells(F.get("table", F.lit(0)), radius)).alias("cell"))
@@ -108,14 +125,17 @@ def links(marks: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFra
     for i in range(N_PIVOTS):
         near = near & (F.abs(F.get("ta", F.lit(i)) - F.get("tb", F.lit(i))) <= radius)
     # near stands first, so that pivots discard pairs before fingerprints are compared
-    verified = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = a.join(b, ["band", "bits", "cell"]).where((F.col("a") < F.col("b")) & near & verified).select("a", "b")
+    kept = near & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    pairs = a.join(b, ["band", "bits", "cell"]).where((F.col("a") < F.col("b")) & kept).select("a", "b")
+    if radius != 2:
+        return pairs.distinct()
 
     crowded = rows.where(F.col("n") > crowd).select("fingerprint").distinct()
     around = F.array(f, *[f.bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
     named = crowded.select("fingerprint", F.explode(around).alias("point"))
     least = named.groupBy("point").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a")
-    stars = named.join(least, "point").where(f > F.col("a")).select("a", f.alias("b"))
+    stars = named.join(least, "point").where(f > F.col("a")).select("a", f.alias("b")).distinct()
+    stars = stars.select("a", "b", _table(F.col("a")).alias("ta"), _table(F.col("b")).alias("tb")).where(kept).select("a", "b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -138,7 +158,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, now = now, written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         before, seen = seen, _sum(now)
         if seen == before:
             break
@@ -153,35 +174,56 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 30))), F.lit(0))).first())
 
 
-def _rooted(docs: DataFrame, width: int, radius: int) -> DataFrame:
-    """docs without its text and with fingerprint and root, the least fingerprint of its component."""
-    marks = written(fingerprints(docs, width))
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table on key. table has each key of rows once, and n, the number of its rows, which is dropped.
+
+    Rows of hot keys meet a broadcast of fewer than HOT rows, so no task gets a hot key's rows all together.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT > total
+    hot = table.where(is_hot).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~is_hot).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _rooted(marks: DataFrame, least, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(a written table of fingerprint, root, n and least, one row a fingerprint; the same by root, one row a root).
+
+    marks: a written table with fingerprint; least: an aggregate over the rows of a fingerprint whose least value is
+    wanted; root: the least fingerprint of the component.
+    """
+    own = marks.groupBy("fingerprint").agg(least.alias("least"), F.count("*").alias("n"))
     roots = components(links(marks, radius))
-    rows = marks.join(roots, F.col("fingerprint") == F.col("node"), "left").select(*marks.columns, F.coalesce("root", "fingerprint").alias("root"))
-    return written(rows)
+    own = own.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least", "n")
+    own = written(own)
+    return own, written(own.groupBy("root").agg(F.min("least").alias("chosen"), F.count("*").alias("n")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """A row for each row of docs: doc_id, fingerprint (16 hex digits), component_id, the least doc_id linked to it
     over any number of links of at most ``radius`` bits.
 
-    Repeated rows get equal rows; a null doc_id is a document whose id is never the least unless all are null.
+    docs has doc_id and text; other columns are ignored. Repeated rows get equal rows; a null doc_id is a document whose
+    id is never the least unless all are null. No rows give no rows.
     """
-    rows = _rooted(docs.select("doc_id", "text"), width, radius)
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(names, "root")
+    marks = written(fingerprints(docs.select("doc_id", "text"), width))
+    own, roots = _rooted(marks, F.min("doc_id"), radius)
+    named = _looked_up(own.select("fingerprint", "root", F.col("n").alias("rows")), roots, "root")
+    named = written(named.select("fingerprint", F.col("chosen").alias("component_id"), F.col("rows").alias("n")))
+    out = _looked_up(marks, named, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least doc_id stays (then the least hash of its
-    text), one if several share both.
+    """docs without near-duplicates, with all columns, whatever their names: of each component the row with the least
+    doc_id stays (then the least hash of its text), one if several share both.
 
-    A row without an id counts as having one of its own, above all others and the same for equal texts.
+    A row without an id counts as having one of its own, above all others and the same for equal texts. No rows give
+    no rows.
     """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     own = F.lit(1 << 62) + F.pmod(mark, F.lit(1 << 61))
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", own), "_hash": mark})
-    kept = _rooted(rows.select("_id", "_hash", "text"), width, radius)
-    kept = kept.groupBy("root").agg(F.min(F.struct("_id", "_hash")).alias("x")).select("x.*")
-    return rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)
+    rows = docs.select(F.coalesce("doc_id", own).alias("id"), mark.alias("hash"), "text", F.struct(*docs.columns).alias("row"))
+    marks = written(fingerprints(rows.select("id", "hash", "text"), width))
+    kept = _rooted(marks, F.min(F.struct("id", "hash")), radius)[1].select("chosen.*")
+    return rows.drop("text").join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
