@@ -1,7 +1,7 @@
 """Quality rules: document counts, and a hashed n-gram likelihood ratio of trusted text to raw text.
 
 Words and pairs of neighbouring words are hashed into buckets, whose numbers grow in proportion to the corpus, one for
-at most ``load`` n-grams of it, so that they never fill up. Two multinomials over the buckets are
+at most ``load`` n-grams of it, up to two to the power of ``most_bits`` each. Two multinomials over the buckets are
 counted on all documents: one on the trusted documents, one on the raw corpus. A document's score is the mean, over
 its n-grams, of log(p_trusted / p_raw); documents whose score is below ``threshold`` are rejected.
 
@@ -18,12 +18,15 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettercrate.llm.common import words_of, written
+from lettercrate.llm.common import discard, words_of, written
 
-#: Most n-grams of the corpus for each bucket, least bits of a word's and a pair's bucket, most buckets of a table that is one array
-#: (4 bytes each), and how many of them are gathered in one row on the way there.
+#: Most n-grams of the corpus for each bucket, while there are fewer buckets than 1 << MOST_BITS for words and for pairs;
+#: least bits of a word's and a pair's bucket. Every task of the count shuffles a row for each bucket that it has met, so
+#: more bits cost disk in proportion; with fewer a bucket stands for more n-grams.
 LOAD = 256.0
 LEAST_BITS = (16, 18)
+MOST_BITS = 19
+#: Most buckets of a table that is one array (4 bytes each), and how many of them are gathered in one row on the way there.
 MOST_BROADCAST = 1 << 23
 CHUNK = 1 << 12
 #: Most ids of trusted documents that are broadcast (8 bytes each).
@@ -53,15 +56,17 @@ def _marks_of(text: Column, word_bits: int) -> Column:
     return _marks(F.transform(words_of(text), lambda w: F.xxhash64(w)), word_bits)
 
 
-def bits_for(docs: DataFrame, load: float = LOAD) -> tuple[int, int]:
-    """Bits of the word and pair buckets: one bucket for at most ``load`` words, or pairs, of all documents together.
+def bits_for(docs: DataFrame, load: float = LOAD, most_bits: int = 32) -> tuple[int, int]:
+    """Bits of the word and pair buckets: one bucket for at most ``load`` words, or pairs, of all documents together, as
+    far as ``most_bits`` allow.
 
-    The vocabulary grows more slowly than the corpus, so a bucket never stands for more distinct n-grams as it grows.
+    The vocabulary grows more slowly than the corpus, so up to there a bucket never stands for more distinct n-grams as
+    the corpus grows.
     """
     words = F.size(words_of(F.col("text"))).cast("long")
     counts = docs.agg(F.sum(words), F.sum(F.greatest(words - 1, F.lit(0).cast("long")))).first()
     needed = [max(0, int((n or 0) / load) - 1).bit_length() for n in counts]
-    return min(32, max(LEAST_BITS[0], needed[0])), min(62, max(LEAST_BITS[1], needed[1]))
+    return min(most_bits, max(LEAST_BITS[0], needed[0])), min(most_bits, max(LEAST_BITS[1], needed[1]))
 
 
 def with_counts(df: DataFrame, text: str = "text", word_bits: int = LEAST_BITS[0]) -> DataFrame:
@@ -137,11 +142,13 @@ def ratios(docs: DataFrame, trusted: DataFrame, bits: tuple[int, int], smoothing
     grams = rows.select("_trusted", F.explode(_grams(F.col("_marks"), bits)).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good")))
     n_raw, n_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    if not n_good:
-        return counts.select("bucket", F.lit(0).cast("long").alias("ratio"))
-    # (good + s * n_good / n_raw) / (n_good + ...) over (raw + s) / (n_raw + ...): what is left of the two multinomials
-    ratio = F.log((F.col("good") * n_raw / n_good + smoothing) / (F.col("raw") + smoothing))
-    return counts.select("bucket", F.round(ratio * MICRO).cast("long").alias("ratio"))
+    ratio = F.lit(0)
+    if n_good:
+        # (good + s * n_good / n_raw) / (n_good + ...) over (raw + s) / (n_raw + ...): what is left of the two multinomials
+        ratio = F.log((F.col("good") * n_raw / n_good + smoothing) / (F.col("raw") + smoothing))
+    out = counts.select("bucket", F.round(ratio * MICRO).cast("long").alias("ratio"))
+    out.written_at = counts.written_at
+    return out
 
 
 def _as_array(table: DataFrame, n_buckets: int) -> DataFrame:
@@ -162,7 +169,7 @@ def _variable(one: DataFrame) -> Column:
 
 
 def judge(
-    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, load: float = LOAD, carried: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST
+    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, load: float = LOAD, carried: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST, most_bits: int = MOST_BITS
 ) -> DataFrame:
     """A row for each row of docs: doc_id, the counts, base_failed, kept, n_grams, score, and the carried columns.
 
@@ -170,7 +177,7 @@ def judge(
     A null text counts as empty. Documents with no words have score null and fail the base rules. Repeated rows get a
     row each; a null doc_id is kept as it is. An empty table gives an empty one.
     """
-    bits = bits_for(docs, load)
+    bits = bits_for(docs, load, most_bits)
     table = ratios(docs, trusted, bits)
     n_buckets = (1 << bits[0]) + (1 << bits[1])
     keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *carried]
@@ -178,6 +185,7 @@ def judge(
     if n_buckets <= most_broadcast:
         rows = with_counts(docs.select("doc_id", "text", *carried), word_bits=bits[0])
         ratio = _variable(_as_array(table, n_buckets))
+        discard(table)
         found = F.transform(_grams(F.col("_marks"), bits), lambda g: F.get(ratio, g.cast("int")).cast("long"))
         total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x)
         # a filter on the verdict isn't pushed below this column, where it would have the counts worked out twice
