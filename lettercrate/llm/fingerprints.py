@@ -1,6 +1,6 @@
-"""Document fingerprints from closed syncmers over words.
+"""Document fingerprints from closed syncmers over tokens.
 
-A k-mer (k words in a row) is chosen when the least of its s-mers (by hash) is its first or its last one. Whether a
+Tokens are words, and in scripts without spaces letters. A k-mer (k tokens in a row) is chosen when the least of its s-mers (by hash) is its first or its last one. Whether a
 k-mer is chosen depends on its own words alone, so equal passages have equal anchors wherever they stand, and anchors
 carry their place for positional matching. A text of fewer than k words has one anchor, its whole word sequence; a
 text without words has none. A text of k words or more in which no k-mer is chosen has none either, unless ``always``
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from lettercrate.llm.common import words_of
+from lettercrate.llm.common import tokens_of
 
 K, S = 7, 2
 
@@ -22,7 +22,7 @@ def anchors(df: DataFrame, text: str, into: str, k: int = K, s: int = S, always:
     """df with the column ``into``: array<struct<place int, hash long>>, the chosen k-mers in order of place."""
     m = k - s + 1
     words, inner = f"_{into}_words", f"_{into}_inner"
-    df = df.withColumn(words, words_of(F.col(text)))
+    df = df.withColumn(words, tokens_of(F.col(text)))
     w = F.col(words)
     smers = F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, s))))
     df = df.withColumn(inner, F.slice(smers, 1, F.greatest(F.size(w) - (s - 1), F.lit(0))))
@@ -67,11 +67,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
+def aligned(a: Column, b: Column) -> Column:
+    """How many anchors two documents have in common at one and the same place."""
+    placed = lambda x: F.transform(x, lambda y: F.xxhash64(y["place"], y["hash"]))
+    return F.size(F.array_intersect(placed(a), placed(b))).cast("long")
+
+
 def matches(left: DataFrame, right: DataFrame, min_anchors: int = 2) -> DataFrame:
-    """Positional matching: pairs (left_id, right_id, shift, n_anchors) of documents with at least min_anchors common
-    anchors at one shift (place on the right minus place on the left).
+    """Positional matching of a stated query set on the left: pairs (left_id, right_id, shift, n_anchors) of documents
+    with at least min_anchors common anchors at one shift (place on the right minus place on the left).
 
-    Both frames have doc_id and anchors. Repeated anchors are counted once for each pair of places.
+    Both frames have doc_id and anchors. Repeated anchors are counted once for each pair of places. For all documents
+    against all use first_matches, whose rows grow with the anchors and not with their pairs.
     """
     a = left.select(F.col("doc_id").alias("left_id"), F.explode("anchors").alias("x")).select("left_id", F.col("x.place").alias("p"), F.col("x.hash").alias("hash"))
     b = right.select(F.col("doc_id").alias("right_id"), F.explode("anchors").alias("x")).select("right_id", F.col("x.place").alias("q"), F.col("x.hash").alias("hash"))
@@ -79,33 +86,80 @@ def matches(left: DataFrame, right: DataFrame, min_anchors: int = 2) -> DataFram
     return pairs.where(F.col("n_anchors") >= min_anchors)
 
 
+def first_matches(docs: DataFrame, min_anchors: int = 2) -> DataFrame:
+    """Positional matching of all documents: rows (doc_id, first_id, shift, n_anchors), where first_id is the least
+    document with an anchor of doc_id and shift the place there minus the place here, with at least min_anchors such
+    anchors. docs has doc_id and anchors; rows without an id are left out.
+
+    An anchor is paired with its first place alone, so one that a third of all documents share costs a row for each
+    document; the first places are an aggregate, combined before the shuffle.
+    """
+    rows = docs.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.*")
+    firsts = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = rows.join(firsts, "hash").where(F.col("doc_id") != F.col("first.doc_id"))
+    pairs = pairs.groupBy("doc_id", F.col("first.doc_id").alias("first_id"), (F.col("first.place") - F.col("place")).alias("shift")).agg(F.count("*").alias("n_anchors"))
+    return pairs.where(F.col("n_anchors") >= min_anchors)
+
+
+def _cuts(docs: DataFrame, parts: int) -> list[list[int]]:
+    """Ids that cut the documents with ids into about ``parts`` runs of equal counts, in two levels: the last id of every
+    upper run closes its list. At most some thousand lists of some thousand ids, however large the table."""
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"))
+    upper = min(1000, parts)
+    quantiles = lambda n: [i / n for i in range(1, n + 1)]
+    tops = sorted(set(ids.agg(F.percentile_approx("id", quantiles(upper), 20 * upper)).first()[0] or ()))
+    lower = -(-parts // upper)
+    if lower == 1:
+        return [[x] for x in tops]
+    run = F.size(F.filter(F.lit(tops), lambda c: c < F.col("id")))
+    found = ids.groupBy(run.alias("run")).agg(F.percentile_approx("id", quantiles(lower), 20 * lower).alias("cuts"))
+    return [sorted(set(r["cuts"])) for r in found.orderBy("run").collect()]
+
+
 def in_ranges(docs: DataFrame, rows_per_range: int = 2000) -> DataFrame:
     """docs (doc_id, text) dealt into ranges of doc_id for windows that look at the next document.
 
-    Order: descending doc_id, equal ids by the hash of their text, null ids last, and after the last the first again.
-    The ids are cut at quantiles (at most 10,000 numbers on the driver), so ranges have about equal row counts. Each
-    range also gets the rows that come after its own last row (``_own`` false), so a ``lead`` over in_order()
-    finds every next row without a global sort.
+    Order: descending doc_id, equal ids by the hash of their text, null ids last by the hash of their text, and after the
+    last the first again. Ids are cut at quantiles, rows without an id at equal steps of the hash, so ranges have about
+    equal row counts and their number grows with the table. Each range also gets the rows that come after its own last
+    row (``_own`` false), so a ``lead`` over in_order() finds every next row without a global sort.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).first()
-    parts = min(10_000, max(1, stats["n"] // rows_per_range))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
-    cuts = F.lit(sorted({int(c) for c in cuts or () if c < stats["top"]})).cast("array<bigint>")
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tie"))
+    stats = rows.agg(F.count("doc_id").alias("n"), F.max("doc_id").cast("bigint").alias("top"), F.count_if(F.isnull("doc_id")).alias("bare")).first()
+    lists = _cuts(docs, max(1, stats["n"] // rows_per_range)) if stats["n"] else []
+    tops, starts = [x[-1] for x in lists], [0]
+    for x in lists:
+        starts.append(starts[-1] + len(x))
     this = F.col("doc_id").cast("bigint")
-    # range i holds the ids above cut i-1 up to cut i; null ids go to range 0, the last one
-    own = F.when(this.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c < this)))
-    first = F.coalesce(this == F.lit(stats["top"]).cast("bigint"), F.lit(stats["top"] is None))
-
-    def place(number: Column, is_own: bool, late: int) -> Column:
-        return F.struct(number.alias("_range"), F.lit(is_own).alias("_own"), F.lit(late).alias("_late"))
-
+    longs = lambda x: F.lit(x).cast("array<bigint>")
+    nested = F.array(*[longs(x) for x in lists]) if lists else F.lit(None).cast("array<array<bigint>>")
+    above = F.size(F.filter(longs(tops), lambda c: c < this))
+    mine = F.get(nested, above)
+    # range i holds the ids above the cut before it up to its own; 0 is the last of those with ids
+    number = F.get(longs(starts), above) + F.size(F.filter(mine, lambda c: c < this))
+    is_cut = F.array_contains(mine, this) & (this != stats["top"]) if lists else F.lit(False)
+
+    # rows without an id: ranges -1, -2, ... in order; each range's first hash is known
+    steps = max(1, stats["bare"] // rows_per_range)
+    step = F.floor((F.shiftright("_tie", 32) + (1 << 31)) * steps / (1 << 32)).cast("long")
+    heads = sorted(tuple(r) for r in rows.where("doc_id is null").groupBy(step.alias("s")).agg(F.min("_tie")).collect()) if stats["bare"] else []
+    last = -1 - heads[-1][0] if heads else 0
+    bare_range = -1 - step
+    before = [0 if lists else None, *(-1 - s for s, _ in heads)]  # the range before each head, none before the very first row
+    places_of_heads = F.create_map(*[x for (_, tie), at in zip(heads, before, strict=False) if at is not None for x in (F.lit(tie), F.lit(at).cast("long"))]) if len(heads) + bool(lists) > 1 else None
+    first = this == F.lit(stats["top"]) if lists else F.isnull(this) & (F.col("_tie") == F.lit(heads[0][1] if heads else 0))
+
+    def place(at: Column, is_own: bool, late: int) -> Column:
+        return F.struct(at.cast("long").alias("_range"), F.lit(is_own).alias("_own"), F.lit(late).alias("_late"))
+
+    head_at = F.try_element_at(places_of_heads, F.col("_tie")) if places_of_heads is not None else F.lit(None).cast("long")
     places = F.array_compact(F.array(
-        place(own, True, 0),
-        F.when(F.array_contains(cuts, this), place(own + 1, False, 1)),
-        F.when(first, place(F.lit(0), False, 2)),
+        place(F.when(this.isNull(), bare_range).otherwise(number), True, 0),
+        F.when(is_cut, place(number + 1, False, 1)),
+        F.when(this.isNull() & head_at.isNotNull(), place(head_at, False, 1)),
+        F.when(first, place(F.lit(last), False, 2)),
     ))
-    rows = docs.select("doc_id", "text", F.explode(places).alias("_place")).select("doc_id", "text", "_place.*")
-    return rows.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.select("doc_id", "text", "_tie", F.explode(places).alias("_place")).select("doc_id", "text", "_tie", "_place.*")
 
 
 def in_order() -> WindowSpec:
@@ -122,7 +176,10 @@ def edited(text: Column, following: Column) -> Column:
 
 def compare_with_edits(docs: DataFrame, k: int = K, s: int = S, always: bool = False) -> DataFrame:
     """A row for each row of docs: its fingerprint, that of its edited text, and its likeness to that and to the next
-    document's. A null text counts as empty; a table of one row has itself as the next document.
+    document's; n_anchors, and n_aligned, the anchors of the edited text that stand where the text has them.
+
+    docs has doc_id (an integer) and text; other columns are ignored. A null text counts as empty; a table of one row
+    has itself as the next document; no rows give no rows.
 
     The text is shuffled once; both windows use that one exchange and sort.
     """
@@ -131,12 +188,12 @@ def compare_with_edits(docs: DataFrame, k: int = K, s: int = S, always: bool = F
     rows = rows.withColumn("_next", F.coalesce(F.lead("text").over(w), F.lit("")))
     rows = rows.withColumn("_edited", edited(F.col("text"), F.col("_next"))).drop("_next")
     rows = anchors(anchors(rows, "text", "_a", k, s, always), "_edited", "_b", k, s, always)
-    rows = rows.withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("_edited", 256)})
+    rows = rows.withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("_edited", 256), "n_aligned": aligned(F.col("_a"), F.col("_b"))})
     rows = rows.withColumns({"_a": fingerprint(F.col("_a")), "_b": fingerprint(F.col("_b"))}).drop("text", "_edited")
     rows = rows.withColumn("_c", F.lead("_a").over(w)).where("_own")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("_a")).alias("fingerprint"), as_text(F.col("_b")).alias("edited_fingerprint"),
         likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_c")).alias("near_next"),
-        F.size("_a").cast("long").alias("n_anchors"),
+        F.size("_a").cast("long").alias("n_anchors"), "n_aligned",
     )
