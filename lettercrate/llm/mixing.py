@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lettercrate.llm.common import words_of
 
 RANKED_TOGETHER = 5_000
+#: A mixture has a weight for each source; its table of weights is made on the driver and broadcast.
+MOST_SOURCES = 100_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -78,27 +80,34 @@ def find_exponent(tokens: dict, target_entropy: float | None, most_epochs: float
     return exponent
 
 
-def source_tokens(docs: DataFrame) -> list:
-    """Rows (source, tokens, n) of docs with source and tokens; one row a source."""
-    return docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
+def source_tokens(docs: DataFrame, most_sources: int = MOST_SOURCES) -> list:
+    """Rows (source, tokens, n) of docs with source and tokens; one row a source. More than most_sources are refused."""
+    rows = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(most_sources + 1).collect()
+    if len(rows) > most_sources:
+        raise ValueError(f"more than {most_sources} sources: group them before mixing")
+    return rows
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """docs with tokens and key (a hash of id and text), from which mix works; text may be dropped afterwards."""
+    """docs with tokens and key (a hash of id and text), from which mix works; text may be dropped afterwards. Columns
+    with these two names are replaced.
+
+    mix reads its rows three times, so they are best written first, without the text where it isn't wanted.
+    """
     return docs.withColumns({"tokens": tokens_of(F.col("text")), "key": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))})
 
 
 def mix(rows: DataFrame, target_entropy: float | None = None, most_epochs: float | None = 2.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 0) -> DataFrame:
     """Rows (from prepare, with doc_id and source) as the mixture reads them: their columns, epoch (from 0), block (from
     0) and block_order (a hash by which rows of a block are permuted; ties are rows that are alike). Columns of rows
-    with these three names are replaced.
+    with these three names are replaced, others kept whatever their names.
 
     Null sources are one source of their own; a null or empty text counts one token. A row is read if its source's
     stream before it holds less than the budget, so a source ends with the row that reaches its budget. Without a
     budget each row is read at least once. Repeated rows are rows of their own. No rows give no rows.
     """
     rows = rows.drop("epoch", "block", "block_order")
-    columns, spark = rows.columns, rows.sparkSession
+    spark = rows.sparkSession
     sums = {r["source"]: (r["tokens"], r["n"]) for r in source_tokens(rows)}
     table = []
     if sums:
@@ -107,18 +116,20 @@ def mix(rows: DataFrame, target_entropy: float | None = None, most_epochs: float
         for number, (s, e) in enumerate(epochs_of(tokens, weights, budget).items()):
             # a hair less, lest rounding starts an epoch for nothing
             table.append((number, s, max(1, math.ceil(e - 1e-9)), e * tokens[s] * (1 - 1e-12), weights[s] * block_tokens, -(-sums[s][1] // RANKED_TOGETHER)))
-    table = spark.createDataFrame(table, "_number int, _source string, _epochs int, _budget double, _per_block double, _ranges int")
-    rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["_source"])).drop("_source", "_weight")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "epoch", "key"))
+    table = spark.createDataFrame(table, "number int, name string, epochs int, budget double, per_block double, ranges int")
+    # the row travels as one column, so its names meet no others
+    rows = rows.select("doc_id", "source", "tokens", "key", F.struct(*rows.columns).alias("row"))
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(seed), "epoch", "key"))
     # the top bits of the hash, so that ranges follow each other in its order
-    rows = rows.withColumn("_range", F.floor((F.shiftright("_hash", 32) + (1 << 31)) * F.col("_ranges") / (1 << 32)).cast("int"))
-    by = ["_number", "epoch", "_range"]
-    before = Window.partitionBy("_number").orderBy("epoch", "_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy(*by).agg(F.sum("tokens").alias("_sum"))
-    ranges = ranges.select(*by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*by).orderBy("_hash", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(ranges, by)
-    rows = rows.withColumn("_at", F.col("_before") + F.col("_base")).where("_at < _budget")
-    block = F.floor(F.col("_at") / F.col("_per_block")).cast("long")
-    return rows.select(*columns, "epoch", block.alias("block"), F.xxhash64(F.lit(seed + 1), "_hash").alias("block_order"))
+    rows = rows.withColumn("range", F.floor((F.shiftright("hash", 32) + (1 << 31)) * F.col("ranges") / (1 << 32)).cast("int"))
+    by = ["number", "epoch", "range"]
+    before = Window.partitionBy("number").orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*by).agg(F.sum("tokens").alias("sum"))
+    ranges = ranges.select(*by, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy(*by).orderBy("hash", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(ranges, by)
+    rows = rows.withColumn("at", F.col("before") + F.col("base")).where("at < budget")
+    block = F.floor(F.col("at") / F.col("per_block")).cast("long")
+    return rows.select("row.*", "epoch", block.alias("block"), F.xxhash64(F.lit(seed + 1), "hash").alias("block_order"))

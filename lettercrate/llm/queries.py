@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettercrate.llm import fingerprints, mixing, packing, quality_rules, secret_scans, sharding, simhash, substring_dedup, toxicity, url_filters
-from lettercrate.llm.common import documents, shared_dir
+from lettercrate.llm.common import documents, shared_dir, written
 
 N_SHARDS = 8
 TOXIC_FROM = 0.7
@@ -58,7 +58,7 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document once at least, the rarest source twice at most."""
-    rows = mixing.prepare(documents(spark, sf_dir)).select("doc_id", "source", "tokens", "key")
+    rows = written(mixing.prepare(documents(spark, sf_dir)).select("doc_id", "source", "tokens", "key"))  # texts are read once
     return mixing.mix(rows).drop("key")
 
 
@@ -81,23 +81,20 @@ def list_entries(rows: DataFrame) -> DataFrame:
     day = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("k") * 31, F.lit(300)) * 86400)
     later = lambda days: F.timestamp_seconds(F.unix_seconds(day) + days * 86400)
 
-    def entries(name: str, key, at, adds: bool, where):
-        return hosts.where(where).select(F.lit(name).alias("list"), key.alias("key"), at.alias("at"), F.lit(adds).alias("adds"))
+    def entry(name: str, key, at, adds: bool, where):
+        return F.when(where, F.struct(F.lit(name).alias("list"), key.alias("key"), at.alias("at"), F.lit(adds).alias("adds")))
 
     host, k = F.col("host"), F.col("k")
     spam = host.rlike("casino|bets|pills")
-    parts = [
-        entries("spam", host, day, True, spam),
-        entries("adult", host, day, True, k % 3 == 0),
-        entries("adult", host, later(F.lit(40)), False, k % 3 == 0),
-        entries("adult", host, later(F.lit(90)), True, k % 6 == 0),
-        entries("paths", F.concat(host, F.lit("/en/")), day, True, k % 5 == 0),
-        entries("allow", host, later(F.lit(20)), True, k % 7 == 0),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = F.array_compact(F.array(
+        entry("spam", host, day, True, spam),
+        entry("adult", host, day, True, k % 3 == 0),
+        entry("adult", host, later(F.lit(40)), False, k % 3 == 0),
+        entry("adult", host, later(F.lit(90)), True, k % 6 == 0),
+        entry("paths", F.concat(host, F.lit("/en/")), day, True, k % 5 == 0),
+        entry("allow", host, later(F.lit(20)), True, k % 7 == 0),
+    ))
+    return hosts.select(F.explode(found).alias("entry")).select("entry.*")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettercrate.llm.common import written
+from lettercrate.llm.common import discard, written
 
 N_BUCKETS = 1 << 20
 SIZES = (3, 4, 5, 6)
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, n_buck
     # few features have a ratio other than 0, so little is shuffled
     parts = features(shared).groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).applyInPandas(fit, "bucket int, weight double, n int")
     mean = parts.groupBy("bucket").agg(F.sum(F.col("weight") * F.col("n")).alias("w")).toPandas()  # n_buckets rows at most
+    discard(rows)
     weights = np.zeros(n_buckets + 1)
     weights[mean["bucket"].to_numpy(dtype=np.int64)] = mean["w"].to_numpy(dtype=float) / count["n"]
     return np.round(weights[:-1], 7).astype(np.float32), round(float(weights[-1]), 7)

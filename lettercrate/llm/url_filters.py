@@ -14,6 +14,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lettercrate.llm.common import written
+
 
 def intervals(entries: DataFrame, until: datetime) -> DataFrame:
     """list, key, action, valid_from, valid_to (exclusive) of the additions in entries.
@@ -60,17 +62,17 @@ def evaluate(captures: DataFrame, entries: DataFrame, allow: str = "allow") -> D
     captures: url, fetched (timestamp) and any further columns; columns named like the new ones are replaced. A null
     url or time matches nothing. An entry added at the very moment of the fetch is active, one removed at it is not.
     """
-    asked = captures.select("url", "fetched").where("url is not null and fetched is not null").distinct()
+    asked = captures.select("url", "fetched").where("url is not null and fetched is not null")
     last = asked.agg(F.max("fetched")).first()[0]
     until = last + timedelta(seconds=1) if last else datetime(1970, 1, 1)
     # an interval still open reaches no further than the last capture
-    spans = intervals(entries, until)
+    spans = written(intervals(entries, until))
     parts = F.split("key", "/", 2)
     longest = spans.agg(F.max(F.size(F.split(F.get(parts, F.lit(0)), r"\."))), F.max(F.size(F.split("key", "/")) - 2)).first()
     months = F.sequence(F.date_trunc("month", "valid_from"), F.date_trunc("month", F.expr("valid_to - interval 1 microsecond")), F.expr("interval 1 month"))
     spans = spans.withColumn("month", F.explode(months))
 
-    asked = asked.withColumns({"host": host_of(F.col("url")), "month": F.date_trunc("month", "fetched")})
+    asked = asked.distinct().withColumns({"host": host_of(F.col("url")), "month": F.date_trunc("month", "fetched")})
     keys = keys_of(F.col("host"), path_of(F.col("url")), max(1, longest[0] or 1), max(0, longest[1] or 0))
     asked = asked.select("url", "fetched", "month", F.explode(keys).alias("key"))
     active = asked.join(spans, ["key", "month"]).where("valid_from <= fetched and fetched < valid_to")
