@@ -34,13 +34,24 @@ def test_encoder_equals_the_tokenizers_library(tokenizer):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer)
-    library.encode_special_tokens = True
     rng = random.Random(1)
-    texts = TRICKY + ["".join(rng.choice("ab .,\n'é1\t") for _ in range(rng.randrange(60))) for _ in range(500)]
+    parts = ["<|endoftext|>", " ", "a", "\n", "<|", "|>", "  ", "é.", "\t"]
+    texts = TRICKY + ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(500)] + ["".join(rng.choice("ab .,\n'é1\t") for _ in range(rng.randrange(60))) for _ in range(500)]
     want = [np.array(x.ids, dtype="<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
     assert packing._encoder(tokenizer)(texts) == want
 
 
+def test_encoder_forgets_by_bytes(tokenizer, monkeypatch):
+    packing._encoder.cache_clear()
+    monkeypatch.setattr(packing, "MOST_REMEMBERED", 10_000)
+    ids_of = packing._encoder(tokenizer)
+    want = ids_of(["some words here", "x" * 200_000])
+    for i in range(30):
+        ids_of([" ".join(f"w{i}x{j}" for j in range(50))])
+    assert ids_of(["some words here", "x" * 200_000]) == want
+    packing._encoder.cache_clear()
+
+
 def test_plan_places_everything_once():
     rng = random.Random(2)
     for trial in range(12):
@@ -72,7 +83,6 @@ def test_pack_round_trip(spark, tokenizer):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer)
-    library.encode_special_tokens = True
     ids = {(i, t): np.array(library.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4") for i, t in texts}
     again = defaultdict(list)
     for p in cut:
@@ -110,7 +120,7 @@ def test_place_with_many_salts(spark, monkeypatch):
 def test_shards_are_even_and_gapless(spark):
     rng = random.Random(3)
     texts = [(i, "é" * rng.randrange(0, 400), "x") for i in range(3000)] + [(5, "dup", "x"), (5, "dup", "x"), (None, None, "x"), (7000, "", "x")]
-    df = spark.createDataFrame(texts, "doc_id bigint, text string, shard string").drop("shard")
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, shard string")
     rows = sharding.with_slots(df).drop("text")
     first = sharding.first_map(sharding.slot_sizes(rows), 8)
     root = shared_dir(spark)
@@ -149,6 +159,31 @@ def test_written_shards_hold_all_rows(spark):
     assert sorted(r.doc_id for r in back.collect()) == list(range(200))
 
 
+def test_a_map_has_a_shard_for_rows_that_come_later(spark):
+    few = spark.createDataFrame([(i, f"t{i}", "mine") for i in range(200)], "doc_id bigint, text string, shard string")
+    more = spark.createDataFrame([(i, f"t{i}", "mine", i) for i in range(400)] + [(None, f"n{i % 50}", "mine", 0) for i in range(100)], "doc_id bigint, text string, shard string, number long")
+    mapping = sharding.first_map(sharding.slot_sizes(sharding.with_slots(few)), 3)
+    assert [x[1] for x in mapping] == list(range(sharding.SLOTS))
+    assert max(Counter(x[2] for x in mapping).values()) <= sharding.SLOTS / 3 + 1
+    path = shared_dir(spark)
+    sharding.write_shards(more, mapping, path)
+    back = spark.read.parquet(path)
+    assert Counter(r.doc_id for r in back.collect()) == Counter([*range(400), *[None] * 100])
+    rows = sharding.with_slots(more).withColumn("slot", F.lit("mine")).withColumn("_start", F.lit(1))
+    second = sharding.edited_map(mapping, sharding.slot_sizes(rows), 3)
+    got = sharding.assign(rows, second)
+    assert got.columns == ["doc_id", "text", "number", "virtual_slot", "size", "_start", "shard", "slot", "map_version"]
+    got = got.collect()
+    assert len(got) == 500 and all(r.shard is not None for r in got)
+    for shard in range(3):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert rows.where("doc_id is null").select("virtual_slot").distinct().count() > 30
+    for refused in (lambda: sharding.assign(rows, mapping[1:]), lambda: sharding.write_shards(more, mapping[:-1], shared_dir(spark))):
+        with pytest.raises(ValueError, match="lacks"):
+            refused()
+
+
 # --- mixing
 
 
@@ -195,6 +230,16 @@ def test_mixture_against_its_definition(spark, monkeypatch):
     assert 100 <= few <= 100 + 9 * 4
 
 
+def test_mixture_keeps_columns_of_any_name_and_refuses_too_many_sources(spark):
+    names = ["number", "row", "hash", "range", "at", "before", "base", "epochs", "budget", "_number"]
+    df = spark.createDataFrame([(i, f"w {i}", f"s{i % 3}", *[f"{n}{i}" for n in names]) for i in range(30)], ["doc_id", "text", "source", *names])
+    got = mixing.mix(written(mixing.prepare(df)))
+    assert got.columns == [*df.columns, "tokens", "key", "epoch", "block", "block_order"]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.source_tokens(mixing.prepare(df), 2)
+
+
 # --- toxicity
 
 
@@ -242,6 +287,50 @@ def test_buckets_do_not_depend_on_parts():
     assert set(toxicity.buckets_of(text).tolist()) == whole
 
 
+def test_toxicity_against_brute_force(spark):
+    """Ratios, fit and scores from the definitions: n-grams as strings, plain Python numbers."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "vile", "nasty"][: 6 if i % 3 == 0 else 4]) for _ in range(12))) for i in range(150)]
+    labels = [(i, 1, int(i % 3 == 0)) for i, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+    def grams(text):
+        padded = f" {text.lower()} "
+        return {padded[i : i + n] for n in toxicity.SIZES for i in range(len(padded) - n + 1)}
+
+    mine = [(grams(t), int(i % 3 == 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    n_pos = sum(y for _, y in mine)
+    n_neg = len(mine) - n_pos
+    p, n = Counter(g for f, y in mine if y for g in f), Counter(g for f, _ in mine for g in f)
+    r = {}
+    for g in n:
+        pos, neg = p[g] + 0.5, n[g] - p[g] + 0.5
+        x = math.log(pos / (n_pos + 1)) - math.log(neg / (n_neg + 1))
+        size = max(abs(x) - toxicity.CERTAIN * math.sqrt(1 / pos + 1 / neg), 0) if n[g] >= toxicity.LEAST_DOCS else 0
+        if size:
+            r[g] = math.copysign(size, x)
+    w, m, v, b, mb, vb = dict.fromkeys(r, 0.0), dict.fromkeys(r, 0.0), dict.fromkeys(r, 0.0), 0.0, 0.0, 0.0
+    known = [([g for g in f if g in r], y) for f, y in mine]
+    for k in range(1, 121):
+        grad, gb = dict.fromkeys(r, 0.0), 0.0
+        for f, y in known:
+            e = 1 / (1 + math.exp(-(b + sum(w[g] * r[g] for g in f)))) - y
+            gb += e / len(known)
+            for g in f:
+                grad[g] += e * r[g] / len(known)
+        rate = 0.05 / (1 + k / 60)
+        for g in r:
+            d = grad[g] + 1e-4 * w[g]
+            m[g], v[g] = 0.9 * m[g] + 0.1 * d, 0.999 * v[g] + 0.001 * d * d
+            w[g] -= rate * (m[g] / (1 - 0.9**k)) / (math.sqrt(v[g] / (1 - 0.999**k)) + 1e-8)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        b -= rate * (mb / (1 - 0.9**k)) / (math.sqrt(vb / (1 - 0.999**k)) + 1e-8)
+    got = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.train(docs, table)).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(b + sum(w[g] * r[g] for g in grams(t) if g in r)))), abs=2e-3), i
+
+
 # --- URL filters
 
 
@@ -318,3 +407,30 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sum(p.piece == 0 for p in out) == len(ids[3])
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality rules", "SimHash near-dedup", "secret scans", "mixing", "best-fit packing"]
+
+
+CLASHES = ("tokens", "key", "row", "blob", "address", "cleaned", "hash", "id", "n_words", "kept", "_sum", "epoch", "fingerprint")
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    rng = random.Random(10)
+    say = lambda n: " ".join(rng.choice("river stone bridge garden window letter morning evening paper table".split()) + str(rng.randrange(90)) for _ in range(n))
+    rows = [(i, say(80), "en", f"s{i % 2}") for i in range(20)] + [(30, None, None, None), (31, "", "en", "s0"), (None, say(70), None, None), (32, say(60_000), "en", "s1")]
+    rows += [rows[3], rows[3], (33, 'token = "' + "0f" * 20 + '" ' + say(60), "en", "s0")]
+    full = [(*r, len(r[1] or ""), *[f"{c}{r[0]}" for c in CLASHES]) for r in rows]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHES)
+    docs = spark.createDataFrame(full, kinds)
+    spark.createDataFrame([(i, 1, 0) for i in (*range(20), 32, 33)] + [(None, 1, 0), (5, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.where("false")):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = written(stage(spark, now, str(tmp_path)))
+            assert now.columns == docs.columns, name
+            for r in now.collect():
+                assert [r[c] for c in CLASHES] == [f"{c}{r.doc_id}" for c in CLASHES], name
+        if table is docs:
+            ids = Counter(r.doc_id for r in now.collect())
+            assert set(ids) - {None} == {*range(20), 32, 33}  # the short ones are gone
+            assert not any("0f0f" in r.text for r in now.collect())
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert packed.where("piece = 0").count() == now.count()

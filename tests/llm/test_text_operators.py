@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -133,6 +134,20 @@ def test_quality_scores_are_the_same_by_either_join(spark, docs):
     assert by_merge.columns == by_broadcast.columns and by_merge.where("kept").count() == by_broadcast.where("kept").count()
 
 
+def test_repeats_are_exact_in_a_very_long_text(spark):
+    n = 5_000_000
+    df = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {n}), x -> hex(x)), ' ')").alias("text"))
+    got = quality_rules.with_counts(df).select("n_words", "n_repeat_words").first()
+    assert (got.n_words, got.n_repeat_words) == (n, 0)
+
+
+def test_kept_rows_have_all_their_columns(spark, docs):
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in ("_row", "kept", "n_words", "_sum", "score")])
+    kept = quality_rules.keep(wide, spark.createDataFrame([(1,)], "doc_id bigint"))
+    assert kept.columns == wide.columns
+    assert {r.kept for r in kept.collect()} == {"kept"} and kept.where("text is null").count() == 0
+
+
 # --- secrets
 
 
@@ -187,6 +202,31 @@ def test_redaction_merges_overlaps_and_counts_anew(spark):
     assert out == {1: ('é <secret>" end', 15), 2: (None, 0)}
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 700_000, "eyJaaaaaaaa." * 200_000, "token " * 300_000, "AKIA" * 500_000, "://a:" * 400_000, "-----BEGIN " * 200_000])
+def test_rules_read_hostile_texts_in_linear_time(text):
+    began = time.perf_counter()
+    for rule in secret_scans.RULES:
+        sum(1 for _ in rule.compiled().finditer(text))
+    assert time.perf_counter() - began < 10
+
+
+def test_jwt_is_found_where_a_token_starts():
+    rule = next(r for r in secret_scans.RULES if r.kind == "jwt")
+    token = "eyJhbGciOi12.eyJzdWIiOi12.c2lnbmF0dXJl"
+    assert [m[0] for m in rule.compiled().finditer(f"a {token} b={token}, x{token} eyJ.{token[:20]}")] == [token, token]
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    from lettercrate.llm.common import shared_dir
+
+    names = ["blob", "_starts", "_blob", "address", "row", "starts", "ends", "cleaned", "findings"]
+    df = spark.createDataFrame([(i, "token = abcdefgh" if i % 2 else None, *[f"{n}{i}" for n in names]) for i in range(6)], ["doc_id", "text", *names])
+    out = secret_scans.redact(df, secret_scans.update_ledger(df, shared_dir(spark)))
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert r.text == ("<secret>" if r.doc_id % 2 else None) and all(r[n] == f"{n}{r.doc_id}" for n in names)
+
+
 # --- fingerprints
 
 
@@ -201,8 +241,8 @@ def edited(texts):
 
 
 def syncmers(text, k=fingerprints.K, s=fingerprints.S):
-    """Chosen k-mers as tuples of words: those whose least s-mer (by XXH64) is at an edge."""
-    w = WORDS.findall(text)
+    """Chosen k-mers as tuples of tokens: those whose least s-mer (by XXH64) is at an edge."""
+    w = re.findall(r"[぀-ヿ一-鿿]|[^\x20\x09-\x0D぀-ヿ一-鿿]+", text)
     if len(w) < k:
         return {tuple(w)} if w else set()
 
@@ -255,6 +295,37 @@ def test_many_ranges_find_the_same_neighbours(spark):
     assert Counter(map(tuple, got)) == Counter((*x, y[1]) for x, y in zip(order, [*order[1:], order[0]], strict=True))
 
 
+def test_ranges_of_rows_without_an_id_and_of_many_cuts(spark):
+    rows = [(i, f"text {i}") for i in range(0, 5000, 7)] + [(None, f"bare {i % 90}") for i in range(120)]
+    for some in (rows, rows[:1], [r for r in rows if r[0] is None], [(None, "a")], [(5, "a"), (5, "b"), (5, "a")]):
+        df = spark.createDataFrame(some, "doc_id bigint, text string")
+        got = fingerprints.in_ranges(df, rows_per_range=3)
+        got = got.withColumn("next", F.lead("text").over(fingerprints.in_order())).where("_own").select("doc_id", "text", "next").collect()
+        order = sorted(some, key=lambda x: (x[0] is None, -(x[0] or 0), signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))
+        assert Counter(map(tuple, got)) == Counter((*x, y[1]) for x, y in zip(order, [*order[1:], order[0]], strict=True))
+
+
+def test_cuts_in_two_levels(spark):
+    ids = spark.range(0, 6000, 2).select(F.col("id").alias("doc_id"))
+    lists = fingerprints._cuts(ids, 2500)
+    flat = [x for part in lists for x in part]
+    assert flat == sorted(set(flat)) and flat[-1] == 5998 and len(lists) > 900 and len(flat) > 2000
+
+
+def test_unspaced_scripts_are_cut_at_letters(spark):
+    text = "今日は天気がいいから散歩しましょうと彼は言ったが雨が降ってきたので家に帰って本を読んだ" * 2
+    df = spark.createDataFrame([(1, text), (2, "前" + text)], "doc_id bigint, text string")
+    a, b = (set(x.hash for x in r.found) for r in fingerprints.anchors(df, "text", "found").orderBy("doc_id").collect())
+    assert len(a) > 5 and len(a & b) > 0.8 * len(a)
+
+
+def test_first_matches_grow_with_the_anchors(spark):
+    passage = prose(60, 11)
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(10 + i)) + " " + passage) for i in range(40)] + [(None, passage)], "doc_id bigint, text string")
+    got = fingerprints.first_matches(fingerprints.anchors(df, "text", "anchors"), 5).collect()
+    assert {(r.doc_id, r.first_id, r["shift"]) for r in got} == {(i, 0, -i) for i in range(1, 40)} and len(got) == 39
+
+
 def test_positional_matching_finds_a_moved_passage(spark):
     passage = prose(60, 11)
     df = spark.createDataFrame([(1, prose(30, 12) + " " + passage), (2, passage + " " + prose(20, 13)), (3, prose(90, 14) + " odd")], "doc_id bigint, text string")
@@ -314,6 +385,7 @@ def test_simhash_against_brute_force(docs, nothing):
     for r in got:
         assert r.component_id == least.get(root[int(r.fingerprint, 16)])
     assert simhash.near_duplicates(nothing).count() == 0
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in ("_id", "_hash", "id", "hash", "row", "fingerprint")])
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
@@ -356,6 +428,35 @@ def test_links_lose_none_however_crowded(spark, crowd):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, truth.values()))
 
 
+def test_links_at_another_radius(spark):
+    import random
+
+    rng = random.Random(8)
+    marks = {rng.getrandbits(64) for _ in range(40)}
+    for m in list(marks):
+        marks |= {m ^ sum({1 << rng.randrange(64) for _ in range(k)}) for k in (1, 3, 4)}
+    links = simhash.links(spark.createDataFrame([(signed(m),) for m in marks], "fingerprint bigint"), 3)
+    got = {(r.a & ((1 << 64) - 1), r.b & ((1 << 64) - 1)) for r in links.collect()}
+    assert {tuple(sorted(x)) for x in got} == {(a, b) for a in marks for b in marks if a < b and bin(a ^ b).count("1") <= 3}
+
+
+def test_masks_leave_no_pair_out():
+    import itertools
+
+    masks = [m & ((1 << 64) - 1) for m in simhash._masks(2)]
+    assert len(masks) == 9
+    for x, y in itertools.combinations(range(64), 2):
+        assert any(not m & (1 << x | 1 << y) for m in masks)
+
+
+def test_hot_keys_meet_a_broadcast_and_no_row_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 5)
+    rows = spark.range(100).select(F.when(F.col("id") < 60, 0).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)
+    got = simhash._looked_up(rows, table, "k").collect()
+    assert sorted((r.id, r.k, r.v) for r in got) == [(i, k := 0 if i < 60 else i, 10 * k) for i in range(100)]
+
+
 def test_pivots_never_discard_a_link():
     import random
 
@@ -370,12 +471,58 @@ def test_pivots_never_discard_a_link():
 # --- substring dedup
 
 
+def brute_units(text):
+    """The words of every unit, by looking at one character after the other."""
+    import zlib
+
+    sentences, start, i = [], 0, 0
+    while i < len(text):
+        j = i
+        if text[i] in ".!?…":
+            while j < len(text) and text[j] in ".!?…":
+                j += 1
+            while j < len(text) and text[j] in "\"'”’)]":
+                j += 1
+            closes = j < len(text) and text[j].isspace()
+        else:
+            closes = text[i] == "\n"
+        i = max(j, i + 1)
+        if closes:
+            sentences.append(text[start:i])
+            start = i
+    out = []
+    for words in (s.split() for s in [*sentences, text[start:]]):
+        unit = []
+        for n, w in enumerate(words, 1):
+            unit.append(w)
+            if n == len(words) or len(words) > substring_dedup.LONGEST and (len(unit) == substring_dedup.LONGEST or zlib.crc32(w.encode()) % substring_dedup.CUT == 0):
+                out.append(unit)
+                unit = []
+    return out
+
+
+def test_units_against_a_cutter_by_characters():
+    import random
+
+    rng = random.Random(12)
+    texts = [t or "" for _, t in TEXTS] + ["".join(rng.choice(["a", "b", " ", ".", "!", "…", ")", '"', "\n", "\t", " word", "é"]) for _ in range(rng.randrange(200))) for _ in range(400)]
+    for t in texts:
+        assert [w for *_, w in substring_dedup._units(t, substring_dedup.LONGEST)] == brute_units(t)
+
+
+@pytest.mark.parametrize("text", ["." * 5_000_000, ".)" * 1_000_000, "a.!" * 1_000_000, "x" * 3_000_000, "\n" * 2_000_000])
+def test_units_of_hostile_texts_take_linear_time(text):
+    began = time.perf_counter()
+    substring_dedup._units(text, 20)
+    assert time.perf_counter() - began < 5
+
+
 def brute_removed(rows):
     """{(doc_id, text): numbers of removed units} by looking at all spans."""
     spans, docs = {}, sorted({(i if i is not None else 1 << 62, signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t or "") for i, t in rows})
     out = {}
     for i, h, t in docs:
-        units = [" ".join(w) for _, _, w in substring_dedup._units(t, substring_dedup.LONGEST)]
+        units = [" ".join(w) for w in brute_units(t)]
         n, found = len(units), set()
         size = lambda a, b: sum(u.count(" ") + 1 for u in units[a:b])  # noqa: E731,B023
         wide = lambda a, b: b - a >= substring_dedup.LEAST_UNITS and size(a, b) >= substring_dedup.LEAST_WORDS  # noqa: E731,B023
