@@ -55,9 +55,16 @@ def equals(name: str, value: object) -> Predicate:
 
 
 def chosen(name: str, value: object) -> Predicate:
-    """The drill-down predicate: equality, which reaches the scan; '' also stands for null."""
+    """The drill-down predicate: equality, which reaches the scan. None chooses the group of null, which for texts, and
+    fields of unknown kind, is the group of '' too."""
     if value == "" or value is None:
-        return lambda fields: fields.column(name).isNull() | (fields.column(name) == "")
+
+        def missing(fields: FieldMap) -> Column:
+            column = fields.column(name)
+            textual = fields.kind(name) in ("text", None)
+            return column.isNull() | (column == "") if textual else column.isNull()
+
+        return missing
     return equals(name, value)
 
 

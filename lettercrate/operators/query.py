@@ -77,6 +77,28 @@ def page(
     return rows.offset(start).limit(end - start + overscan).select(*[fields.column(n).alias(n) for n in names])
 
 
+def page_after(
+    df: DataFrame, names: Sequence[str], after: tuple | None, size: int, predicates: Iterable[Predicate] = (), fields: FieldMap = DEFAULT, order: Sequence[str] = ("datetime", "path")
+) -> DataFrame:
+    """The ``size`` rows that follow the row whose ordering fields are ``after`` (None: the first rows), with these fields
+    in front.
+
+    A deep page costs no more than the first: rows before it are filtered out, which reaches the scan, and each task
+    keeps ``size`` rows. The ordering fields must tell rows apart and have no nulls.
+    """
+    rows = where(df, predicates, fields)
+    if after is not None:
+        if len(after) != len(order):
+            raise ValueError(f"a value for each of {', '.join(order)} is needed")
+        keys = [(fields.column(n), F.lit(v)) for n, v in zip(order, after, strict=True)]
+        follows = F.lit(False)
+        for key, value in reversed(keys):
+            follows = (key > value) | ((key == value) & follows)
+        rows = rows.where(keys[0][0] >= keys[0][1]).where(follows)
+    rows = rows.orderBy(*[fields.column(n) for n in order]).limit(size)
+    return rows.select(*[fields.column(n).alias(n) for n in (*order, *[n for n in names if n not in order])])
+
+
 def mail_list(df: DataFrame, start: int, end: int, predicates: Iterable[Predicate] = (), fields: FieldMap = DEFAULT, overscan: int = 6) -> DataFrame:
     """What the mail list shows of the visible rows: sender, date, subject, path."""
     names = ("sender_domain", "sender_local_part", "subject", "path", "timestamp")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettercrate.functions import filters as P
@@ -14,7 +15,7 @@ from lettercrate.operators import query as Q
 from lettercrate.plans.drill import DrillDown
 from lettercrate.plans.fields import FieldMap
 from lettercrate.plans.mailview import FIELDS, mail_view, with_mail
-from lettercrate.plans.rendering import mbox_lines, message_text
+from lettercrate.plans.rendering import mbox_lines, message_text, write_files
 from lettercrate.sources import archives, store
 from lettercrate.sources.parse import good, parse_archive
 from lettercrate.sources.synthetic import synthetic_mails
@@ -164,6 +165,34 @@ def page_middle(spark, sf_dir):
     return Q.page(mail_view(spark, sf_dir), ("path", "subject", "to_count"), 1000, 1100, form, FIELDS)
 
 
+@query("SELECT datetime, path, subject FROM m WHERE datetime > TIMESTAMP '1996-06-30 00:00:00' OR (datetime = TIMESTAMP '1996-06-30 00:00:00' AND path > 'orders/5') ORDER BY datetime, path LIMIT 200")
+def page_after(spark, sf_dir):
+    return Q.page_after(mail_view(spark, sf_dir), ("path", "subject"), (datetime(1996, 6, 30), "orders/5"), 200, fields=FIELDS)
+
+
+@query("SELECT sender_local_part, count(*) AS amount FROM m WHERE year = 1995 GROUP BY sender_local_part")
+def drill_back_and_regroup(spark, sf_dir):
+    """Into a domain and back out, then the second level by address in place of domain."""
+    place = DrillDown(mail_view(spark, sf_dir), fields=FIELDS).push(1995).push("nation-3.example").pop()
+    assert place.aggregated_by() == [("year", 1995, 0), ("sender_domain", None, 1)] and place.can_aggregate_more()
+    return place.set_aggregation(1, "sender_local_part").segments()
+
+
+@query("SELECT to_group, count(*) AS amount FROM (SELECT coalesce(to_group, '') AS to_group FROM m WHERE year = 1994 AND sender_domain = 'nation-7.example') GROUP BY to_group")
+def drill_free_field(spark, sf_dir):
+    """The third level by the first field that no level has yet, after those of the sender and the date."""
+    place = DrillDown(mail_view(spark, sf_dir), fields=FIELDS).push(1994).push("nation-7.example")
+    free = [n for n in place.aggregation_fields(2) if n.startswith("to_")]
+    return place.set_aggregation(2, free[0]).segments()
+
+
+@query("SELECT path, subject FROM m WHERE year = 1996 AND sender_domain = 'nation-5.example' ORDER BY datetime, path, subject LIMIT 40 OFFSET 10")
+def drill_items(spark, sf_dir):
+    """A page of what is chosen, whatever the filters say."""
+    place = DrillDown(mail_view(spark, sf_dir), fields=FIELDS).push(1996).push("nation-5.example").set_filters(*RECEIVED)
+    return place.items(10, 50, include_filters=False)
+
+
 @query(
     "SELECT path, concat(sender_local_part, '@', sender_domain) AS sender, strftime(datetime, '%Y-%m-%d') AS date, subject "
     "FROM m WHERE is_send = false ORDER BY datetime, path LIMIT 46 OFFSET 20"
@@ -218,7 +247,9 @@ def segment_share(spark, sf_dir):
 
 # --- imports: the view is rendered as mail text, read back and compared column by column with the view itself
 
-CARRIED = ("sender_domain", "sender_local_part", "sender_name", "datetime", "year", "month", "day", "subject", "to_count", "to_group", "to_name", "to_address", "is_reply")
+CARRIED = (
+    "sender_domain", "sender_local_part", "sender_name", "datetime", "year", "month", "day", "subject", "to_count", "to_group", "to_name", "to_address", "is_reply", "is_send"
+)
 CARRIED_SQL = ", ".join(CARRIED)
 
 
@@ -232,9 +263,35 @@ def raw_of(mails: DataFrame) -> DataFrame:
     return mails.select("path", F.col("message").cast("binary").alias("content"), none.alias("path_tags"), F.lit(None).cast("boolean").alias("seen_hint"), F.lit("eml").alias("format"))
 
 
+def own_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of the view's own senders."""
+    customers, nations = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    own = customers.where("c_custkey % 50 = 0").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    local, domain = F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))), F.lower(F.replace("n_name", F.lit("_"), F.lit("-")))
+    return own.select(F.concat(local, F.lit("@"), domain, F.lit(".example")).alias("address"))
+
+
+def parsed_view(spark: SparkSession, sf_dir: str, break_every: int = 0) -> DataFrame:
+    """The rendered view, parsed. The view's joins leave few partitions, so the messages are spread over all cores."""
+    return parse_archive(raw_of(rendered(spark, sf_dir, break_every)), own_addresses(spark, sf_dir), partitions=spark.sparkContext.defaultParallelism)
+
+
+def file_name() -> Column:
+    """A file name for a mail, in one of some folders."""
+    order = F.regexp_extract("path", r"(\d+)$", 1).cast("bigint")
+    return F.concat(order % 100, F.lit("/"), F.replace("path", F.lit("/"), F.lit("-")))
+
+
+def stored(spark: SparkSession, sf_dir: str, files: DataFrame, name: str, below: str = "") -> DataFrame:
+    """Mails of the files (name, content) after they were written to shared storage and read as an archive."""
+    folder = shared_dir(spark)
+    write_files(files.repartition(spark.sparkContext.defaultParallelism), folder)
+    return good(parse_archive(archives.read_archive(spark, folder + below, name), own_addresses(spark, sf_dir)))
+
+
 @query(f"SELECT path, {CARRIED_SQL}, CAST(epoch(datetime) AS BIGINT) AS timestamp, datetime AS datetime_utc FROM m")
 def import_round_trip(spark, sf_dir):
-    return good(parse_archive(raw_of(rendered(spark, sf_dir)))).select("path", *CARRIED, "timestamp", "datetime_utc")
+    return good(parsed_view(spark, sf_dir)).select("path", *CARRIED, "timestamp", "datetime_utc")
 
 
 @query(f"SELECT {CARRIED_SQL}, 'orders' AS tags FROM m")
@@ -242,44 +299,61 @@ def import_mbox(spark, sf_dir):
     """Written as mbox files by Spark and read back from them."""
     folder = f"{shared_dir(spark)}/orders.mbox"
     mbox_lines(mail_view(spark, sf_dir)).write.text(folder)
-    mails = good(parse_archive(archives.read_mbox(spark, folder)))
+    mails = good(parse_archive(archives.read_archive(spark, folder, "mbox"), own_addresses(spark, sf_dir)))
     return mails.select(*CARRIED, F.regexp_replace(F.array_join("tags", ","), "^part-.*$", "orders").alias("tags"))
 
 
 @query(f"SELECT {CARRIED_SQL}, 'INBOX' AS tags, meta_is_seen AS is_seen FROM m")
 def import_emlx(spark, sf_dir):
-    mails = rendered(spark, sf_dir)
+    """A file a mail: its length, the message, a property list with its flags."""
     plist = F.concat(F.lit("<plist><dict><key>flags</key><integer>"), F.when(F.col("meta_is_seen"), "8590195713").otherwise("8590195712"), F.lit("</integer></dict></plist>\n"))
     body = F.concat(F.octet_length("message"), F.lit("      \n"), "message", plist)
-    files = mails.select(F.concat(F.lit("file:/mail/INBOX.mbox/"), F.replace("path", F.lit("/"), F.lit("-")), F.lit(".emlx")).alias("path"), body.cast("binary").alias("content"))
-    return good(parse_archive(archives.apple_rows(files))).select(*CARRIED, F.array_join("tags", ",").alias("tags"), "is_seen")
+    files = rendered(spark, sf_dir).select(F.concat(F.lit("INBOX.mbox/Messages/"), file_name(), F.lit(".emlx")).alias("name"), body.alias("content"))
+    return stored(spark, sf_dir, files, "apple").select(*CARRIED, F.array_join("tags", ",").alias("tags"), "is_seen")
 
 
 @query(f"SELECT {CARRIED_SQL}, '' AS tags, meta_is_seen AS is_seen FROM m")
 def import_maildir(spark, sf_dir):
-    name = F.replace("path", F.lit("/"), F.lit("-"))
-    place = F.when(F.col("meta_is_seen"), F.concat(F.lit("file:/mail/box/.Work/cur/"), name, F.lit(":2,RS"))).otherwise(F.concat(F.lit("file:/mail/box/new/"), name))
-    files = rendered(spark, sf_dir).select(place.alias("path"), F.col("message").cast("binary").alias("content"))
-    return good(parse_archive(archives.maildir_rows(files, "file:/mail/box"))).select(*CARRIED, F.array_join("tags", ",").alias("tags"), "is_seen")
+    """Seen mails in the cur folders of dot-folders, the others in new."""
+    number = F.regexp_extract("path", r"(\d+)$", 1).cast("bigint")
+    name, folder = F.replace("path", F.lit("/"), F.lit("-")), F.repeat(F.concat(F.lit(".Work"), number % 20, F.lit("/")), (number % 3 + 1).cast("int"))
+    place = F.when(F.col("meta_is_seen"), F.concat(F.lit("box/"), folder, F.lit("cur/"), name, F.lit(":2,RS"))).otherwise(F.concat(F.lit("box/new/"), name))
+    files = rendered(spark, sf_dir).select(place.alias("name"), F.col("message").alias("content"))
+    return stored(spark, sf_dir, files, "maildir", "/box").select(*CARRIED, F.array_join("tags", ",").alias("tags"), "is_seen")
 
 
 @query(f"SELECT {CARRIED_SQL}, meta_tags AS tags, meta_is_seen AS is_seen FROM m")
 def import_gmail(spark, sf_dir):
+    """Every second message is packed by gzip; all have a sidecar."""
     mails = rendered(spark, sf_dir)
-    name = F.concat(F.lit("file:/vault/2024-01/"), F.replace("path", F.lit("/"), F.lit("-")))
-    files = mails.select(F.concat(name, F.lit(".eml")).alias("path"), F.col("message").cast("binary").alias("content"))
     note = F.to_json(F.struct(
         F.col("path").alias("msg_id"), "subject", F.split("meta_tags", r":\|:").alias("labels"),
         F.when(F.col("meta_is_seen"), F.array(F.lit("\\Seen"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.unix_timestamp("datetime").alias("internal_date"),
     ))
-    notes = mails.select(F.concat(name, F.lit(".meta")).alias("path"), note.alias("value"))
-    return good(parse_archive(archives.gmail_rows(files, notes))).select(*CARRIED, F.array_join("tags", ":|:").alias("tags"), "is_seen")
+    ending = F.when(F.regexp_extract("path", r"(\d+)$", 1).cast("bigint") % 2 == 0, ".eml.gz").otherwise(".eml")
+    both = F.array(F.struct(F.concat(file_name(), ending).alias("name"), F.col("message").alias("content")), F.struct(F.concat(file_name(), F.lit(".meta")).alias("name"), note.alias("content")))
+    files = mails.select(F.explode(both).alias("x")).select("x.*")
+    return stored(spark, sf_dir, files, "gmailvault").select(*CARRIED, F.array_join("tags", ":|:").alias("tags"), "is_seen")
 
 
 @query("SELECT 'parse' AS stage, 'ValueError: no valid date' AS message, count(*) AS amount FROM orders WHERE o_orderkey % 10 = 0", mail=False)
 def import_errors(spark, sf_dir):
-    parsed = parse_archive(raw_of(rendered(spark, sf_dir, break_every=10)))
-    return store.failed(parsed).groupBy("stage", "message").agg(F.count("*").alias("amount"))
+    """From the stored table of errors."""
+    path = shared_dir(spark)
+    store.write_parsed(parsed_view(spark, sf_dir, break_every=10), path)
+    return store.open_errors(spark, path).groupBy("stage", "message").agg(F.count("*").alias("amount"))
+
+
+@query(
+    "SELECT unnest(['done', 'failed', 'read', 'write', 'written']) AS step, unnest([a, b, a, a - b, a - b]) AS n "
+    "FROM (SELECT count(*) AS a, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS b FROM orders)",
+    mail=False,
+)
+def import_counts(spark, sf_dir):
+    """What an import says of its progress; the last word on each step."""
+    told: dict[str, int] = {}
+    store.write_parsed(parsed_view(spark, sf_dir, break_every=10), shared_dir(spark), progress=told.__setitem__)
+    return spark.createDataFrame(sorted(told.items()), "step string, n bigint")
 
 
 @query("SELECT path, c_own IS NOT NULL AS own FROM m LEFT JOIN (SELECT DISTINCT lower(replace(c_name, '#', '_')) AS c_own FROM customer WHERE c_custkey % 50 = 0) ON sender_local_part = c_own")
@@ -315,34 +389,36 @@ def events_by_day(spark, sf_dir):
 def stored_archive(spark, sf_dir):
     """Parsed, written by year with the failures aside, opened again."""
     path = shared_dir(spark)
-    store.write_parsed(parse_archive(raw_of(rendered(spark, sf_dir, break_every=10))), path)
+    store.write_parsed(parsed_view(spark, sf_dir, break_every=10), path)
     return store.open_emails(spark, path).groupBy("year").agg(F.count("*").alias("amount"), F.sum("to_count").alias("recipients"))
 
 
-@query("SELECT 'emails_folder_path' AS key, min(o_orderpriority) AS value FROM orders", mail=False)
+@query("SELECT DISTINCT concat(sender_local_part, '@', sender_domain) AS address FROM (SELECT lower(replace(c_name, '#', '_')) AS sender_local_part, concat(lower(replace(n_name, '_', '-')), '.example') AS sender_domain FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0)", mail=False)
 def config_round_trip(spark, sf_dir):
-    """Settings that follow from the data, saved and loaded."""
-    name = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.min("o_orderpriority")).first()[0]
-    config = store.Config(shared_dir(spark), name, "maildir", ("a@b.example", "c@d.example"))
+    """The own addresses of an archive, saved with its settings and loaded."""
+    config = store.Config(shared_dir(spark), "mails", "maildir", tuple(r["address"] for r in own_addresses(spark, sf_dir).collect()))
     store.save_config(spark, config)
     loaded = store.load_config(spark, config.database_path)
-    return spark.createDataFrame([("emails_folder_path", loaded.emails_folder_path)], "key string, value string")
+    return spark.createDataFrame([(x,) for x in loaded.sender_emails], "address string")
 
 
-@query()
+@query(f"SELECT {CARRIED_SQL}, 'drop' AS tags FROM m")
 def incremental_import(spark, sf_dir):
-    """Mails by nation are dropped into a folder, imported, and imported again: the second run finds nothing new."""
-    folder, path = shared_dir(spark), shared_dir(spark)
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").repartition("n_nationkey")
-    line = F.concat(F.lit("From: n"), "n_nationkey", F.lit("@"), F.lower("n_name"), F.lit(".example\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nSubject: "), "n_name", F.lit("\n"))
-    nations.select(line.alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(folder)
-    for _ in range(2):
-        import_new(spark, folder, path, glob="*.txt")
-    return open_imported(spark, path).select("sender_local_part", "sender_domain", "subject", "year")
+    """The view as mbox files in two drops, each imported when it is there; a third run finds nothing new."""
+    folder, path, mails = shared_dir(spark), shared_dir(spark), mail_view(spark, sf_dir)
+    own = own_addresses(spark, sf_dir)
+    for drop in (0, 1):
+        part = mails.where(F.regexp_extract("path", r"(\d+)$", 1).cast("bigint") % 2 == drop)
+        mbox_lines(part).write.mode("append").text(f"{folder}/drop{drop}.mbox")
+        import_new(spark, folder, path, own, name="mbox")
+    import_new(spark, folder, path, own, name="mbox")
+    return open_imported(spark, path).select(*CARRIED, F.regexp_replace(F.array_join("tags", ","), "^part-.*$", "drop").alias("tags"))
 
 
 @query()
 def synthetic_mails_by_domain(spark, sf_dir):
-    """As many senders as there are customers."""
-    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    return Q.segments(synthetic_mails(spark, n), "sender_domain")
+    """Customers as senders, their nations as domains."""
+    customers, nations = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    people = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    people = people.select(F.col("c_custkey").alias("sender"), F.lower("c_name").alias("local_part"), F.col("c_name").alias("name"), F.concat(F.lower("n_name"), F.lit(".example")).alias("domain"))
+    return Q.segments(synthetic_mails(spark, people=people), "sender_domain")

@@ -1,16 +1,23 @@
-"""The stored archive: emails, errors and settings as Parquet tables in one folder."""
+"""The stored archive: emails, errors and settings as Parquet tables in one folder.
+
+emails holds a folder for each import (batch=...), and in it one for each year, the first drill-down level, so that
+choosing a year prunes the rest. A whole import is one batch and replaces all others; an incremental one adds its own.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lettercrate.plans.fields import EMAILS, ERRORS
-from lettercrate.sources.archives import FORMATS, read_archive
+from lettercrate.sources.archives import FORMATS, PARSERS, read_archive
 from lettercrate.sources.parse import failed, good, parse_archive
 
 
@@ -50,39 +57,80 @@ def load_config(spark: SparkSession, path: str) -> Config:
     return Config.of_rows([tuple(r) for r in spark.read.schema("key string, value string").parquet(f"{path}/meta").collect()])
 
 
-def write_emails(emails: DataFrame, path: str, mode: str = "overwrite", part: str = "") -> None:
-    """One folder a year, the first drill-down level, so that choosing a year prunes the rest; below the folder ``part``
-    (such as "batch=3"), if one is named, which is all that is overwritten then."""
-    emails.select([f.name for f in EMAILS.fields]).write.mode(mode).partitionBy("year").parquet(f"{path}/emails/{part}".rstrip("/"))
+WHOLE = "batch=all"
+
+
+def write_emails(emails: DataFrame, path: str, mode: str = "overwrite", batch: str | None = None) -> None:
+    """batch: the only folder that is overwritten, such as "batch=3"; without one all batches are replaced.
+
+    Rows of a year are brought together, a large year in several files, so a write leaves few files whatever the number
+    of tasks.
+    """
+    rows = emails.select([f.name for f in EMAILS.fields]).hint("rebalance", "year")
+    if batch is None and mode == "overwrite":
+        _delete(emails.sparkSession, f"{path}/emails")
+    rows.write.mode(mode).partitionBy("year").parquet(f"{path}/emails/{batch or WHOLE}")
+
+
+def _open(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A table of the archive; an archive that doesn't exist yet is an empty one."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def open_emails(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EMAILS).parquet(f"{path}/emails").select([f.name for f in EMAILS.fields])
+    return _open(spark, f"{path}/emails", EMAILS).select([f.name for f in EMAILS.fields])
 
 
 def open_errors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ERRORS).parquet(f"{path}/errors")
+    return _open(spark, f"{path}/errors", ERRORS).select([f.split()[0] for f in ERRORS.split(", ")])
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
-def write_parsed(parsed: DataFrame, path: str, mode: str = "overwrite") -> dict[str, int]:
+
+def write_parsed(
+    parsed: DataFrame, path: str, mode: str = "overwrite", batch: str | None = None, progress: Callable[[str, int], None] | None = None
+) -> dict[str, int]:
     """Writes the rows and the errors of parsed messages; returns the counts read, written and failed.
 
-    Messages are parsed once: the rows are kept on the executors' disks between the two writes.
+    Messages are parsed once, into a table beside the others that is deleted at the end, so an executor that is lost
+    in between takes nothing along. progress is told of the steps: ("read", messages), ("failed", errors), ("write",
+    mails to write), ("written", mails), ("done", messages).
     """
-    seen = Observation("import")
-    counted = parsed.observe(seen, F.count("*").alias("read"), F.count_if(F.col("error").isNotNull()).alias("failed"))
-    kept = counted.persist(StorageLevel.DISK_ONLY)
+    tell = progress or (lambda step, n: None)
+    spark, staging = parsed.sparkSession, f"{path}/_staging/{uuid.uuid4().hex}"
     try:
-        write_emails(good(kept), path, mode)
-        failed(kept).write.mode(mode).parquet(f"{path}/errors")
+        parsed.write.parquet(staging)
+        kept = spark.read.schema(parsed.schema).parquet(staging)
+        seen = kept.agg(F.count("*").alias("read"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
+        counts = {"read": seen["read"], "written": seen["read"] - seen["failed"], "failed": seen["failed"]}
+        tell("read", counts["read"])
+        tell("failed", counts["failed"])
+        tell("write", counts["written"])
+        write_emails(good(kept), path, mode, batch)
+        tell("written", counts["written"])
+        if batch is None and mode == "overwrite":
+            _delete(spark, f"{path}/errors")
+        failed(kept).write.mode(mode).parquet(f"{path}/errors/{batch or WHOLE}")
     finally:
-        kept.unpersist()
-    counts = seen.get
-    return {"read": counts["read"], "written": counts["read"] - counts["failed"], "failed": counts["failed"]}
+        _delete(spark, staging)
+    tell("done", counts["read"])
+    return counts
+
 
+def import_archive(spark: SparkSession, config: Config, compat_reply: bool = False, progress: Callable[[str, int], None] | None = None) -> dict[str, int]:
+    """Reads, parses and stores an archive, and its settings. A message that can't be read goes to the errors.
 
-def import_archive(spark: SparkSession, config: Config, compat_reply: bool = False) -> dict[str, int]:
-    """Reads, parses and stores an archive, and its settings. A message that can't be read goes to the errors."""
+    Replaces what was stored, incremental batches included. Items are parsed as their format says (register_format).
+    """
     save_config(spark, config)
     raw = read_archive(spark, config.emails_folder_path, config.format)
-    return write_parsed(parse_archive(raw, list(config.sender_emails), compat_reply), config.database_path)
+    parsed = parse_archive(raw, list(config.sender_emails), compat_reply, parser=PARSERS.get(config.format))
+    return write_parsed(parsed, config.database_path, progress=progress)

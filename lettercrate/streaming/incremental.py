@@ -2,38 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettercrate.sources.parse import failed, good, parse_archive
-from lettercrate.sources.store import open_emails, write_emails
-
-FILE = "path string, modificationTime timestamp, length bigint, content binary"
+from lettercrate.sources import archives
+from lettercrate.sources.parse import parse_archive
+from lettercrate.sources.store import open_emails, write_parsed
 
 
-def import_new(spark: SparkSession, folder: str, database_path: str, sender_emails: tuple[str, ...] = (), glob: str = "*.eml", files_per_batch: int = 10_000) -> None:
-    """Imports the message files in folder that arrived since the last run, then ends.
+def _plain_rows(mails: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return mails.select("path", "content", none.alias("path_tags"), F.lit(None).cast("boolean").alias("seen_hint"), F.lit("eml").alias("format"))
+
+
+def _arrivals(spark: SparkSession, folder: str, name: str, glob: str, options: dict[str, str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(a stream of the files of a format, or of their parts, and what makes RAW rows of a batch of it)."""
+    if name == "eml":
+        return archives.files(spark, folder, glob, streaming=True, **options), _plain_rows
+    if name == "mbox":
+        return archives.mbox_parts(spark, folder, streaming=True, **options), archives.mbox_rows
+    if name == "apple":
+        return archives.files(spark, folder, "*.emlx", streaming=True, **options), archives.apple_rows
+    if name == "maildir":
+        place = archives.maildir_glob(spark, folder)
+        return archives.files(spark, place, "*", streaming=True, **archives.COLONS, **options), lambda mails: archives.maildir_rows(mails, folder)
+    if name == "gmailvault":
+        mails = archives.files(spark, folder, "*.{eml,eml.gz}", streaming=True, **options)
+        return mails, lambda batch: archives.gmail_rows(batch, archives.gmail_notes(spark, folder))
+    raise ValueError(f"no incremental import of {name}")
+
+
+def import_new(
+    spark: SparkSession, folder: str, database_path: str, sender_emails: tuple[str, ...] | DataFrame = (), glob: str = "*.eml", files_per_batch: int = 10_000,
+    name: str = "eml", progress: Callable[[str, int], None] | None = None,
+) -> None:
+    """Imports the files in folder that arrived since the last run, with the tags and flags of their format, then ends.
+
+    name: "eml" for single messages (files that match glob), or an archive format; a Gmail message is imported with the
+    sidecar that is there when its batch runs. An mbox file counts as seen once it is read, so mails that are added to
+    it later aren't found; new files are.
 
     The checkpoint beside the tables remembers files. A batch writes its own folder of the tables' parts anew if it is
-    repeated after a failure, so no mail is stored twice.
+    repeated after a failure, so no mail is stored twice. Batches add to a whole import (import_archive) of the same
+    database.
     """
-    new = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    new = new.option("maxFilesPerTrigger", files_per_batch).load(folder)
-    none = F.array().cast("array<string>")
-    raw = new.select("path", "content", none.alias("path_tags"), F.lit(None).cast("boolean").alias("seen_hint"), F.lit("eml").alias("format"))
+    new, raw_of = _arrivals(spark, folder, name, glob, {"maxFilesPerTrigger": str(files_per_batch)})
+    senders = sender_emails if isinstance(sender_emails, DataFrame) else list(sender_emails)
 
     def store(batch: DataFrame, number: int) -> None:
-        parsed = parse_archive(batch, list(sender_emails)).persist()
-        try:
-            write_emails(good(parsed), database_path, part=f"batch={number}")
-            failed(parsed).write.mode("overwrite").parquet(f"{database_path}/errors/batch={number}")
-        finally:
-            parsed.unpersist()
-
-    query = raw.writeStream.foreachBatch(store).option("checkpointLocation", f"{database_path}/_checkpoint").trigger(availableNow=True).start()
+        write_parsed(parse_archive(raw_of(batch), senders), database_path, batch=f"batch=new-{number}", progress=progress)
+
+    query = new.writeStream.foreachBatch(store).option("checkpointLocation", f"{database_path}/_checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def open_imported(spark: SparkSession, database_path: str) -> DataFrame:
-    """The emails of all batches."""
+    """The emails of all imports into a database."""
     return open_emails(spark, database_path)

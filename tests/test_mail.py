@@ -16,7 +16,7 @@ from lettercrate.operators import query as Q
 from lettercrate.plans.drill import DrillDown
 from lettercrate.plans.fields import CATALOG, GROUPABLE, FieldMap, join_tags, split_tags, title
 from lettercrate.sources import archives, store
-from lettercrate.sources.parse import failed, good, parse_archive
+from lettercrate.sources.parse import failed, good, header_block, parse_archive, parse_headers
 from lettercrate.sources.synthetic import synthetic_mails
 from lettercrate.streaming.incremental import import_new, open_imported
 
@@ -82,6 +82,21 @@ def test_bad_messages_become_errors(spark):
     assert parse_archive(raw(spark, good_one).where("false")).count() == 0
 
 
+def test_only_the_header_block_reaches_the_parser(spark):
+    bodies = ["x\n" * 1000, "y\r\n\r\nz", ""]
+    cut = raw(spark, *[mail(**BASE).split("\n\n")[0] + end + b for end, b in zip(("\n\n", "\r\n\r\n", ""), bodies, strict=True)])
+    blocks = [bytes(r[0]) for r in cut.select(header_block(F.col("path"), F.col("content"))).collect()]
+    assert all(len(b) < len(mail(**BASE)) + 5 and b.startswith(b"From: Ann") for b in blocks)
+    many = ", ".join(f"Name {i} <n{i}@x.example>" for i in range(2000))
+    r = parsed(spark, mail(**BASE, To=many), mail(**BASE, To=many + ", (odd) <z@x.example>"), partitions=3)
+    assert [x.to_count for x in r] == [2000, 2001] and r[0].to_address == "n0@x.example"
+
+
+def test_errors_are_told_in_full(spark):
+    r = parsed(spark, mail(**BASE | {"Date": "soon"}))[0]
+    assert r.error == "ValueError: no valid date"
+
+
 def test_replies_and_sent(spark):
     messages = [mail(**BASE), mail(**BASE, In_Reply_To="<id@x>"), mail(**BASE, Reply_To="r@s.example"), mail(**BASE, Reply_To="bad")]
     assert [r.is_reply for r in parsed(spark, *messages)] == [False, True, True, False]
@@ -134,12 +149,13 @@ def test_apple(spark, tmp_path):
 
 def test_maildir(spark, tmp_path):
     root = tmp_path / "Mail (old)"
-    for place in ("cur/1:2,S", "cur/2:2,RF", "new/3", ".Work/cur/4:2,FRS", ".Work/.Deep/new/5", "plain/cur/6:2,S", "tmp/7", "cur/.hidden"):
+    deep = "/".join(f".d{i}" for i in range(12)) + "/cur/8:2,S"
+    for place in (deep, "cur/1:2,S", "cur/2:2,RF", "new/3", ".Work/cur/4:2,FRS", ".Work/.Deep/new/5", "plain/cur/6:2,S", "tmp/7", "cur/.hidden"):
         f = root / place
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text(mail(**BASE, Subject=place))
     rows = good(parse_archive(archives.read_archive(spark, str(root), "maildir"))).collect()
-    assert {r.subject: r.is_seen for r in rows} == {"cur/1:2,S": True, "cur/2:2,RF": False, "new/3": False, ".Work/cur/4:2,FRS": True, ".Work/.Deep/new/5": False}
+    assert {r.subject: r.is_seen for r in rows} == {deep: True, "cur/1:2,S": True, "cur/2:2,RF": False, "new/3": False, ".Work/cur/4:2,FRS": True, ".Work/.Deep/new/5": False}
     assert all(r.tags == [] for r in rows)
 
 
@@ -170,9 +186,82 @@ def test_formats_can_be_added(spark):
         archives.read_archive(spark, "x", "made")
 
 
+def test_a_format_may_have_its_own_parser_or_parsed_items(spark, tmp_path):
+    messages = raw(spark, mail(**BASE, Subject="one"), mail(**BASE | {"Date": "never"}))
+    shout = lambda rows: parse_headers(rows).withColumn("subject", F.upper("subject"))
+    archives.register_format("loud", lambda s, path: messages, parser=shout)
+    archives.register_format("ready", lambda s, path: parse_headers(messages), default_path="~/ready")
+    try:
+        for name, subject in (("loud", "ONE"), ("ready", "one")):
+            config = store.Config(str(tmp_path / name), "x", name)
+            assert store.import_archive(spark, config) == {"read": 2, "written": 1, "failed": 1}
+            assert [r.subject for r in store.open_emails(spark, config.database_path).collect()] == [subject]
+        assert archives.default_path("ready").endswith("/ready") and archives.default_path("mbox") is None
+        assert archives.default_path("apple").endswith("/Library/Mail")
+        with pytest.raises(ValueError, match="path"):
+            archives.read_archive(spark, None, "mbox")
+    finally:
+        for table in (archives.FORMATS, archives.TITLES, archives.PARSERS, archives.DEFAULT_PATHS):
+            table.pop("loud", None), table.pop("ready", None)
+
+
 # --- the store
 
 
+def test_an_archive_that_is_not_there_is_empty(spark, tmp_path):
+    assert store.open_emails(spark, str(tmp_path / "none")).count() == 0 == store.open_errors(spark, str(tmp_path / "none")).count()
+    assert store.open_emails(spark, str(tmp_path / "none")).columns[0] == "path"
+
+
+def test_whole_and_incremental_imports_share_a_database(spark, tmp_path):
+    box, db = tmp_path / "in", str(tmp_path / "db")
+    box.mkdir()
+    (box / "A.mbox").write_text("From x Mon Sep 17 00:00:00 2001\n" + mail(**BASE, Subject="whole"))
+    steps = []
+    config = store.Config(db, str(box / "A.mbox"), "mbox")
+    store.import_archive(spark, config, progress=lambda step, n: steps.append((step, n)))
+    assert steps == [("read", 1), ("failed", 0), ("write", 1), ("written", 1), ("done", 1)]
+    (box / "1.eml").write_text(mail(**BASE, Subject="new"))
+    (box / "2.eml").write_text(mail(**BASE | {"Date": "?"}))
+    import_new(spark, str(box), db)
+    assert sorted(r.subject for r in store.open_emails(spark, db).collect()) == ["new", "whole"] and store.open_errors(spark, db).count() == 1
+    store.import_archive(spark, config)
+    assert [r.subject for r in store.open_emails(spark, db).collect()] == ["whole"] and store.open_errors(spark, db).count() == 0
+    assert not (tmp_path / "db" / "_staging").exists() or not any((tmp_path / "db" / "_staging").iterdir())
+
+
+def test_a_write_leaves_few_files(spark, tmp_path):
+    rows = parse_archive(raw(spark, *[mail(**BASE | {"Date": f"Fri, 9 Jun {2000 + i % 3} 00:44:16 +0000"}) for i in range(60)]).repartition(20))
+    store.write_parsed(rows, str(tmp_path))
+    assert len(list((tmp_path / "emails").rglob("*.parquet"))) <= 6
+
+
+def test_incremental_import_of_every_format(spark, tmp_path):
+    note = json.dumps({"msg_id": "1", "subject": "s", "labels": ["tag"], "flags": ["\\Seen"], "internal_date": 5})
+    body = mail(**BASE, Subject="s").encode()
+    emlx = f"{len(body)}\n".encode() + body + b"<plist><dict><key>flags</key><integer>1</integer></dict></plist>"
+    made = {
+        "mbox": {"one.mbox/a": b"From x Mon Sep 17 00:00:00 2001\n" + body, "two.mbox/a": b"From x Mon Sep 17 00:00:00 2001\n" + body},
+        "apple": {"W.mbox/1.emlx": emlx, "W.mbox/2.emlx": emlx},
+        "maildir": {"cur/1:2,S": body, ".A/.B/cur/2:2,S": body},
+        "gmailvault": {"d/1.eml": body, "d/1.meta": note.encode(), "d/2.eml.gz": gzip.compress(body), "d/2.meta": note.encode()},
+    }
+    for name, contents in made.items():
+        box, db = tmp_path / name, str(tmp_path / f"{name}-db")
+        half = len(contents) // 2
+        for part in (list(contents)[:half], list(contents)[half:]):
+            for place in part:
+                (box / place).parent.mkdir(parents=True, exist_ok=True)
+                (box / place).write_bytes(contents[place])
+            import_new(spark, str(box), db, name=name)
+            import_new(spark, str(box), db, name=name)
+        rows = open_imported(spark, db).collect()
+        assert len(rows) == 2 and {r.format for r in rows} == {name}, name
+        if name != "mbox":
+            assert all(r.is_seen for r in rows), name
+        assert {tuple(r.tags) for r in rows} == {"mbox": {("a",)}, "apple": {("W",)}, "maildir": {()}, "gmailvault": {("tag",)}}[name]
+
+
 def test_import_store_and_settings(spark, tmp_path):
     box = tmp_path / "in"
     box.mkdir()
@@ -271,6 +360,25 @@ def test_null_and_empty_are_one_group(mails):
     assert place.push("").count().first()[0] == 80 and place.push("Ä_x").count().first()[0] == 40
 
 
+def test_a_null_group_of_any_kind_can_be_chosen(mails):
+    seen = DrillDown(mails, levels=("is_seen",), defaults=("is_seen", "year"))
+    assert seen.push(None).count().first()[0] == sum(i % 3 == 0 for i in range(200))
+    assert DrillDown(mails).push(None).count().first()[0] == 0
+    nulls = mails.withColumn("year", F.when(F.col("year") != 2001, F.col("year")))
+    assert DrillDown(nulls).push(None).count().first()[0] == 50
+
+
+def test_pages_by_seeking_join_to_the_whole(mails):
+    seen, after = [], None
+    while rows := Q.page_after(mails, ("path", "subject"), after, 37).collect():
+        assert len(rows) == min(37, 200 - len(seen))
+        seen += [r.path for r in rows]
+        after = (rows[-1].datetime, rows[-1].path)
+    assert seen == [r.path for r in mails.orderBy("datetime", "path").collect()]
+    with pytest.raises(ValueError, match="value for each"):
+        Q.page_after(mails, ("path",), ("x",), 5)
+
+
 def test_drill_down_scenario(mails):
     start = DrillDown(mails)
     assert start.segments().count() == 4 and start.can_aggregate_more()
