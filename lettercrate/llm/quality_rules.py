@@ -160,12 +160,13 @@ def _as_array(table: DataFrame, n_buckets: int) -> DataFrame:
     return parts.agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("x")).select(F.flatten(F.col("x.x")).alias("ratios"))
 
 
-def _variable(one: DataFrame) -> Column:
-    """The single value of a frame of one row, as a session variable: lambdas can read those, but no subqueries."""
+def _variable(one: DataFrame) -> tuple[str, Column]:
+    """The single value of a frame of one row, as a session variable (its name, and a column that reads it): lambdas can
+    read those, but no subqueries. A column that is part of a frame keeps the value when the variable is dropped."""
     name = f"ratios_{uuid.uuid4().hex}"
     one.sparkSession.sql(f"DECLARE VARIABLE {name} {one.schema[0].dataType.simpleString()}")
     one.sparkSession.sql(f"SET VARIABLE {name} = (SELECT * FROM {{one}})", one=one)
-    return F.expr(f"session.{name}")
+    return name, F.expr(f"session.{name}")
 
 
 def judge(
@@ -184,13 +185,14 @@ def judge(
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0).cast("long")).alias("n_grams")
     if n_buckets <= most_broadcast:
         rows = with_counts(docs.select("doc_id", "text", *carried), word_bits=bits[0])
-        ratio = _variable(_as_array(table, n_buckets))
+        name, ratio = _variable(_as_array(table, n_buckets))
         discard(table)
         found = F.transform(_grams(F.col("_marks"), bits), lambda g: F.get(ratio, g.cast("int")).cast("long"))
         total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x)
         # a filter on the verdict isn't pushed below this column, where it would have the counts worked out twice
         one = F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))
         scored = rows.select(*keys, n_grams, (total + one).alias("_sum"))
+        docs.sparkSession.sql(f"DROP TEMPORARY VARIABLE {name}")
     else:
         # rows with equal ids and texts add up to equal means
         key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key")
