@@ -18,6 +18,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettercrate.llm.common import discard, written
+
+#: Most unseen blobs whose addresses are broadcast (some 10 MB), to leave all other texts unshuffled.
+FEW_BLOBS = 100_000
+
 LEDGER = "blob string, versions array<string>, findings array<struct<kind:string,version:string,start:int,end:int>>"
 
 
@@ -107,12 +112,19 @@ def update_ledger(contents: DataFrame, root: str, rules: tuple[Rule, ...] = RULE
     spark = contents.sparkSession
     none = F.array().cast("array<string>")
     known = ledger_of(spark, root).groupBy("blob").agg(F.flatten(F.collect_list("versions")).alias("seen"))
-    blobs = contents.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text"))).dropDuplicates(["blob"])
-    blobs = blobs.join(known, "blob", "left").withColumn("seen", F.coalesce("seen", none))
+    texts = contents.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
+    # which pairs are unseen is found out with addresses alone
+    asked = texts.select("blob").distinct().join(known, "blob", "left").withColumn("seen", F.coalesce("seen", none))
     numbers = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r.version).alias("v")) for i, r in enumerate(rules)])
     todo = F.transform(F.filter(numbers, lambda x: ~F.array_contains("seen", x["v"])), lambda x: x["i"])
-    work = blobs.select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
-    work.mapInArrow(_scan(rules), LEDGER).write.mode("append").parquet(root)
+    unseen = written(asked.select("blob", todo.alias("todo")).where(F.size("todo") > 0))
+    count = unseen.count()
+    if count:
+        if count <= FEW_BLOBS:  # few new blobs: the texts of all others stay where they are
+            texts = texts.join(F.broadcast(unseen.select("blob")), "blob", "left_semi")
+        work = texts.dropDuplicates(["blob"]).join(unseen, "blob").select("blob", "text", "todo")
+        work.mapInArrow(_scan(rules), LEDGER).write.mode("append").parquet(root)
+    discard(unseen)
     return ledger_of(spark, root)
 
 
