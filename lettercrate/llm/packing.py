@@ -29,7 +29,8 @@ from lettercrate.llm.common import written
 
 CAPACITY, SMALL, GROUPS = 1024, 448, 128
 END = 2
-RANKED_TOGETHER = 20_000
+#: Rows of one length are ranked in blocks of so many, or of one in so many of all rows where that is more.
+RANKED_TOGETHER, MOST_BLOCKS = 1_000, 100_000
 #: What a Python worker remembers of runs and their ids, in bytes, an entry's own overhead included.
 MOST_REMEMBERED, ENTRY = 128 << 20, 200
 
@@ -272,7 +273,8 @@ def place(lengths: DataFrame, capacity: int = CAPACITY, small: int = SMALL, grou
     counts = {r["length"]: r["n"] for r in lengths.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return lengths.withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
-    salts = spark.createDataFrame([(int(x), -(-n // RANKED_TOGETHER)) for x, n in counts.items()], "length bigint, _salts bigint")
+    together = max(RANKED_TOGETHER, sum(counts.values()) // MOST_BLOCKS)
+    salts = spark.createDataFrame([(int(x), -(-n // together)) for x, n in counts.items()], "length bigint, _salts bigint")
     rows = lengths.join(F.broadcast(salts), "length").withColumn("_order", F.xxhash64(*order))
     rows = rows.withColumn("_salt", F.pmod("_order", "_salts"))
     # where the block of a length and salt starts; one row a block
