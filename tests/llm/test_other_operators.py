@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
+from itertools import pairwise
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lettercrate.llm import mixing, packing, queries, sharding, toxicity, url_filters
+from lettercrate.llm import mixing, packing, queries, secret_scans, sharding, toxicity, url_filters
 from lettercrate.llm.common import shared_dir, written
 
 TRICKY = [
@@ -409,6 +412,107 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert names == ["quality rules", "SimHash near-dedup", "secret scans", "mixing", "best-fit packing"]
 
 
+def xxh(seed, *values):
+    """XXH64 chained over strings, 32-bit ("i", n) and 64-bit ("q", n) numbers, signed."""
+    h = seed
+    for x in values:
+        body = x.encode() if isinstance(x, str) else struct.pack("<" + x[0], x[1])
+        h = xxhash.xxh64_intdigest(body, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_pipeline(rows, trusted, tokenizer):
+    """Counter of (doc_id, piece, start, length, crc32) by plain loops over (doc_id, text, source)."""
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_text_operators import classes, counts, simhash_of
+
+    # quality rules: the buckets of words and pairs, two multinomials, the mean of log ratios
+    def buckets(text):
+        marks = [("i", xxh(42, w) >> 48) for w in (text or "").split()]
+        return [m[1] & 0xFFFF for m in marks] + [(xxh(42, a, b) & 0x3FFFF) + 0x10000 for a, b in zip(marks, marks[1:], strict=False)]
+
+    raw, good = Counter(), Counter()
+    for i, text, _ in rows:
+        raw.update(buckets(text))
+        if i in trusted:
+            good.update(buckets(text))
+    n_raw, n_good = sum(raw.values()), sum(good.values())
+    ratio = {b: round(1e6 * math.log((good[b] * n_raw / n_good + 5) / (raw[b] + 5))) for b in raw}
+    kept = []
+    for i, text, source in rows:
+        c, found = counts(text), buckets(text)
+        if c[0] >= 50 and 100 * c[4] <= 50 * c[0] and sum(ratio[b] for b in found) >= -0.33e6 * len(found):
+            kept.append((i, text, source))
+    # near-dedup: the least id of every class
+    root = classes([simhash_of(t) for _, t, _ in kept])
+    least = {}
+    for i, text, _ in kept:
+        least[root[simhash_of(text)]] = min(i, least.get(root[simhash_of(text)], i))
+    kept = [r for r in kept if least[root[simhash_of(r[1])]] == r[0]]
+    # secrets: every finding, overlapping ones together
+    clean = []
+    for i, text, source in kept:
+        hidden = bytearray(len(text))
+        for rule in secret_scans.RULES:
+            for m in rule.compiled().finditer(text):
+                if len(m[rule.group]) >= rule.least:
+                    hidden[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        clean.append((i, mask(text, hidden), source))
+    # mixture: every source read in keyed permutations until its budget is used up
+    tokens = Counter()
+    for _, text, source in clean:
+        tokens[source] += max(1, len(text.split()))
+    weights = mixing.weights_at(tokens, mixing.find_exponent(tokens, None, 2.0))
+    budget = max(n / weights[s] for s, n in tokens.items())
+    read = []
+    for s in tokens:
+        epoch = at = 0
+        while at < budget * weights[s] * (1 - 1e-12):
+            mine = sorted((r for r in clean if r[2] == s), key=lambda r: xxh(42, ("i", 0), ("i", epoch), ("q", xxh(42, ("q", r[0]), r[1]))))  # noqa: B023
+            for r in mine:
+                if at < budget * weights[s] * (1 - 1e-12):
+                    read.append(r)
+                at += max(1, len(r[1].split()))
+            epoch += 1
+    # pieces
+    library, out = Tokenizer.from_file(tokenizer), Counter()
+    for i, text, _ in read:
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % 1024 + 1
+        for k, (a, b) in enumerate(pairwise([0, *range(first, len(ids) + 1, 1024)])):
+            out[i, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())] += 1
+    return out
+
+
+def mask(text, hidden):
+    out = []
+    for k, c in enumerate(text):
+        if not hidden[k]:
+            out.append(c)
+        elif not k or not hidden[k - 1]:
+            out.append("<secret>")
+    return "".join(out)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, tokenizer):
+    rng = random.Random(21)
+    words = [a + b for a in ("ro", "mi", "ta", "lu", "se", "no") for b in ("ven", "dor", "lis", "kan", "pet")]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    rows = [(i, say(rng.randrange(60, 2500 if i % 9 == 0 else 140)), f"s{min(i % 6, 2)}") for i in range(150)]
+    rows += [(200 + i, rows[i][1] if i % 2 else rows[i][1].upper(), "s0") for i in range(30)]
+    rows += [(300 + i, " ".join(f"junk{rng.randrange(40)}" for _ in range(90)), "s1") for i in range(20)]
+    rows += [(400, say(40) + ' token = "' + "0f" * 20 + '" AKIA' + "B7" * 9 + " " + say(30), "s2"), (401, "", "s2"), (402, None, "s1"), (403, "same same " * 80, "s0")]
+    trusted = {i for i in range(0, 150, 2)} | {400}
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = brute_pipeline(rows, trusted, tokenizer)
+    assert Counter((p.doc_id, p.piece, p.start, p.length, p.ids_crc32) for p in got) == want
+    ids = {k[0] for k in want}
+    assert len(ids & set(range(150))) > 140 and 400 in ids and not ids & {*range(200, 330), 401, 402, 403} and max(want.values()) >= 2
+
+
 CLASHES = ("tokens", "key", "row", "blob", "address", "cleaned", "hash", "id", "n_words", "kept", "_sum", "epoch", "fingerprint")
 
 

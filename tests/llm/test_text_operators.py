@@ -202,6 +202,19 @@ def test_redaction_merges_overlaps_and_counts_anew(spark):
     assert out == {1: ('é <secret>" end', 15), 2: (None, 0)}
 
 
+def test_ledger_is_the_same_however_many_blobs_are_new(spark, docs, monkeypatch):
+    from lettercrate.llm.common import shared_dir
+
+    ledgers = []
+    for few in (0, 100_000):
+        monkeypatch.setattr(secret_scans, "FEW_BLOBS", few)
+        root = shared_dir(spark)
+        secret_scans.update_ledger(docs.where("doc_id < 9"), root)
+        ledger = secret_scans.update_ledger(docs, root)
+        ledgers.append(Counter((r.blob, tuple(r.versions), tuple(map(tuple, r.findings))) for r in ledger.collect()))
+    assert ledgers[0] == ledgers[1] and max(ledgers[0].values()) == 1 and len(ledgers[0]) == len({t or "" for _, t in TEXTS})
+
+
 @pytest.mark.parametrize("text", ["eyJ" * 700_000, "eyJaaaaaaaa." * 200_000, "token " * 300_000, "AKIA" * 500_000, "://a:" * 400_000, "-----BEGIN " * 200_000])
 def test_rules_read_hostile_texts_in_linear_time(text):
     began = time.perf_counter()
