@@ -44,11 +44,20 @@ def _marks(hashes: Column, word_bits: int) -> Column:
     return F.transform(hashes, lambda h: F.shiftright(h, shift).cast(kind))
 
 
+def _one(x: Column, bits: tuple[int, int]) -> Column:
+    """The bucket of a word, from its mark: the first 1 << bits[0]."""
+    return x.cast("long").bitwiseAND(F.lit((1 << bits[0]) - 1).cast("long"))
+
+
+def _two(x: Column, after: Column, bits: tuple[int, int]) -> Column:
+    """The bucket of a pair of neighbouring words: 1 << bits[1] after those of words."""
+    return F.xxhash64(x, after).bitwiseAND(F.lit((1 << bits[1]) - 1).cast("long")) + F.lit(1 << bits[0]).cast("long")
+
+
 def _grams(marks: Column, bits: tuple[int, int]) -> Column:
-    """Buckets of the words (the first 1 << bits[0]) and of the pairs of neighbouring words (1 << bits[1] after them)."""
-    low = lambda x, n: x.cast("long").bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-    one = F.transform(marks, lambda x: low(x, bits[0]))
-    two = F.transform(marks, lambda x, i: low(F.xxhash64(x, F.get(marks, i + 1)), bits[1]) + F.lit(1 << bits[0]).cast("long"))
+    """Buckets of the words and of the pairs."""
+    one = F.transform(marks, lambda x: _one(x, bits))
+    two = F.transform(marks, lambda x, i: _two(x, F.get(marks, i + 1), bits))
     return F.concat(one, F.slice(two, 1, F.greatest(F.size(marks) - 1, F.lit(0))))
 
 
@@ -187,8 +196,13 @@ def judge(
         rows = with_counts(docs.select("doc_id", "text", *carried), word_bits=bits[0])
         name, ratio = _variable(_as_array(table, n_buckets))
         discard(table)
-        found = F.transform(_grams(F.col("_marks"), bits), lambda g: F.get(ratio, g.cast("int")).cast("long"))
-        total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x)
+        marks, of = F.col("_marks"), lambda g: F.get(ratio, g.cast("int")).cast("long")
+
+        def both(x: Column, i: Column) -> Column:
+            after = F.get(marks, i + 1)
+            return of(_one(x, bits)) + F.when(after.isNull(), F.lit(0).cast("long")).otherwise(of(_two(x, after, bits)))
+
+        total = F.aggregate(F.transform(marks, both), F.lit(0).cast("long"), lambda a, x: a + x)
         # a filter on the verdict isn't pushed below this column, where it would have the counts worked out twice
         one = F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))
         scored = rows.select(*keys, n_grams, (total + one).alias("_sum"))
