@@ -23,7 +23,7 @@ from lettercrate.llm.common import discard, words_of, written
 #: Most n-grams of the corpus for each bucket, while there are fewer buckets than 1 << MOST_BITS for words and for pairs;
 #: least bits of a word's and a pair's bucket. Every task of the count shuffles a row for each bucket that it has met, so
 #: more bits cost disk in proportion; with fewer a bucket stands for more n-grams.
-LOAD = 256.0
+LOAD = 128.0
 LEAST_BITS = (16, 18)
 MOST_BITS = 19
 #: Most buckets of a table that is one array (4 bytes each), and how many of them are gathered in one row on the way there.
