@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettercrate.functions.filters import Predicate, where
-from lettercrate.plans.fields import DEFAULT, FieldMap
+from lettercrate.plans.fields import DEFAULT, GROUPABLE, FieldMap, title
 
 LEVELS = ("year", "sender_domain", "sender_local_part", "month", "day")
 
@@ -28,6 +28,13 @@ def distinct_values(df: DataFrame, name: str, fields: FieldMap = DEFAULT) -> Dat
     return df.select(group_key(name, fields)).distinct()
 
 
+def catalog_counts(df: DataFrame, fields: FieldMap = DEFAULT) -> DataFrame:
+    """(field, title, n_groups) of every field that can be a drill-down level: how many groups it would have. One job."""
+    counts = df.agg(*[F.count_distinct(F.coalesce(group_key(n, fields).cast("string"), F.lit("\0"))).alias(n) for n in GROUPABLE])
+    rows = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(title(n)).alias("title"), F.col(n).alias("n_groups")) for n in GROUPABLE])
+    return counts.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def known_tags(df: DataFrame, fields: FieldMap = DEFAULT) -> DataFrame:
     """Every tag that some mail has; '' is none."""
     return df.select(F.explode(fields.column("tags")).alias("tag")).where("tag != ''").distinct()

@@ -139,6 +139,16 @@ def distinct_domains(spark, sf_dir):
     return Q.distinct_values(mail_view(spark, sf_dir), "sender_domain", FIELDS)
 
 
+@query(
+    "SELECT unnest(['sender_domain', 'sender_local_part', 'sender_name', 'year', 'month', 'day', 'to_group', 'to_name', 'to_address']) AS field, "
+    "unnest(['Domain', 'Address', 'Name', 'Year', 'Month', 'Day', 'Group', 'To name', 'To address']) AS title, unnest([a, b, c, d, e, f, g, h, i]) AS n_groups "
+    "FROM (SELECT count(DISTINCT sender_domain) AS a, count(DISTINCT sender_local_part) AS b, count(DISTINCT sender_name) AS c, count(DISTINCT year) AS d, count(DISTINCT month) AS e, "
+    "count(DISTINCT day) AS f, count(DISTINCT coalesce(to_group, '')) AS g, count(DISTINCT coalesce(to_name, '')) AS h, count(DISTINCT coalesce(to_address, '')) AS i FROM m)"
+)
+def catalog_counts(spark, sf_dir):
+    return Q.catalog_counts(mail_view(spark, sf_dir), FIELDS)
+
+
 @query("SELECT count(*) AS total FROM m")
 def total_mails(spark, sf_dir):
     return Q.total(mail_view(spark, sf_dir))
@@ -178,10 +188,10 @@ def drill_back_and_regroup(spark, sf_dir):
     return place.set_aggregation(1, "sender_local_part").segments()
 
 
-@query("SELECT to_group, count(*) AS amount FROM (SELECT coalesce(to_group, '') AS to_group FROM m WHERE year = 1994 AND sender_domain = 'nation-7.example') GROUP BY to_group")
+@query("SELECT to_group, count(*) AS amount FROM (SELECT coalesce(to_group, '') AS to_group FROM m WHERE year = 1997 AND sender_domain = 'nation-7.example') GROUP BY to_group")
 def drill_free_field(spark, sf_dir):
     """The third level by the first field that no level has yet, after those of the sender and the date."""
-    place = DrillDown(mail_view(spark, sf_dir), fields=FIELDS).push(1994).push("nation-7.example")
+    place = DrillDown(mail_view(spark, sf_dir), fields=FIELDS).push(1997).push("nation-7.example")
     free = [n for n in place.aggregation_fields(2) if n.startswith("to_")]
     return place.set_aggregation(2, free[0]).segments()
 
