@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettercrate.llm import fingerprints, mixing, packing, quality_rules, secret_scans, sharding, simhash, substring_dedup, toxicity, url_filters
+from lettercrate.llm import fingerprints, minhash, mixing, packing, quality_rules, secret_scans, sharding, simhash, substring_dedup, toxicity, url_filters
 from lettercrate.llm.common import documents, shared_dir, written
 
 N_SHARDS = 8
@@ -144,15 +144,38 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), pair_words=substring_dedup.PAIR_WORDS)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+#: All pairs that share a shingle, counted; equal sets are one node.
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS x FROM w),
+g AS (SELECT x, min(doc_id) AS node, len(x) AS n FROM s WHERE len(x) > 0 GROUP BY x),
+u AS (SELECT node, n, unnest(x) AS shingle FROM g),
+l AS (
+  SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.node <> b.node
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))),
+r AS (SELECT node, node AS other FROM g UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(c.component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN g ON s.x = g.x LEFT JOIN c ON g.node = c.node
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_secret_scans, op2_best_fit_packing, op3_quality_rules, op4_virtual_slots, op5_temperature_mixing,
-            op6_closed_syncmers, op7_url_filters, op8_toxicity, op9_simhash, op10_substring_dedup,
+            op6_closed_syncmers, op7_url_filters, op8_toxicity, op9_simhash, op10_substring_dedup, op11_minhash,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL}
+    return {"op7_url_filters": OP7_SQL, "op11_minhash": OP11_SQL}

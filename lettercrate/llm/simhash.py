@@ -174,7 +174,7 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 30))), F.lit(0))).first())
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """rows joined with table on key. table has each key of rows once, and n, the number of its rows, which is dropped.
 
     Rows of hot keys meet a broadcast of fewer than HOT rows, so no task gets a hot key's rows all together.
@@ -208,9 +208,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     """
     marks = written(fingerprints(docs.select("doc_id", "text"), width))
     own, roots = _rooted(marks, F.min("doc_id"), radius)
-    named = _looked_up(own.select("fingerprint", "root", F.col("n").alias("rows")), roots, "root")
+    named = looked_up(own.select("fingerprint", "root", F.col("n").alias("rows")), roots, "root")
     named = written(named.select("fingerprint", F.col("chosen").alias("component_id"), F.col("rows").alias("n")))
-    out = _looked_up(marks, named, "fingerprint")
+    out = looked_up(marks, named, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -466,7 +466,7 @@ def test_hot_keys_meet_a_broadcast_and_no_row_is_lost(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 5)
     rows = spark.range(100).select(F.when(F.col("id") < 60, 0).otherwise(F.col("id")).alias("k"), "id")
     table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)
-    got = simhash._looked_up(rows, table, "k").collect()
+    got = simhash.looked_up(rows, table, "k").collect()
     assert sorted((r.id, r.k, r.v) for r in got) == [(i, k := 0 if i < 60 else i, 10 * k) for i in range(100)]
 
 
