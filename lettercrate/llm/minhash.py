@@ -11,7 +11,10 @@ two others equally often, so the variance, which depends on pairs of slots only,
 Equal sets are one node. Bands of slots give each node its buckets. A node is compared with its buckets' least and
 greatest nodes first, which is linear in the size of a group and joins most of it. Buckets that then still hold several
 components are gone through in blocks: pairs in the same component, pairs that another bucket is in charge of and pairs
-whose slots differ too often are dropped inside the join, so rows are made only for those left to verify.
+that differ too much by their sketches are dropped inside the join, so rows are made only for those left to verify. Of
+the two sketches one keeps some bits of each slot. The other has the parity of the number of elements in each of
+PARITIES classes of hashes: each element that only one of two sets has turns one bit, so the bits that differ never
+outnumber those elements. It is sharp for sets that are small beside PARITIES, the former for large ones.
 """
 
 from __future__ import annotations
@@ -31,12 +34,14 @@ PERCENT = 80
 SLOTS = 257
 #: Bits of each slot that a sketch keeps.
 SKETCH_BITS = 4
+#: Bits of the other sketch.
+PARITIES = 1024
 #: Chance at most that banding, or the comparison of sketches, loses a pair right at the threshold.
 MISS = 1e-8
 #: Nodes of a crowded bucket that meet as many others at a time.
 BLOCK = 1024
-#: Shingles of the documents whose signatures are worked out together.
-AT_ONCE = 200_000
+#: Most documents, and about as many shingles, whose signatures are worked out together.
+DOCS_AT_ONCE, AT_ONCE = 1000, 200_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -122,6 +127,14 @@ def _sketches(signature):
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view("<i8")
 
 
+def _parities(sets: list):
+    """For each set a bit for each class of hashes: whether it has an odd number of them. As signed 64-bit numbers."""
+    import numpy as np
+
+    odd = [np.bincount((s & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1 for s in sets]
+    return np.packbits(np.array(odd, np.uint8).reshape(len(sets), PARITIES), axis=1, bitorder="little").view("<i8")
+
+
 def _rows_of(matrix) -> pa.Array:
     import numpy as np
 
@@ -131,7 +144,7 @@ def _rows_of(matrix) -> pa.Array:
 
 def marks(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, at (a hash of id and text), n_shingles, and for documents with words digest (128 bits of the set), keys (of
-    the bands) and sketch. A document without words has null for these."""
+    the bands), sketch and odd (the sketch of parities). A document without words has null for these."""
     rows = band_rows(percent)
 
     def per_batch(batches):
@@ -144,7 +157,7 @@ def marks(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
             start = 0
             while start < len(texts):
                 sets, total, stop = [], 0, start
-                while stop < len(texts) and (not sets or total < AT_ONCE):
+                while stop < len(texts) and len(sets) < DOCS_AT_ONCE and total < AT_ONCE:
                     sets.append(shingle_hashes(texts[stop].as_py(), width))
                     total += len(sets[-1])
                     stop += 1
@@ -152,17 +165,18 @@ def marks(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
                 place = np.full(len(sets), -1)
                 place[some] = range(len(some))
                 order = pa.array(place, pa.int64(), mask=place < 0)
-                signature = signatures([sets[i] for i in some]) if some else np.zeros((0, SLOTS), np.uint64)
+                with_words = [sets[i] for i in some]
+                signature = signatures(with_words) if some else np.zeros((0, SLOTS), np.uint64)
                 columns = [
                     ids[start:stop], at[start:stop], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    _rows_of(_keys(signature, rows)).take(order), _rows_of(_sketches(signature)).take(order),
+                    *[_rows_of(x).take(order) for x in (_keys(signature, rows), _sketches(signature), _parities(with_words))],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "n_shingles", "digest", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "n_shingles", "digest", "keys", "sketch", "odd"])
                 start = stop
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, at bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>"
+    schema = f"doc_id {kind}, at bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>, odd array<bigint>"
     return docs.select("doc_id", _at().alias("at"), "text").mapInArrow(per_batch, schema)
 
 
@@ -208,7 +222,8 @@ def _rest(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int)
     n_blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     planes = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH_BITS * (SLOTS - 1) // 64)]
     rows = rows.select("key", "node", "root", (n_blocks - 1).alias("last"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("own"))
-    rows = rows.join(nodes.select("node", "n_shingles", "keys", *planes), "node")
+    odd = [F.get("odd", F.lit(i)).alias(f"o{i}") for i in range(PARITIES // 64)]
+    rows = rows.join(nodes.select("node", "n_shingles", "keys", *planes, *odd), "node")
 
     def side(name: str, first: Column, last: Column) -> DataFrame:
         """One side of a grid of blocks: a's block comes before b's, or is the same."""
@@ -226,6 +241,8 @@ def _rest(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int)
             any_bit = any_bit.bitwiseOR(x)
         differ = differ + F.bit_count(any_bit)
     kept = ((F.col("i") < F.col("j")) | (F.col("a_node") < F.col("b_node"))) & (F.col("a_root") != F.col("b_root")) & _alike_sizes("a_n_shingles", "b_n_shingles", percent)
+    turned = sum((F.bit_count(F.col(f"a_o{i}").bitwiseXOR(F.col(f"b_o{i}"))) for i in range(PARITIES // 64)), F.lit(0))
+    kept = kept & ((100 + percent) * turned <= (100 - percent) * (F.col("a_n_shingles") + F.col("b_n_shingles")))
     kept = kept & (differ <= most_different(percent)) & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key"))
     return a.join(b, ["key", "i", "j"]).where(kept).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
@@ -235,7 +252,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple
     be reached over links."""
     found = written(marks(docs, width, percent))
     own = found.where("digest is not null").groupBy("digest").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min("at").alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min("at").alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")
     )
     nodes = written(own.withColumn("node", F.monotonically_increasing_id()))
 

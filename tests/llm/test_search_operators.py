@@ -110,6 +110,18 @@ def test_signatures_dont_depend_on_what_is_worked_out_together():
     assert (alone >> np.uint64(32) < minhash.SLOTS).all()  # every slot has a value
 
 
+def test_parities_never_differ_in_more_bits_than_sets_do_in_elements():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, changed in ((1, 0), (40, 3), (300, 120), (5000, 900)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)]))
+        x, y = minhash._parities([a, b])
+        turned = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert turned <= len(np.setxor1d(a, b)) and (changed == 0 or turned > 0)
+
+
 def test_bands_and_sketches_hold_their_bounds():
     assert minhash.band_rows() == 5 and (1 - 0.8**5) ** (256 // 5) < 1e-8
     assert minhash.band_rows(100) == 32 and minhash.band_rows(1) == 1
