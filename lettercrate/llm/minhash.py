@@ -267,12 +267,12 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "at", "digest")
     sets = written(sets_of(docs, wanted, width))
     links = written(verified(stars.where("a < b").distinct(), sets, percent))
-    more = written(verified(_rest(buckets, nodes, components(links), percent), sets, percent))
-    roots = components(links.unionByName(more))
+    left = written(_rest(buckets, nodes, components(links), percent))
+    roots = components(links.unionByName(verified(left, sets, percent)))
     rooted = written(nodes.select("digest", "node", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("digest", "root", "n", "least"))
     whole = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     named = written(looked_up(rooted.select("digest", "root", F.col("n").alias("docs")), whole, "root").select("digest", "component_id", F.col("docs").alias("n")))
-    for table in (nodes, buckets, sets, links, more, rooted, whole):
+    for table in (nodes, buckets, sets, links, left, rooted, whole):
         discard(table)
     return found, named
 
