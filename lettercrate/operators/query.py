@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettercrate.functions.filters import Predicate, where
@@ -19,9 +19,16 @@ def group_key(name: str, fields: FieldMap = DEFAULT) -> Column:
     return (F.coalesce(column, F.lit("")) if fields.kind(name) == "text" else column).alias(name)
 
 
-def segments(df: DataFrame, name: str, predicates: Iterable[Predicate] = (), fields: FieldMap = DEFAULT) -> DataFrame:
-    """(field, amount): rows per value of a field. Partial counts are summed after one shuffle of group keys."""
-    return where(df, predicates, fields).groupBy(group_key(name, fields)).agg(F.count("*").alias("amount"))
+def _amount(weight: str | None) -> Column:
+    return (F.sum(weight) if weight else F.count("*")).alias("amount")
+
+
+def segments(df: DataFrame, name: str, predicates: Iterable[Predicate] = (), fields: FieldMap = DEFAULT, weight: str | None = None) -> DataFrame:
+    """(field, amount): rows per value of a field. Partial counts are summed after one shuffle of group keys.
+
+    weight: a column that says for how many rows each stands, as in counts kept by level_cells.
+    """
+    return where(df, predicates, fields).groupBy(group_key(name, fields)).agg(_amount(weight))
 
 
 def distinct_values(df: DataFrame, name: str, fields: FieldMap = DEFAULT) -> DataFrame:
@@ -84,28 +91,78 @@ def page(
     return rows.offset(start).limit(end - start + overscan).select(*[fields.column(n).alias(n) for n in names])
 
 
+def page_order(df: DataFrame) -> tuple[str, ...]:
+    """Fields that tell mails apart: several mails of one mbox file may share a second, but not a position."""
+    return ("datetime", "path", "position") if "position" in df.columns else ("datetime", "path")
+
+
+def _order_key(name: str, fields: FieldMap) -> Column:
+    """Mails that aren't in an mbox file have no position and stand at -1."""
+    return F.coalesce(fields.column(name), F.lit(-1)) if name == "position" else fields.column(name)
+
+
 def page_after(
-    df: DataFrame, names: Sequence[str], after: tuple | None, size: int, predicates: Iterable[Predicate] = (), fields: FieldMap = DEFAULT, order: Sequence[str] = ("datetime", "path")
+    df: DataFrame, names: Sequence[str], after: tuple | None, size: int, predicates: Iterable[Predicate] = (), fields: FieldMap = DEFAULT, order: Sequence[str] | None = None
 ) -> DataFrame:
     """The ``size`` rows that follow the row whose ordering fields are ``after`` (None: the first rows), with these fields
-    in front.
+    in front. order: page_order(df) unless given.
 
     A deep page costs no more than the first: rows before it are filtered out, which reaches the scan, and each task
-    keeps ``size`` rows. The ordering fields must tell rows apart and have no nulls.
+    keeps ``size`` rows. The ordering fields must tell rows apart, and only a position may be null.
     """
+    order = tuple(order or page_order(df))
     rows = where(df, predicates, fields)
     if after is not None:
         if len(after) != len(order):
             raise ValueError(f"a value for each of {', '.join(order)} is needed")
-        keys = [(fields.column(n), F.lit(v)) for n, v in zip(order, after, strict=True)]
+        keys = [(_order_key(n, fields), F.lit(-1 if n == "position" and v is None else v)) for n, v in zip(order, after, strict=True)]
         follows = F.lit(False)
         for key, value in reversed(keys):
             follows = (key > value) | ((key == value) & follows)
         rows = rows.where(keys[0][0] >= keys[0][1]).where(follows)
-    rows = rows.orderBy(*[fields.column(n) for n in order]).limit(size)
+    rows = rows.orderBy(*[_order_key(n, fields) for n in order]).limit(size)
     return rows.select(*[fields.column(n).alias(n) for n in (*order, *[n for n in names if n not in order])])
 
 
+#: Rows of a range of a ranked table.
+RANGE_ROWS = 100_000
+
+
+def write_ranked(df: DataFrame, path: str, order: Sequence[str] | None = None, fields: FieldMap = DEFAULT, range_rows: int = RANGE_ROWS) -> None:
+    """Writes df in order, cut into ranges of about ``range_rows`` rows, so that ranked_page() can open any page of it.
+
+    ``rows`` has a folder for each range; a row knows its place in it. ``ranges`` has a row for each range with the number
+    of rows before it. One shuffle, by range; no task sorts more than a range. Rows that agree in all ordering fields are
+    in one range, in any order.
+    """
+    order = tuple(order or page_order(df))
+    keys = [_order_key(n, fields) for n in order]
+    n = max(1, -(-df.count() // range_rows))
+    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows.withColumns({"_place": place, "_range": F.spark_partition_id()}).write.partitionBy("_range").parquet(f"{path}/rows")
+    sizes = df.sparkSession.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).write.parquet(f"{path}/ranges")
+
+
+def ranked_page(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """Rows start to end (exclusive) of a table by write_ranked, with ``place`` in front, the row's number from 0.
+
+    Only the ranges that the page lies in are read: two for a page that is no longer than a range, wherever it is.
+    """
+    if not 0 <= start <= end:
+        raise ValueError(f"no page from {start} to {end}")
+    met = spark.read.parquet(f"{path}/ranges").where((F.col("before") < end) & (F.col("before") + F.col("n") > start)).collect()
+    rows = spark.read.parquet(f"{path}/rows")
+    rows = rows.where(F.col("_range").isin([r["_range"] for r in met]))
+    first = F.lit(None).cast("bigint")
+    for r in met:
+        first = F.when(F.col("_range") == r["_range"], F.lit(r["before"])).otherwise(first)
+    rows = rows.withColumn("place", first + F.col("_place")).where((F.col("place") >= start) & (F.col("place") < end))
+    return rows.select("place", *[c for c in rows.columns if c not in ("_place", "_range", "place")])
+
+
 def mail_list(df: DataFrame, start: int, end: int, predicates: Iterable[Predicate] = (), fields: FieldMap = DEFAULT, overscan: int = 6) -> DataFrame:
     """What the mail list shows of the visible rows: sender, date, subject, path."""
     names = ("sender_domain", "sender_local_part", "subject", "path", "timestamp")
@@ -142,14 +199,26 @@ def segment_limit(grouped: DataFrame, name: str, n: int | None, keep: str = "sma
     return grouped.orderBy(first, F.desc(name) if keep == "smallest" else F.asc(name)).limit(n)
 
 
-def drill_cube(df: DataFrame, levels: Sequence[str] = LEVELS, fields: FieldMap = DEFAULT, free_order: bool = False) -> DataFrame:
+def level_cells(df: DataFrame, levels: Sequence[str] = LEVELS, fields: FieldMap = DEFAULT) -> DataFrame:
+    """(levels, amount): mails per group of all levels together. Those of parts of a table add up to those of the whole,
+    so they can be kept by import and merged when they are read."""
+    return df.groupBy(*[group_key(n, fields) for n in levels]).agg(F.count("*").alias("amount"))
+
+
+def merged_cells(cells: DataFrame) -> DataFrame:
+    """One row a group for cells (any levels, amount) of several parts."""
+    return cells.groupBy([c for c in cells.columns if c != "amount"]).agg(F.sum("amount").alias("amount"))
+
+
+def drill_cube(df: DataFrame, levels: Sequence[str] = LEVELS, fields: FieldMap = DEFAULT, free_order: bool = False, weight: str | None = None) -> DataFrame:
     """All drill-down levels in one job: a row for each group of each level (level 0: all mails), with its amount.
 
-    free_order: groups for every subset of the levels rather than every prefix; ``grouping`` tells them apart.
+    free_order: groups for every subset of the levels rather than every prefix; ``grouping`` tells them apart. weight: as
+    for segments; without any rows, the amount of level 0 is null then.
     """
-    rows = df.select(*[group_key(n, fields) for n in levels])
+    rows = df.select(*[group_key(n, fields) for n in levels], *([F.col(weight)] if weight else []))
     rolled = rows.cube(*levels) if free_order else rows.rollup(*levels)
-    out = rolled.agg(F.count("*").alias("amount"), F.grouping_id().cast("int").alias("grouping"))
+    out = rolled.agg(_amount(weight), F.grouping_id().cast("int").alias("grouping"))
     if free_order:
         return out
     return out.select(*levels, "amount", (len(levels) - F.bit_count("grouping")).cast("int").alias("level"))

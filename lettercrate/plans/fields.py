@@ -66,9 +66,13 @@ EMAILS = T.StructType([
     T.StructField("tags", T.ArrayType(T.StringType())),
     T.StructField("is_seen", T.BooleanType()),
     T.StructField("format", T.StringType()),
+    T.StructField("position", T.LongType()),
 ])
 RAW = "path string, content binary, path_tags array<string>, seen_hint boolean, format string"
 ERRORS = "path string, stage string, message string"
+#: Files that were imported: key tells files apart (a Maildir message keeps its key when its flags change), length is how
+#: far the file was read.
+FILES = "key string, path string, length bigint, modified timestamp"
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lettercrate.functions import filters as P
 from lettercrate.operators import query as Q
 from lettercrate.plans.drill import DrillDown
-from lettercrate.plans.fields import FieldMap
+from lettercrate.plans.fields import TAG_SEPARATOR, FieldMap, join_tags, split_tags
 from lettercrate.plans.mailview import FIELDS, mail_view, with_mail
 from lettercrate.plans.rendering import mbox_lines, message_text, write_files
 from lettercrate.sources import archives, store
@@ -294,7 +294,7 @@ def file_name() -> Column:
 
 def stored(spark: SparkSession, sf_dir: str, files: DataFrame, name: str, below: str = "") -> DataFrame:
     """Mails of the files (name, content) after they were written to shared storage and read as an archive."""
-    folder = shared_dir(spark)
+    folder = f"{shared_dir(spark)}/My Mail + 50% #1 é"
     write_files(files.repartition(spark.sparkContext.defaultParallelism), folder)
     return good(parse_archive(archives.read_archive(spark, folder + below, name), own_addresses(spark, sf_dir)))
 
@@ -307,12 +307,38 @@ def import_round_trip(spark, sf_dir):
 @query(f"SELECT {CARRIED_SQL}, 'orders' AS tags FROM m")
 def import_mbox(spark, sf_dir):
     """Written as mbox files by Spark and read back from them."""
-    folder = f"{shared_dir(spark)}/orders.mbox"
+    folder = f"{shared_dir(spark)}/My orders + 50% #1 é.mbox"
     mbox_lines(mail_view(spark, sf_dir)).write.text(folder)
     mails = good(parse_archive(archives.read_archive(spark, folder, "mbox"), own_addresses(spark, sf_dir)))
     return mails.select(*CARRIED, F.regexp_replace(F.array_join("tags", ","), "^part-.*$", "orders").alias("tags"))
 
 
+#: Mails of an mbox file whose text says which order it is from; several files, and several orders of a file in a second.
+def mailboxes(mails: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """name, content: n mbox files that hold all mails, each in the order of dates."""
+    entries = mbox_lines(mails, "path", "datetime").withColumn("box", F.pmod(F.xxhash64("path", F.lit(seed)), F.lit(n)))
+    # the test tables' mails, a bounded share of them a file
+    boxes = entries.groupBy("box").agg(F.sort_array(F.collect_list(F.struct("datetime", "path", "value"))).alias("x"))
+    return boxes.select(F.format_string("box %03d é.mbox", "box").alias("name"), F.array_join(F.col("x.value"), "\n").alias("content"))
+
+
+@query("SELECT path FROM m UNION ALL SELECT concat('in place: ', CAST(count(*) AS VARCHAR)) FROM m")
+def import_positions(spark, sf_dir):
+    """Mails of mbox files that were split between tasks; and how many have the separator line of their own order at their
+    position, read from the whole files."""
+    folder, path = shared_dir(spark), shared_dir(spark)
+    write_files(mailboxes(mail_view(spark, sf_dir), 1 + spark.sparkContext.defaultParallelism), folder)
+    store.import_archive(spark, store.Config(path, folder, "mbox"))
+    order = F.regexp_extract("text", r"\nMessage-Id: <orders\.(\d+)@", 1)
+    mails = store.open_emails(spark, path).select("path", "position", "subject", "sender_local_part")
+    whole = archives.files(spark, folder, "*.mbox").select("path", "content")
+    rows = mails.join(whole, "path").withColumn("text", F.substring("content", F.col("position").cast("int") + 1, F.lit(2000)).cast("string"))
+    rows = rows.withColumn("text", F.regexp_extract("text", r"(?s)\A(From .*?\n)(?=From |\z)", 1)).withColumn("order", order)
+    placed = F.startswith("text", F.concat(F.lit("From "), "sender_local_part", F.lit(" "))) & F.contains("text", F.concat(F.lit("\nSubject: "), "subject", F.lit("\n")))
+    named = rows.select(F.concat(F.lit("orders/"), "order").alias("path"), placed.alias("placed"))
+    return named.select("path").unionByName(named.agg(F.concat(F.lit("in place: "), F.count_if("placed").cast("string")).alias("path")))
+
+
 @query(f"SELECT {CARRIED_SQL}, 'INBOX' AS tags, meta_is_seen AS is_seen FROM m")
 def import_emlx(spark, sf_dir):
     """A file a mail: its length, the message, a property list with its flags."""
@@ -425,6 +451,60 @@ def incremental_import(spark, sf_dir):
     return open_imported(spark, path).select(*CARRIED, F.regexp_replace(F.array_join("tags", ","), "^part-.*$", "drop").alias("tags"))
 
 
+@query(f"SELECT {CARRIED_SQL} FROM m")
+def import_whole_and_new(spark, sf_dir):
+    """One folder imported as it arrives, another as a whole, which replaces what was there, then the first once more; and
+    the second as it arrives, where nothing is new. Each mail is stored once."""
+    a, b, path, own = shared_dir(spark), shared_dir(spark), shared_dir(spark), own_addresses(spark, sf_dir)
+    mails = mail_view(spark, sf_dir)
+    even = F.regexp_extract("path", r"(\d+)$", 1).cast("bigint") % 2 == 0
+    write_files(mailboxes(mails.where(even), 4), a)
+    write_files(mailboxes(mails.where(~even), 4), b)
+    import_new(spark, a, path, own, name="mbox")
+    store.write_parsed(parse_archive(archives.read_archive(spark, b, "mbox"), own, parts=True), path)
+    import_new(spark, a, path, own, name="mbox")
+    import_new(spark, b, path, own, name="mbox")
+    return open_imported(spark, path).select(*CARRIED)
+
+
+@query(f"SELECT {CARRIED_SQL} FROM m")
+def import_growing_mbox(spark, sf_dir):
+    """Mailboxes to whose ends mails are added twice, imported each time."""
+    folder, path, own, mails = shared_dir(spark), shared_dir(spark), own_addresses(spark, sf_dir), mail_view(spark, sf_dir)
+    for until in ("1996-01-01", "1997-06-01", "2100-01-01"):
+        write_files(mailboxes(mails.where(F.col("datetime") < until), 7), folder)
+        import_new(spark, folder, path, own, name="mbox")
+    return open_imported(spark, path).select(*CARRIED)
+
+
+@query(
+    "SELECT year, sender_domain, sender_local_part, month, day, CAST(count(*) AS BIGINT) AS amount, CAST(CASE WHEN grouping(year) = 1 THEN 0 "
+    "WHEN grouping(sender_domain) = 1 THEN 1 WHEN grouping(sender_local_part) = 1 THEN 2 WHEN grouping(month) = 1 THEN 3 "
+    "WHEN grouping(day) = 1 THEN 4 ELSE 5 END AS INT) AS level FROM m GROUP BY ROLLUP (year, sender_domain, sender_local_part, month, day)"
+)
+def stored_cube(spark, sf_dir):
+    """All drill-down levels after three imports, from the counts that each has left; no mail is read."""
+    path, own, mails = shared_dir(spark), own_addresses(spark, sf_dir), rendered(spark, sf_dir)
+    third = F.pmod(F.xxhash64("path"), F.lit(3))
+    for i in range(3):
+        store.write_parsed(parse_archive(raw_of(mails.where(third == i)), own), path, batch=f"part-{i}")
+    return Q.drill_cube(store.open_cells(spark, path), weight="amount")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY datetime, path) - 1 AS BIGINT) AS place, path, subject FROM m QUALIFY place >= 7000 AND place < 7100")
+def page_random(spark, sf_dir):
+    """A page in the middle of a ranked table, which reads the ranges that it lies in."""
+    path = shared_dir(spark)
+    Q.write_ranked(FIELDS.select(mail_view(spark, sf_dir), "datetime", "path", "subject"), path, range_rows=1500)
+    return Q.ranked_page(spark, path, 7000, 7100).select("place", "path", "subject")
+
+
+@query("SELECT path, array_to_string(list_filter(string_split(coalesce(meta_tags, ''), ':|:'), lambda x: x <> ''), ':|:') AS tags FROM m")
+def tags_round_trip(spark, sf_dir):
+    """Tags split from their joined text and joined again."""
+    return mail_view(spark, sf_dir).select("path", join_tags(split_tags(F.concat_ws(TAG_SEPARATOR, "meta_tags"))).alias("tags"))
+
+
 @query()
 def synthetic_mails_by_domain(spark, sf_dir):
     """Customers as senders, their nations as domains."""
