@@ -137,10 +137,11 @@ def write_ranked(df: DataFrame, path: str, order: Sequence[str] | None = None, f
     """
     order = tuple(order or page_order(df))
     keys = [_order_key(n, fields) for n in order]
-    n = max(1, -(-df.count() // range_rows))
-    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    n = -(-df.count() // range_rows)
+    rows = df.repartitionByRange(max(1, n), *keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows.withColumns({"_place": place, "_range": F.spark_partition_id()}).write.partitionBy("_range").parquet(f"{path}/rows")
+    rows = rows.withColumns({"_place": place, "_range": F.spark_partition_id()})
+    (rows.write.partitionBy("_range") if n else rows.write).parquet(f"{path}/rows")  # without rows, a file that has the columns
     sizes = df.sparkSession.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).write.parquet(f"{path}/ranges")

@@ -1,0 +1,284 @@
+"""Whole and incremental imports, snapshots, positions in mbox files, ranked pages and counts kept by import."""
+
+from __future__ import annotations
+
+import gzip
+import json
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lettercrate.operators import query as Q
+from lettercrate.sources import archives, snapshots, store
+from lettercrate.sources.parse import good, parse_archive, parse_headers, positioned
+from lettercrate.streaming.incremental import import_new, open_imported
+from tests.test_mail import BASE, mail
+
+LINE = "From ann Mon Sep 17 00:00:00 2001"
+
+
+def entry(subject: str, line: str = LINE) -> str:
+    return f"{line}\n{mail(**BASE, Subject=subject)}"
+
+
+def subjects(spark, db) -> list[str]:
+    return sorted(r.subject for r in open_imported(spark, str(db)).collect())
+
+
+@pytest.fixture
+def boxes(tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    for box, subject in ((a, "in a"), (b, "in b")):
+        box.mkdir()
+        (box / f"{subject}.mbox").write_text(entry(subject))
+        (box / f"{subject}.eml").write_text(mail(**BASE, Subject=f"{subject} alone"))
+    return a, b
+
+
+@pytest.mark.parametrize("name", ["mbox", "eml"])
+def test_a_whole_import_between_two_incremental_ones(spark, boxes, tmp_path, name):
+    a, b = boxes
+    db, of_a = str(tmp_path / "db"), "in a" if name == "mbox" else "in a alone"
+    import_new(spark, str(a), db, name=name)
+    assert subjects(spark, db) == [of_a]
+    store.import_archive(spark, store.Config(db, str(b), "mbox"))
+    assert subjects(spark, db) == ["in b"]
+    import_new(spark, str(a), db, name=name)
+    import_new(spark, str(a), db, name=name)
+    assert subjects(spark, db) == sorted([of_a, "in b"])
+
+
+def test_an_incremental_import_of_what_a_whole_one_has_stored(spark, boxes, tmp_path):
+    db = str(tmp_path / "db")
+    store.import_archive(spark, store.Config(db, str(boxes[0]), "mbox"))
+    import_new(spark, str(boxes[0]), db, name="mbox")
+    assert subjects(spark, db) == ["in a"]
+    maildir = tmp_path / "m"
+    for folder in ("new", "cur"):
+        (maildir / folder).mkdir(parents=True)
+    (maildir / "new" / "17.x").write_text(mail(**BASE, Subject="moves"))
+    (maildir / "cur" / "18.x:2,").write_text(mail(**BASE, Subject="gets a flag"))
+    store.import_archive(spark, store.Config(db, str(maildir), "maildir"))
+    (maildir / "new" / "17.x").rename(maildir / "cur" / "17.x:2,S")
+    (maildir / "cur" / "18.x:2,").rename(maildir / "cur" / "18.x:2,S")
+    (maildir / "new" / "19.x").write_text(mail(**BASE, Subject="new"))
+    import_new(spark, str(maildir), db, name="maildir")
+    assert subjects(spark, db) == ["gets a flag", "moves", "new"]
+
+
+def test_mailboxes_that_grow(spark, tmp_path):
+    box, db = tmp_path / "in + 1% #é", str(tmp_path / "db")
+    box.mkdir()
+    file = box / "A {b}.mbox"
+    file.write_text(entry("1") + "\n" + entry("2"))
+    (box / "still.mbox").write_text(entry("still"))
+    (box / "empty.mbox").write_text("")
+    import_new(spark, str(box), db, name="mbox")
+    for add, want in (
+        (entry("3"), "123"),
+        ("\nFrom now on this is text of the third.\n", "123"),  # no new mail, and it ends
+        ("x" * 5000, "123"),
+        ("\n" + entry("4") + "\n" + entry("5"), "12345"),
+    ):
+        with file.open("a") as out:
+            out.write(add)
+        import_new(spark, str(box), db, name="mbox")
+        assert subjects(spark, db) == sorted([*want, "still"]), add[:20]
+    import_new(spark, str(box), db, name="mbox")
+    assert open_imported(spark, db).count() == 6
+    lengths = {r.path.rsplit("/", 1)[1]: r.length for r in store.open_files(spark, db).collect()}
+    assert lengths["A {b}.mbox"] == file.stat().st_size
+
+
+def test_a_grown_share_of_a_split_mailbox(spark, tmp_path):
+    box, db = tmp_path / "in", str(tmp_path / "db")
+    box.mkdir()
+    file, before = box / "A.mbox", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        for n in (10, 11, 25):
+            file.write_text("\n".join(entry(f"{i:03d}") for i in range(n)))
+            import_new(spark, str(box), db, name="mbox")
+            assert subjects(spark, db) == [f"{i:03d}" for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    content = file.read_bytes()
+    for r in open_imported(spark, db).collect():
+        assert content[r.position :].startswith(LINE.encode()) and f"Subject: {r.subject}\n".encode() in content[r.position : r.position + 200]
+
+
+@pytest.mark.parametrize("size", ["300", "1500", "10m"])
+def test_positions_dont_depend_on_splits(spark, tmp_path, size):
+    parts = [entry(f"é{i}" * (1 + i % 5)) + ("From here on text\n\nFrom there too 12\n" if i % 3 == 0 else "") for i in range(40)]
+    (tmp_path / "A b.mbox").write_text("\n \n" + "\n".join(parts))
+    (tmp_path / "B.mbox").write_text("\n".join(parts[:3]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        parsed = parse_archive(archives.read_mbox(spark, str(tmp_path)), parts=True)
+        parsed.write.parquet(str(tmp_path / "parsed"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = good(positioned(spark.read.schema(parsed.schema).parquet(str(tmp_path / "parsed")))).collect()
+    want = {(name, m.start()) for name in ("A b.mbox", "B.mbox") for m in re.finditer(rb"^From ann Mon", (tmp_path / name).read_bytes(), re.M)}
+    assert {(r.path.rsplit("/", 1)[1], r.position) for r in rows} == want and len(rows) == len(want) == 43
+
+
+def test_separators_and_lost_messages(spark, tmp_path):
+    good_lines = [LINE, LINE + " remote from h", LINE + " +0200", "From 4a5b Thu Jan 1 00:00:00 1970", "From x 2001", LINE + "\r"]
+    text = "\n".join(entry(f"{i}", line) for i, line in enumerate(good_lines))
+    text += "\n" + entry("lost", "From somebody at some time") + "\nFrom the text of a body\nit goes on\n"
+    (tmp_path / "A.mbox").write_text(text, newline="")
+    parsed = parse_archive(archives.read_mbox(spark, str(tmp_path)))
+    assert sorted(r.subject for r in good(parsed).collect()) == [str(i) for i in range(len(good_lines))]
+    assert [r.error for r in parsed.where("error is not null").collect()] == ["ValueError: separator without a date"]
+
+
+def test_empty_lines_before_the_headers(spark):
+    rows = [(f"{i}.eml", bytearray(f"{front}{mail(**BASE, Subject='s')}".encode()), [], None, "eml") for i, front in enumerate(["", "\n", "\r\n\r\n", "\n\n\n"])]
+    raw = spark.createDataFrame(rows, "path string, content binary, path_tags array<string>, seen_hint boolean, format string")
+    assert [r.subject for r in good(parse_archive(raw)).collect()] == ["s"] * 4
+    assert parse_headers(raw).where("error is not null").count() == 0
+
+
+def test_paths_with_signs(spark, tmp_path):
+    box = tmp_path / "My Mail + 50% #1 é"
+    box.mkdir()
+    note = json.dumps({"msg_id": "1", "subject": "s", "labels": ["tag", "\\Seen"], "flags": [], "internal_date": 5})
+    (box / "1 %20.eml").write_bytes(mail(**BASE, Subject="s").encode())
+    (box / "2.eml.gz").write_bytes(gzip.compress(mail(**BASE, Subject="s").encode()))
+    for name in ("1 %20.meta", "2.meta"):
+        (box / name).write_text(note)
+    (box / "Sent Items é+%41.mbox").write_text(entry("m"))
+    rows = good(parse_archive(archives.read_gmail(spark, str(box)))).collect()
+    assert [(r.tags, r.is_seen) for r in rows] == [(["tag", "\\Seen"], True)] * 2
+    [row] = good(parse_archive(archives.read_mbox(spark, str(box)))).collect()
+    assert row.tags == ["Sent Items é+%41"] and row.path.endswith("/My Mail + 50% #1 é/Sent Items é+%41.mbox")
+    (listed,) = archives.files(spark, str(box), "*.mbox").select("path").collect()
+    assert listed.path == row.path
+
+
+# --- snapshots
+
+
+def write(spark, db, *names, batch=None, **kw):
+    rows = [(f"{n}.eml", bytearray(mail(**BASE, Subject=n).encode()), [], None, "eml") for n in names]
+    raw = spark.createDataFrame(rows, "path string, content binary, path_tags array<string>, seen_hint boolean, format string")
+    return store.write_parsed(parse_archive(raw), str(db), batch=batch, **kw)
+
+
+@pytest.mark.parametrize("batch", [None, "more"])
+@pytest.mark.parametrize("step", ["failed", "level_cells", "good"])
+def test_a_write_that_fails_half_way_leaves_the_old_archive(spark, tmp_path, monkeypatch, step, batch):
+    write(spark, tmp_path, "old")
+
+    def broken(*_):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, step, broken)
+        with pytest.raises(OSError, match="disk full"):
+            write(spark, tmp_path, "new", batch=batch)
+    assert subjects(spark, tmp_path) == ["old"] and store.open_errors(spark, str(tmp_path)).count() == 0
+    assert all(len(list((tmp_path / t).iterdir())) == 1 for t in store.TABLES)
+    write(spark, tmp_path, "new", batch=batch)
+    assert subjects(spark, tmp_path) == (["new"] if batch is None else ["new", "old"])
+
+
+def test_readers_follow_the_live_snapshot(spark, tmp_path):
+    db = str(tmp_path)
+    assert snapshots.current(spark, db) == snapshots.Snapshot()
+    write(spark, db, "a")
+    reader = store.open_emails(spark, db)
+    write(spark, db, "b", batch="x")
+    write(spark, db, "c", batch="x")  # takes its place
+    assert subjects(spark, db) == ["a", "c"]
+    assert [b.counts for b in snapshots.current(spark, db).batches] == [{"read": 1, "written": 1, "failed": 0}] * 2
+    write(spark, db, "d")
+    assert [r.subject for r in reader.collect()] == ["a"]  # the snapshot before stays
+    write(spark, db, "e")
+    assert subjects(spark, db) == ["e"] and len(list((tmp_path / "emails").iterdir())) == 2
+
+
+def test_of_two_writers_one_comes_first(spark, tmp_path):
+    db = str(tmp_path)
+    write(spark, db, "a")
+    base = snapshots.current(spark, db)
+    snapshots.commit(spark, db, base, base.batches)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, db, base, ())
+    with pytest.raises(snapshots.Conflict):
+        write(spark, db, "b", batch="x", expected=base.version)
+    assert subjects(spark, db) == ["a"] and not [p for p in (tmp_path / "_snapshots").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+    write(spark, db, "b", batch="x")
+    assert subjects(spark, db) == ["a", "b"]
+
+
+def test_a_new_import_tries_again_after_a_conflict(spark, boxes, tmp_path, monkeypatch):
+    db, real, calls = str(tmp_path / "db"), snapshots.commit, []
+
+    def late(spark, path, base, batches, era=None):
+        calls.append(base.version)
+        if len(calls) == 1:
+            real(spark, path, base, base.batches)  # someone else's
+        return real(spark, path, base, batches, era)
+
+    monkeypatch.setattr(snapshots, "commit", late)
+    import_new(spark, str(boxes[0]), db, name="mbox")
+    import_new(spark, str(boxes[0]), db, name="eml")
+    assert subjects(spark, db) == ["in a", "in a alone"]
+
+
+def test_settings_of_an_import_that_fails_are_not_kept(spark, boxes, tmp_path):
+    db = str(tmp_path / "db")
+    config = store.Config(db, str(boxes[0]), "mbox")
+    store.import_archive(spark, config)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.import_archive(spark, store.Config(db, str(tmp_path / "none"), "mbox")).count()
+    assert store.load_config(spark, db) == config and subjects(spark, db) == ["in a"]
+
+
+# --- counts kept by import, and pages
+
+
+def test_kept_counts_add_up_to_the_whole(spark, tmp_path):
+    for i in range(3):
+        write(spark, tmp_path, *[f"{i}-{j}" for j in range(4 + i)], batch=f"b{i}")
+    emails, cells = store.open_emails(spark, str(tmp_path)), store.open_cells(spark, str(tmp_path))
+    whole, kept = (sorted(map(str, df.collect())) for df in (Q.drill_cube(emails), Q.drill_cube(cells, weight="amount")))
+    assert whole == kept
+    assert Q.segments(cells, "year", weight="amount").collect() == Q.segments(emails, "year").collect()
+    assert "/cells/" in cells.inputFiles()[0] and not [f for f in cells.inputFiles() if "/emails/" in f]
+    write(spark, tmp_path, "other", batch="b1")
+    assert store.open_cells(spark, str(tmp_path)).agg(F.sum("amount")).first()[0] == 4 + 1 + 6
+    write(spark, tmp_path)
+    assert store.open_cells(spark, str(tmp_path)).count() == 0
+
+
+def test_every_mail_of_a_second_is_on_one_page(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "A.mbox").write_text("\n".join(entry(str(i)) for i in range(5)))
+    (tmp_path / "in" / "B.mbox").write_text(entry("b"))
+    store.import_archive(spark, store.Config(str(tmp_path / "db"), str(tmp_path / "in"), "mbox"))
+    write(spark, tmp_path / "db", "x", "y", batch="files")
+    emails, seen, after = store.open_emails(spark, str(tmp_path / "db")), [], None
+    while rows := Q.page_after(emails, ("subject",), after, 2).collect():
+        seen += [r.subject for r in rows]
+        after = tuple(rows[-1])[:3]
+    assert sorted(seen) == sorted(["0", "1", "2", "3", "4", "b", "x", "y"])
+
+
+def test_pages_of_a_ranked_table(spark, tmp_path):
+    df = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 7919 % 500).alias("datetime"), F.concat(F.lit("p"), F.col("id")).alias("path"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("position"))
+    Q.write_ranked(df.repartition(5), str(tmp_path / "r"), range_rows=90)
+    want = [r.path for r in df.orderBy("datetime", "path").collect()]
+    for start, end in ((0, 10), (85, 95), (300, 620), (995, 1200), (5000, 5010), (7, 7)):
+        rows = sorted(Q.ranked_page(spark, str(tmp_path / "r"), start, end).collect(), key=lambda r: r.place)
+        assert [r.path for r in rows] == want[start:end] and [r.place for r in rows] == list(range(start, min(end, 1000)) if start < 1000 else [])
+    plan = Q.ranked_page(spark, str(tmp_path / "r"), 500, 510)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*_range", plan)
+    Q.write_ranked(df.limit(0), str(tmp_path / "none"))
+    assert Q.ranked_page(spark, str(tmp_path / "none"), 0, 10).count() == 0
+    with pytest.raises(ValueError):
+        Q.ranked_page(spark, str(tmp_path / "r"), 5, 1)
