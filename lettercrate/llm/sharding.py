@@ -104,15 +104,17 @@ def assign(rows: DataFrame, mapping: list[tuple], n_slots: int = SLOTS) -> DataF
     """rows (from with_slots, with doc_id and size) with shard, slot (its number in the shard, from 0 without gaps) and
     map_version; columns with these names are replaced, others kept whatever their names.
 
-    The map's row counts must be those of rows. Rows are numbered within their virtual slot, and each virtual slot
-    starts where those before it in its shard end, so no task sees a whole shard. A map that lacks slots is refused.
+    The map says where a virtual slot belongs; how many rows it has is counted here, as the map may stem from other
+    rows (counts of at most n_slots slots reach the driver). Rows are numbered within their virtual slot, and each virtual
+    slot starts where those before it in its shard end, so no task sees a whole shard. A map that lacks slots is refused.
     No rows give no rows; repeated rows get a number each.
     """
     _whole(mapping, n_slots)
     starts, at = [], {}
-    for version, slot, shard, _, n in sorted(mapping, key=lambda x: (x[2], x[1])):
+    sizes = dict(rows.groupBy("virtual_slot").count().collect())
+    for version, slot, shard, _, _ in sorted(mapping, key=lambda x: (x[2], x[1])):
         starts.append((slot, version, shard, at.get(shard, 0)))
-        at[shard] = at.get(shard, 0) + n
+        at[shard] = at.get(shard, 0) + sizes.get(slot, 0)
     table = rows.sparkSession.createDataFrame(starts, "at int, version int, shard int, start bigint")
     kept = rows.drop("shard", "slot", "map_version")
     # the row travels as one column, so its names meet no others

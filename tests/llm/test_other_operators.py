@@ -187,6 +187,16 @@ def test_a_map_has_a_shard_for_rows_that_come_later(spark):
             refused()
 
 
+def test_slots_are_gapless_with_a_map_of_other_rows(spark):
+    few = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id bigint, text string")
+    more = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(4000)], "doc_id bigint, text string")
+    got = sharding.assign(sharding.with_slots(more), sharding.first_map(sharding.slot_sizes(sharding.with_slots(few)), 3)).collect()
+    for shard in range(3):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots))) and slots
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+
+
 # --- mixing
 
 
