@@ -103,7 +103,7 @@ def first_matches(docs: DataFrame, min_anchors: int = 2) -> DataFrame:
 
 def _cuts(docs: DataFrame, parts: int) -> list[list[int]]:
     """Ids that cut the documents with ids into about ``parts`` runs of equal counts, in two levels: the last id of every
-    upper run closes its list. At most some thousand lists of some thousand ids, however large the table."""
+    upper run closes its list. One id for each range, so the lists grow with the table (one for 2,000 rows)."""
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"))
     upper = min(1000, parts)
     quantiles = lambda n: [i / n for i in range(1, n + 1)]
