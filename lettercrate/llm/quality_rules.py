@@ -1,9 +1,9 @@
 """Quality rules: document counts, and a hashed n-gram likelihood ratio of trusted text to raw text.
 
-Words and pairs of neighbouring words are hashed into buckets, whose numbers grow in proportion to the corpus, one for
-at most ``load`` n-grams of it, up to two to the power of ``most_bits`` each. Two multinomials over the buckets are
-counted on all documents: one on the trusted documents, one on the raw corpus. A document's score is the mean, over
-its n-grams, of log(p_trusted / p_raw); documents whose score is below ``threshold`` are rejected.
+Words and pairs of neighbouring words are hashed into buckets, whose numbers grow in proportion to the corpus without a
+bound, one for at most ``load`` n-grams of it. Two multinomials over the buckets are counted on all documents: one on
+the trusted documents, one on the raw corpus. A document's score is the mean, over its n-grams, of
+log(p_trusted / p_raw); documents whose score is below ``threshold`` are rejected.
 
 Everything is DataFrame expressions. The two counts are one aggregation over exploded n-grams (combined before the
 shuffle, so a frequent word costs one row a task). The ratios of up to MOST_BROADCAST buckets (32 MB) become one array,
@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 
 from lettercrate.llm.common import discard, words_of, written
 
-#: Most n-grams of the corpus for each bucket, while there are fewer buckets than 1 << MOST_BITS for words and for pairs;
-#: least bits of a word's and a pair's bucket. Every task of the count shuffles a row for each bucket that it has met, so
-#: more bits cost disk in proportion; with fewer a bucket stands for more n-grams.
+#: Most n-grams of the corpus for each bucket; least bits of a word's and a pair's bucket. Every task of the count
+#: shuffles a row for each bucket that it has met, at most one for each of its own n-grams.
 LOAD = 128.0
 LEAST_BITS = (16, 18)
-MOST_BITS = 19
 #: Most buckets of a table that is one array (4 bytes each), and how many of them are gathered in one row on the way there.
 MOST_BROADCAST = 1 << 23
 CHUNK = 1 << 12
@@ -38,9 +36,9 @@ MICRO = 1_000_000
 
 
 def _marks(hashes: Column, word_bits: int) -> Column:
-    """16 bits of each word's hash, or 32 where the buckets need them: array<smallint> or array<int>, which is less than the
-    words themselves when shuffled."""
-    shift, kind = (48, "smallint") if word_bits <= 16 else (32, "int")
+    """16 bits of each word's hash, or 32 or all 64 where the buckets need them: array<smallint>, array<int> or
+    array<bigint>, of which the first two are less than the words themselves when shuffled."""
+    shift, kind = (48, "smallint") if word_bits <= 16 else (32, "int") if word_bits <= 32 else (0, "bigint")
     return F.transform(hashes, lambda h: F.shiftright(h, shift).cast(kind))
 
 
@@ -65,17 +63,18 @@ def _marks_of(text: Column, word_bits: int) -> Column:
     return _marks(F.transform(words_of(text), lambda w: F.xxhash64(w)), word_bits)
 
 
-def bits_for(docs: DataFrame, load: float = LOAD, most_bits: int = 32) -> tuple[int, int]:
-    """Bits of the word and pair buckets: one bucket for at most ``load`` words, or pairs, of all documents together, as
-    far as ``most_bits`` allow.
+def bits_for(docs: DataFrame, load: float = LOAD, most_bits: int | None = None) -> tuple[int, int]:
+    """Bits of the word and pair buckets: one bucket for at most ``load`` words, or pairs, of all documents together; fewer
+    where a caller sets ``most_bits``, which nothing here does.
 
-    The vocabulary grows more slowly than the corpus, so up to there a bucket never stands for more distinct n-grams as
-    the corpus grows.
+    The vocabulary grows more slowly than the corpus, so a bucket never stands for more distinct n-grams as the corpus
+    grows.
     """
     words = F.size(words_of(F.col("text"))).cast("long")
     counts = docs.agg(F.sum(words), F.sum(F.greatest(words - 1, F.lit(0).cast("long")))).first()
     needed = [max(0, int((n or 0) / load) - 1).bit_length() for n in counts]
-    return min(most_bits, max(LEAST_BITS[0], needed[0])), min(most_bits, max(LEAST_BITS[1], needed[1]))
+    bits = max(LEAST_BITS[0], needed[0]), max(LEAST_BITS[1], needed[1])
+    return bits if most_bits is None else (min(most_bits, bits[0]), min(most_bits, bits[1]))
 
 
 def with_counts(df: DataFrame, text: str = "text", word_bits: int = LEAST_BITS[0]) -> DataFrame:
@@ -146,8 +145,13 @@ def ratios(docs: DataFrame, trusted: DataFrame, bits: tuple[int, int], smoothing
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     rows = docs.select("doc_id", _marks_of(F.col("text"), bits[0]).alias("_marks"))
     few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-    # more ids than may be broadcast: the marks, not the texts, are shuffled to them
-    rows = rows.join(F.broadcast(ids) if few else ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    if few:
+        rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left")
+    else:
+        # more ids than may be broadcast: the marks, not the texts, are shuffled to them; rows without an id, which match none, are spread
+        spread = F.when(F.isnull("doc_id"), F.xxhash64("_marks")).otherwise(F.lit(0).cast("long"))
+        rows, ids = rows.withColumn("_spread", spread), ids.withColumn("_none", F.lit(0).cast("long"))
+        rows = rows.join(ids.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_spread") == F.col("_none")), "left")
     grams = rows.select("_trusted", F.explode(_grams(F.col("_marks"), bits)).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good")))
     n_raw, n_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
@@ -179,7 +183,7 @@ def _variable(one: DataFrame) -> tuple[str, Column]:
 
 
 def judge(
-    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, load: float = LOAD, carried: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST, most_bits: int = MOST_BITS
+    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, load: float = LOAD, carried: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST, most_bits: int | None = None
 ) -> DataFrame:
     """A row for each row of docs: doc_id, the counts, base_failed, kept, n_grams, score, and the carried columns.
 
