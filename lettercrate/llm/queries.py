@@ -141,7 +141,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir), pair_words=substring_dedup.PAIR_WORDS)
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), pair_words=substring_dedup.PAIR_WORDS, least_whole=2)
 
 
 def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,12 @@ is cut after every word whose hash is a multiple of CUT, so at the same words on
 shortest run of consecutive units with at least ``least_units`` units and ``least_words`` words is a span (with
 ``pair_words``, which the query sets, also one of two units with at least so many words), and so is
 the shortest one backwards from each unit, where no forward one is the same; a text too short for any is one span as a
-whole. Any longer run that repeats is covered by spans inside it: each of its units starts or ends one, or lies within
-one. Spans are hashed and joined
-over all documents; the units of every occurrence but the first (least doc_id, then least place) are removed. Texts are
+whole, if it has at least ``least_whole`` units (the query asks for two, so that a single sentence is never a run). Any longer run that repeats is covered by spans inside it: each of its units starts or ends one, or lies within
+one. Spans are hashed (96 bits: the least 64 and the next 32 of a 128-bit hash, since at 10^13 spans 64 bits alone would
+take about a million pairs of different runs for equal) and joined over all documents; the units of every occurrence but the first (least doc_id, then least place) are removed. Texts are
 read in linear time, whatever they hold.
 
-Only hashes and places are shuffled for the search, three numbers a span. The first place of a hash is an aggregate,
+Only hashes and places are shuffled for the search, four numbers a span. The first place of a hash is an aggregate,
 combined before the shuffle, so a passage that a third of all documents share costs a row a task there; in the join
 back Spark splits such a hash, as neither side is needed together.
 """
@@ -61,7 +61,7 @@ def _units(body: str, longest: int) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def _spans(counts: list[int], least_units: int, least_words: int, pair_words: int | None = None) -> dict[int, tuple[int, int]]:
+def _spans(counts: list[int], least_units: int, least_words: int, pair_words: int | None = None, least_whole: int = 1) -> dict[int, tuple[int, int]]:
     """{code: (first unit, end)} of the spans of a text whose units have these word counts. Codes: 0 for a whole text,
     twice the first unit and 2 more for those forwards from a unit, twice the end and 1 more for the others backwards."""
 
@@ -78,7 +78,7 @@ def _spans(counts: list[int], least_units: int, least_words: int, pair_words: in
         out[2 * first + 2] = (first, end)
         total -= counts[first]
     if not out:
-        return {0: (0, n)} if n else {}
+        return {0: (0, n)} if n >= max(1, least_whole) else {}
     total, first = 0, 0
     for end in range(1, n + 1):
         total += counts[end - 1]
@@ -95,41 +95,43 @@ def _mark(text: Column) -> Column:
     return F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32)
 
 
-def spans(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None) -> DataFrame:
-    """doc_id, at, hash: the spans of every document. at: the text's mark in the upper half, the span's code in the
-    lower one."""
-    schema = "doc_id bigint, at bigint, hash bigint"
+def spans(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None, least_whole: int = 1) -> DataFrame:
+    """doc_id, at, hash, check: the spans of every document. at: the text's mark in the upper half, the span's code in the
+    lower one; check: 32 bits of the hash beyond the 64 in hash. A doc_id that is no integer is null here."""
+    schema = "doc_id bigint, at bigint, hash bigint, check int"
 
     def per_batch(batches):
         import numpy as np
         import xxhash
 
         for batch in batches:
-            ids, places, hashes = [], [], []
+            ids, places, hashes, checks = [], [], [], []
             for doc, mark, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 units = [(" ".join(words), len(words)) for _, _, words in _units(body or "", longest)]
-                found = _spans([n for _, n in units], least_units, least_words, pair_words)
+                found = _spans([n for _, n in units], least_units, least_words, pair_words, least_whole)
                 for first, end in found.values():
-                    hashes.append(xxhash.xxh64_intdigest(" ".join([u for u, _ in units[first:end]]).encode("utf-8", "surrogatepass")))
+                    long = xxhash.xxh3_128_intdigest(" ".join([u for u, _ in units[first:end]]).encode("utf-8", "surrogatepass"))
+                    hashes.append(long & 0xFFFFFFFFFFFFFFFF)
+                    checks.append(long >> 64 & 0xFFFFFFFF)
                 ids += [doc] * len(found)
                 places += [(mark << 32) + code for code in found]
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "hash"])
+            hashed = pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(np.array(checks, dtype=np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), *hashed], names=["doc_id", "at", "hash", "check"])
 
-    return docs.select("doc_id", _mark(F.col("text")), "text").mapInArrow(per_batch, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _mark(F.col("text")), "text").mapInArrow(per_batch, schema)
 
 
-def repeated(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None) -> DataFrame:
+def repeated(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None, least_whole: int = 1) -> DataFrame:
     """doc_id, mark, codes: for documents with spans seen before the sorted codes of these."""
-    found = written(spans(docs, least_units, least_words, longest, pair_words))
+    found = written(spans(docs, least_units, least_words, longest, pair_words, least_whole))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "at")
-    firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = found.join(written(firsts.select("hash", "first")), "hash").where(place > F.col("first"))
+    firsts = found.groupBy("hash", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = found.join(written(firsts.select("hash", "check", "first")), ["hash", "check"]).where(place > F.col("first"))
     again = again.groupBy("doc_id", F.shiftright("at", 32).alias("mark"))
     return again.agg(F.sort_array(F.collect_list(F.col("at").bitwiseAND(0xFFFFFFFF))).alias("codes"))
 
 
-def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS, longest: int = LONGEST, pair_words: int | None = None, least_whole: int = 1) -> DataFrame:
     """A row for each row of docs: doc_id, removed_units (array<int>, their numbers from 0), removed_chars, text without
     them.
 
@@ -137,7 +139,7 @@ def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words:
     space alone have no units. Rows with the same doc_id and text count as one document: they are treated alike, and
     don't make each other's spans repeated. A null doc_id comes after all others. No rows give no rows.
     """
-    cut = repeated(docs, least_units, least_words, longest, pair_words).select(F.col("doc_id").alias("_id"), "mark", "codes")
+    cut = repeated(docs, least_units, least_words, longest, pair_words, least_whole).select(F.col("doc_id").alias("_id"), "mark", "codes")
     rows = docs.select("doc_id", "text", _mark(F.col("text")).alias("_mark"))
     rows = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["_mark"] == cut["mark"]), "left").select("doc_id", "text", "codes")
     schema = "doc_id bigint, removed_units array<int>, removed_chars int, text string"
@@ -151,7 +153,7 @@ def remove_repeats(docs: DataFrame, least_units: int = LEAST_UNITS, least_words:
                 if codes:
                     body = changed[row]
                     units = _units(body, longest)
-                    found = _spans([len(w) for _, _, w in units], least_units, least_words, pair_words)
+                    found = _spans([len(w) for _, _, w in units], least_units, least_words, pair_words, least_whole)
                     drop = {k for code in codes for k in range(*found[code])}
                     changed[row] = "".join([body[a:b] for i, (a, b, _) in enumerate(units) if i not in drop])
                     numbers[row], chars[row] = sorted(drop), len(body) - len(changed[row])

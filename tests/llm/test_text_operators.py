@@ -123,6 +123,19 @@ def test_quality_buckets_grow_with_the_corpus(spark, docs):
     many = spark.range(1200).select("id", F.expr("concat_ws(' ', transform(sequence(0, 499), x -> concat('w', id * 500 + x)))").alias("text"))
     word_bits, pair_bits = quality_rules.bits_for(many, 1.0)  # 600,000 words and about as many pairs
     assert (word_bits, pair_bits) == (20, 20)
+    # no bound: where words need more bits than a mark of 32 holds, the mark is the whole hash
+    assert quality_rules.bits_for(many, 1e-5) == (36, 36)
+    wide = docs.select("doc_id", quality_rules._marks_of(F.col("text"), 36).alias("m"))
+    assert wide.schema["m"].dataType.simpleString() == "array<bigint>"
+
+
+def test_quality_scores_with_many_buckets_and_many_trusted_ids(spark, docs, monkeypatch):
+    trusted = spark.createDataFrame([(1,), (2,), (None,)], "doc_id bigint")
+    as_set = lambda df: Counter((r.doc_id, r.kept, r.n_words, r.score is None) for r in df.collect())
+    want = as_set(quality_rules.judge(docs, trusted, load=1.0))
+    assert as_set(quality_rules.judge(docs, trusted, load=1e-9)) == want  # buckets of 40 bits or more, in a merge join
+    monkeypatch.setattr(quality_rules, "MOST_IDS", 1)
+    assert as_set(quality_rules.judge(docs, trusted, load=1.0)) == want
 
 
 def test_quality_scores_are_the_same_by_either_join(spark, docs):
@@ -595,6 +608,21 @@ def test_substring_dedup_finds_a_passage_with_two_whole_units(spark):
     assert got[1] == texts["x"] and whole not in got[2] and "yone" in got[2] and "yfour" in got[2]
 
 
+def test_substring_dedup_takes_no_single_sentence_for_a_run(spark):
+    rows = [(1, "one two"), (2, "one two"), (3, "Yes. No."), (4, "Yes. No."), (5, prose(60, 3)), (6, prose(60, 3))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df, least_whole=2).collect()}
+    assert got == {**dict(rows), 4: "", 6: ""}
+
+
+def test_spans_carry_more_of_the_hash_than_64_bits(spark):
+    text = "Here is a run of words. It has three sentences in all. That is enough."
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")
+    for r in substring_dedup.spans(df).collect():
+        long = xxhash.xxh3_128_intdigest(text.encode())
+        assert (r.hash, r.check) == (signed(long & (1 << 64) - 1), signed(long >> 64 & (1 << 32) - 1, 32))
+
+
 def test_units_join_to_the_text():
     for _, t in TEXTS:
         t = t or ""
