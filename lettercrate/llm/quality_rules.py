@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from lettercrate.llm.common import discard, words_of, written
 
-#: Most n-grams of the corpus for each bucket; least bits of a word's and a pair's bucket. Every task of the count
-#: shuffles a row for each bucket that it has met, at most one for each of its own n-grams.
+#: Most n-grams of the corpus for each bucket; least bits of a word's and a pair's bucket.
 LOAD = 128.0
 LEAST_BITS = (16, 18)
+#: Every task of the count shuffles a row for each bucket that it has met, so small tasks are put together, without a
+#: shuffle, up to about so many words each (some 100 MB of text, and as many buckets as a task's share of memory holds),
+#: while every core still has one.
+WORDS_PER_TASK = 1 << 24
 #: Most buckets of a table that is one array (4 bytes each), and how many of them are gathered in one row on the way there.
 MOST_BROADCAST = 1 << 23
 CHUNK = 1 << 12
@@ -63,6 +66,13 @@ def _marks_of(text: Column, word_bits: int) -> Column:
     return _marks(F.transform(words_of(text), lambda w: F.xxhash64(w)), word_bits)
 
 
+def _sizes(docs: DataFrame) -> tuple[int, int]:
+    """How many words and pairs of neighbouring words all documents have together."""
+    words = F.size(words_of(F.col("text"))).cast("long")
+    n = docs.agg(F.sum(words), F.sum(F.greatest(words - 1, F.lit(0).cast("long")))).first()
+    return n[0] or 0, n[1] or 0
+
+
 def bits_for(docs: DataFrame, load: float = LOAD, most_bits: int | None = None) -> tuple[int, int]:
     """Bits of the word and pair buckets: one bucket for at most ``load`` words, or pairs, of all documents together; fewer
     where a caller sets ``most_bits``, which nothing here does.
@@ -70,9 +80,11 @@ def bits_for(docs: DataFrame, load: float = LOAD, most_bits: int | None = None)
     The vocabulary grows more slowly than the corpus, so a bucket never stands for more distinct n-grams as the corpus
     grows.
     """
-    words = F.size(words_of(F.col("text"))).cast("long")
-    counts = docs.agg(F.sum(words), F.sum(F.greatest(words - 1, F.lit(0).cast("long")))).first()
-    needed = [max(0, int((n or 0) / load) - 1).bit_length() for n in counts]
+    return _bits(_sizes(docs), load, most_bits)
+
+
+def _bits(sizes: tuple[int, int], load: float, most_bits: int | None) -> tuple[int, int]:
+    needed = [max(0, int(n / load) - 1).bit_length() for n in sizes]
     bits = max(LEAST_BITS[0], needed[0]), max(LEAST_BITS[1], needed[1])
     return bits if most_bits is None else (min(most_bits, bits[0]), min(most_bits, bits[1]))
 
@@ -133,17 +145,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, bits: tuple[int, int], smoothing: float = SMOOTHING) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, bits: tuple[int, int], smoothing: float = SMOOTHING, tasks: int | None = None) -> DataFrame:
     """bucket, ratio (millionths of a nat): one row for each bucket that occurs in the corpus.
 
     Both multinomials get ``smoothing`` pseudo-counts a bucket, as many as are usual for their size, so an n-gram that
     is rare in the whole corpus says little about a document.
 
     trusted: doc_id of the trusted documents; repeated and null ids count once and never. Without any trusted
-    document every ratio is 0.
+    document every ratio is 0. The texts are read by at most ``tasks`` tasks, if given.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
-    rows = docs.select("doc_id", _marks_of(F.col("text"), bits[0]).alias("_marks"))
+    rows = docs.select("doc_id", "text")
+    rows = (rows.coalesce(tasks) if tasks else rows).select("doc_id", _marks_of(F.col("text"), bits[0]).alias("_marks"))
     few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
     if few:
         rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left")
@@ -191,8 +204,9 @@ def judge(
     A null text counts as empty. Documents with no words have score null and fail the base rules. Repeated rows get a
     row each; a null doc_id is kept as it is. An empty table gives an empty one.
     """
-    bits = bits_for(docs, load, most_bits)
-    table = ratios(docs, trusted, bits)
+    sizes = _sizes(docs)
+    bits = _bits(sizes, load, most_bits)
+    table = ratios(docs, trusted, bits, tasks=max(docs.sparkSession.sparkContext.defaultParallelism, -(-sizes[0] // WORDS_PER_TASK)))
     n_buckets = (1 << bits[0]) + (1 << bits[1])
     keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *carried]
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0).cast("long")).alias("n_grams")
