@@ -110,6 +110,14 @@ def filter_is(spark, sf_dir):
     return P.where(mail_view(spark, sf_dir), [P.equals("month", 7), P.equals("to_count", 3)], FIELDS).select("path")
 
 
+@query("SELECT path, is_reply, to_count, sender_domain FROM m WHERE is_reply = true AND to_count = 2 AND sender_domain = 'nation-3.example' AND subject <> 'x'' OR ''1'' = ''1'")
+def filter_literals(spark, sf_dir):
+    """A literal of each kind; one that holds quotes stays a text."""
+    other = lambda fields: ~P.equals("subject", "x' OR '1' = '1")(fields)
+    chosen = [P.equals("is_reply", True), P.equals("to_count", 2), P.equals("sender_domain", "nation-3.example"), other]
+    return FIELDS.select(P.where(mail_view(spark, sf_dir), chosen, FIELDS), "path", "is_reply", "to_count", "sender_domain")
+
+
 @query(
     "SELECT path FROM m WHERE is_send = false AND meta_is_seen = true AND is_reply = true "
     "AND list_contains(string_split(meta_tags, ':|:'), 'BUILDING') AND contains(lower(subject), '2-high')"
@@ -372,6 +380,41 @@ def import_gmail(spark, sf_dir):
     return stored(spark, sf_dir, files, "gmailvault").select(*CARRIED, F.array_join("tags", ":|:").alias("tags"), "is_seen")
 
 
+def line_items(spark: SparkSession, path: str) -> DataFrame:
+    """A format of one JSON object a line; files below a folder ``trash`` are left out."""
+    found = archives.files(spark, path, "*.txt", where=lambda p: ~F.contains(p, F.lit("/trash/")))
+    lines = found.select("path", "length", "modificationTime", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line != ''")
+    return archives.raw_rows(lines, F.col("path"), F.col("line").cast("binary"), F.array(F.lit("lines")), F.lit(None).cast("boolean"), "lines")
+
+
+def parse_lines(raw: DataFrame) -> DataFrame:
+    item = "sender_name string, sender_local_part string, sender_domain string, wall string, subject string, to_count bigint, to_group string, to_name string, to_address string, is_reply boolean"
+    rows = raw.withColumn("m", F.from_json(F.decode("content", "UTF-8"), item))
+    bad = F.col("m.sender_local_part").isNull()
+    return rows.select(
+        "path", "path_tags", "seen_hint", "format", "m.sender_name", F.concat("m.sender_local_part", F.lit("@"), "m.sender_domain").alias("sender_address"),
+        "m.sender_local_part", "m.sender_domain", "m.wall", F.lit(0).alias("zone_seconds"), "m.subject", "m.to_count", "m.to_group", "m.to_name", "m.to_address",
+        F.lit(False).alias("reply_to"), F.col("m.is_reply").alias("in_reply_to"), F.when(bad, "parse").alias("stage"), F.when(bad, "ValueError: no sender").alias("error"),
+    )
+
+
+@query(f"SELECT {CARRIED_SQL}, 'lines' AS tags FROM m WHERE CAST(string_split(path, '/')[2] AS BIGINT) % 3 <> 0")
+def import_own_format(spark, sf_dir):
+    """A format that the library doesn't know, with its reader, a condition on paths, and a parser; every third mail is in a
+    folder that the condition leaves out."""
+    folder, mails = shared_dir(spark), mail_view(spark, sf_dir)
+    item = F.to_json(F.struct(
+        "sender_name", "sender_local_part", "sender_domain", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("wall"), "subject",
+        F.when(F.col("to_address").isNull(), 0).otherwise(F.col("to_count")).alias("to_count"), "to_group", "to_name", "to_address", "is_reply",
+    ))
+    third = F.regexp_extract("path", r"(\d+)$", 1).cast("bigint") % 3 == 0
+    mails.where(~third).select(item.alias("value")).write.text(f"{folder}/box")
+    mails.where(third).select(item.alias("value")).write.text(f"{folder}/trash")
+    archives.register_format("lines", line_items, "One a line", parser=parse_lines)
+    rows = parse_archive(archives.read_archive(spark, folder, "lines"), own_addresses(spark, sf_dir), parser=archives.PARSERS["lines"])
+    return good(rows).select(*CARRIED, F.array_join("tags", ",").alias("tags"))
+
+
 @query("SELECT 'parse' AS stage, 'ValueError: no valid date' AS message, count(*) AS amount FROM orders WHERE o_orderkey % 10 = 0", mail=False)
 def import_errors(spark, sf_dir):
     """From the stored table of errors."""

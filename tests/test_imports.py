@@ -7,11 +7,14 @@ import json
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lettercrate.operators import query as Q
+from lettercrate.plans.rendering import write_files
 from lettercrate.sources import archives, snapshots, store
-from lettercrate.sources.parse import good, parse_archive, parse_headers, positioned
+from lettercrate.sources.parse import good, parse_archive, parse_headers, positioned, with_common
 from lettercrate.streaming.incremental import import_new, open_imported
 from tests.test_mail import BASE, mail
 
@@ -282,3 +285,69 @@ def test_pages_of_a_ranked_table(spark, tmp_path):
     assert Q.ranked_page(spark, str(tmp_path / "none"), 0, 10).count() == 0
     with pytest.raises(ValueError):
         Q.ranked_page(spark, str(tmp_path / "r"), 5, 1)
+
+
+NAMES = st.sampled_from(["", "Ann", "Ann  Bee", '"Bee, Ann"', '" "', '"a:b"', "a.b", "Ann (x)", "=?UTF-8?Q?J=C3=B8?=", '"x\\"y"', "Ann\n\tBee", "[x]", "J\xf8rn", "a;b", '"a;b"'])
+ADDRESSES = st.sampled_from(["a@b.example", "a.b+c@d", "bad", "a@b@c", '"q r"@x.example', "", "a @b", "x@[1.2.3.4]", "(c)a@b"])
+PEOPLE = st.builds(lambda n, a, angle, pad: f"{pad}{n} <{a}>{pad}" if angle else f"{pad}{a}", NAMES, ADDRESSES, st.booleans(), st.sampled_from(["", " ", "\n ", "\t"]))
+LISTS = st.builds(lambda people, end, form: form.format(",".join(people) + end), st.lists(PEOPLE, max_size=4), st.sampled_from(["", ",", ", ", ";"]), st.sampled_from(["{}", "{}", "Team:{};", "My\n Team : {}; ", "A:{};B:;", "{}, T: x@y.example;"]))
+DATES = st.sampled_from([
+    "Fri, 9 Jun 2006 00:44:16 -0700", "9 Jun 2006 00:44:16 +0530", "Fri, 31 Feb 2006 10:00:00 +0000", "Fri, 09 Jun 2006 00:44:16 GMT", "Fri, 9 Jun 2006 00:44 -0000", "9 Jun 06 1:2:3", "soon", "",
+    "Fri, 9 Jun 2006 25:61:61 -9999", "Fri,\n 9 Jun 2006 00:44:16 -0000", "Fri, 9 jun 2006 00:44:16 +0000", "Fri, 9 Jun 0050 00:44:16 +0000", "Fri, 9 Jun 2006 00:44:16 +0000 (UTC)",
+])
+TEXTS = st.sampled_from(["hello", "", "  two  words  ", "a\n b", "=?UTF-8?B?w6k=?=", "caf\xe9", "x\x1f", "tab\tx", "\n folded", "a\x0bb", "a\rb"])
+HEADER = st.one_of(
+    st.tuples(st.sampled_from(["From", "Sender", "To", "TO", "Reply-To"]), LISTS), st.tuples(st.sampled_from(["Subject", "In-Reply-To", "X-Other", "From ", "Bad Name", "", "To"]), TEXTS),
+    st.tuples(st.sampled_from(["Date", "date"]), DATES), st.tuples(st.just("From"), PEOPLE),
+)
+#: Mostly in the common forms, with white space and folds.
+PADS = st.sampled_from(["", "", " ", "\n ", "\t", "  "])
+SIMPLE = st.builds(
+    lambda name, address, before, after: f"{before}{name} <{address}>{after}" if name is not None else f"{before}{address}{after}",
+    st.sampled_from([None, "", "Ann", "Ann  Bee", '"Bee, Ann"', '" Ann  B "', '""', "Ann\n Bee", "a.b'c"]), st.sampled_from(["a@b.example", "a.b+c@d", "x-y_z@q.example"]), PADS, PADS,
+)
+EASY = st.builds(lambda people, form: form.format(",".join(people)), st.lists(SIMPLE, max_size=4), st.sampled_from(["{}", "{}", "{},", "Team:{};", "My\n Team : {}; ", "T:{}; ,"]))
+COMMON = st.builds(
+    lambda who, by, to, reply, earlier, subject, when, end, start: (
+        f"X-A: b\n{start}FROM:{who}\nDate: {when}\n" + (f"Sender: {by}\n" if by else "") + (f"To:{to}\nto: z@z\n" if to is not None else "") + (f"Reply-To:{reply}\n" if reply else "")
+        + (f"In-Reply-To:{earlier}\n" if earlier else "") + f"Subject:{subject}\n\nFrom: body"
+    ).replace("\n", end).encode(),
+    SIMPLE, st.none() | SIMPLE, st.none() | EASY, st.none() | EASY, st.sampled_from(["", " ", "<x@y>"]), st.sampled_from(["", " a  b ", "x\n y", "x: y"]), DATES,
+    st.sampled_from(["\n", "\r\n"]), st.sampled_from(["", "X-From: c@d\n", "Subject-2: n\n"]),
+)
+ODD = st.builds(
+    lambda pairs, gap, start, end, who, when: (start + "".join(f"{k}:{gap}{v}\n" for k, v in [*pairs, *who, *when]) + "\nbody").replace("\n", end).encode("utf-8" if len(pairs) % 2 else "latin-1"),
+    st.lists(HEADER, max_size=5), st.sampled_from(["", " ", "\t"]), st.sampled_from(["", "", "", "\n", "From x\n", " odd\n"]), st.sampled_from(["\n", "\r\n"]),
+    st.lists(st.just(("From", "Ann <a@b.example>")), max_size=1), st.lists(st.just(("Date", "Fri, 9 Jun 2006 00:44:16 -0700")), max_size=1),
+)
+
+
+MESSAGES = st.one_of(COMMON, ODD)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(MESSAGES, min_size=150, max_size=150))
+def test_expressions_read_headers_as_the_library_does(spark, messages):
+    raw = spark.createDataFrame([(f"{i:04d}", bytearray(m), [], None, "eml") for i, m in enumerate(messages)], "path string, content binary, path_tags array<string>, seen_hint boolean, format string")
+    fast, slow = (sorted(parse_headers(raw, by_library=b).collect(), key=lambda r: r.path) for b in (False, True))
+    for message, a, b in zip(messages, fast, slow, strict=True):
+        assert a == b, message
+
+
+def test_common_headers_dont_reach_python(spark):
+    long = ", ".join(f'"Name, {i}" <n{i}@x.example>' for i in range(5000))
+    heads = ["From: a@b.example\nDate: 9 Jun 2006 00:44:16 +0000\n", f"From: A <a@b.example>\r\nDate: Fri, 9 Jun 2006 00:44:16 +0000\r\nTo: {long}\r\n\r\n", "From: a\xe9@b.example\n", "X: " + " " * 200_000 + "\nFrom: a@b.example\n"]
+    rows = spark.createDataFrame([(str(i), bytearray(h.encode()), None, None) for i, h in enumerate(heads)], "path string, content binary, error string, text boolean")
+    found = sorted(with_common(rows).collect(), key=lambda r: r.path)
+    assert [r.common is not None for r in found] == [True, True, False, False]
+    assert (found[1].common.to_count, found[1].common.to_name, found[1].common.to_address) == (5000, "Name, 0", "n0@x.example")
+    assert rows.schema == with_common(rows).drop("common").schema and with_common(rows.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("start", ["", "file:", "file://"])
+def test_files_are_written_to_folders_of_any_name(spark, tmp_path, start):
+    folder = tmp_path / "My Mail + 50% #1 é"
+    rows = spark.createDataFrame([("a b/1.eml", "x"), ("2%20.eml", "y")], "name string, content string")
+    assert write_files(rows, f"{start}{folder}") == 2
+    assert (folder / "a b" / "1.eml").read_text() == "x" and (folder / "2%20.eml").read_text() == "y"
+    assert archives.files(spark, f"{start}{folder}", "*.eml").count() == 2
