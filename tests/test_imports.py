@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lettercrate.operators import query as Q
-from lettercrate.plans.rendering import write_files
+from lettercrate.plans.rendering import write_files, write_joined
 from lettercrate.sources import archives, snapshots, store
 from lettercrate.sources.parse import good, parse_archive, parse_headers, positioned, with_common
 from lettercrate.streaming.incremental import import_new, open_imported
@@ -351,3 +351,14 @@ def test_files_are_written_to_folders_of_any_name(spark, tmp_path, start):
     assert write_files(rows, f"{start}{folder}") == 2
     assert (folder / "a b" / "1.eml").read_text() == "x" and (folder / "2%20.eml").read_text() == "y"
     assert archives.files(spark, f"{start}{folder}", "*.eml").count() == 2
+
+
+def test_joined_files_are_written_as_rows_come(spark, tmp_path, monkeypatch):
+    from lettercrate import queries
+
+    rows = spark.createDataFrame([(f"{i % 3}.mbox", f"é{i}\n", 99 - i) for i in range(100)], "name string, content string, at int").repartition(7)
+    assert write_joined(rows, str(tmp_path / "a b"), ("at",), 2) == 100
+    for k in range(3):
+        assert (tmp_path / "a b" / f"{k}.mbox").read_text() == "\n".join(f"é{i}\n" for i in reversed(range(100)) if i % 3 == k)
+    monkeypatch.setattr(queries, "BOX_MAILS", 30)
+    assert queries.boxes_of(rows, 3) == 4 and queries.boxes_of(rows, 9) == 9
