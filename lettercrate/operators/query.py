@@ -126,10 +126,14 @@ def page_after(
 
 #: Rows of a range of a ranked table.
 RANGE_ROWS = 100_000
+#: Ranges of a ranked table, unless they would have more than RANGE_ROWS rows then: each costs the driver a task, a folder and a
+#: sample of its keys.
+RANGES = 256
 
 
 def write_ranked(df: DataFrame, path: str, order: Sequence[str] | None = None, fields: FieldMap = DEFAULT, range_rows: int = RANGE_ROWS) -> None:
-    """Writes df in order, cut into ranges of about ``range_rows`` rows, so that ranked_page() can open any page of it.
+    """Writes df in order, cut into ranges of about ``range_rows`` rows, so that ranked_page() can open any page of it. Where
+    that makes more than RANGES, ranges are longer, up to RANGE_ROWS rows.
 
     ``rows`` has a folder for each range; a row knows its place in it. ``ranges`` has a row for each range with the number
     of rows before it. One shuffle, by range; no task sorts more than a range. Rows that agree in all ordering fields are
@@ -137,7 +141,8 @@ def write_ranked(df: DataFrame, path: str, order: Sequence[str] | None = None, f
     """
     order = tuple(order or page_order(df))
     keys = [_order_key(n, fields) for n in order]
-    n = -(-df.count() // range_rows)
+    total = df.count()
+    n = min(-(-total // range_rows), max(RANGES, -(-total // RANGE_ROWS)))
     rows = df.repartitionByRange(max(1, n), *keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = rows.withColumns({"_place": place, "_range": F.spark_partition_id()})

@@ -362,3 +362,13 @@ def test_joined_files_are_written_as_rows_come(spark, tmp_path, monkeypatch):
         assert (tmp_path / "a b" / f"{k}.mbox").read_text() == "\n".join(f"é{i}\n" for i in reversed(range(100)) if i % 3 == k)
     monkeypatch.setattr(queries, "BOX_MAILS", 30)
     assert queries.boxes_of(rows, 3) == 4 and queries.boxes_of(rows, 9) == 9
+
+
+def test_a_ranked_table_has_few_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "RANGES", 8)
+    monkeypatch.setattr(Q, "RANGE_ROWS", 500)
+    df = spark.range(3000).select(F.timestamp_seconds(F.col("id") * 7919 % 3000).alias("datetime"), F.col("id").cast("string").alias("path"))
+    Q.write_ranked(df, str(tmp_path / "r"), range_rows=10)
+    assert spark.read.parquet(str(tmp_path / "r/ranges")).count() <= 8
+    rows = sorted(Q.ranked_page(spark, str(tmp_path / "r"), 700, 720).collect(), key=lambda r: r.place)
+    assert [r.path for r in rows] == [r.path for r in df.orderBy("datetime", "path").collect()][700:720]
