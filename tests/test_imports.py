@@ -372,3 +372,13 @@ def test_a_ranked_table_has_few_ranges(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "r/ranges")).count() <= 8
     rows = sorted(Q.ranked_page(spark, str(tmp_path / "r"), 700, 720).collect(), key=lambda r: r.place)
     assert [r.path for r in rows] == [r.path for r in df.orderBy("datetime", "path").collect()][700:720]
+
+
+def test_mails_as_files_come_in_rounds(spark, monkeypatch):
+    from lettercrate import queries
+
+    sizes, write = [], queries.write_files
+    monkeypatch.setattr(queries, "ROUND_MAILS", 600)
+    monkeypatch.setattr(queries, "write_files", lambda rows, folder: sizes.append(write(rows, folder)))
+    assert queries.QUERIES["import_emlx"](spark, "/root/testdata/sf0.001").count() == sum(sizes) == 1500
+    assert len(sizes) == 3 and max(sizes) < 700
