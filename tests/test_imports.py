@@ -382,3 +382,13 @@ def test_mails_as_files_come_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(queries, "write_files", lambda rows, folder: sizes.append(write(rows, folder)))
     assert queries.QUERIES["import_emlx"](spark, "/root/testdata/sf0.001").count() == sum(sizes) == 1500
     assert len(sizes) == 3 and max(sizes) < 700
+
+
+def test_texts_are_read_from_their_place(spark, tmp_path):
+    from lettercrate.queries import texts_at
+
+    (tmp_path / "A é.mbox").write_text("0123456789")
+    rows = spark.createDataFrame([(f"file:{tmp_path}/A é.mbox", i, str(i), "x") for i in (7, 0, 9)], "path string, position bigint, subject string, sender_local_part string")
+    found = texts_at(rows, str(tmp_path), 4)
+    assert {r.subject: bytes(r.text) for r in found.collect()} == {"0": b"0123", "7": b"789", "9": b"9"}
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
