@@ -392,3 +392,15 @@ def test_texts_are_read_from_their_place(spark, tmp_path):
     found = texts_at(rows, str(tmp_path), 4)
     assert {r.subject: bytes(r.text) for r in found.collect()} == {"0": b"0123", "7": b"789", "9": b"9"}
     assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_headers_are_read_without_the_library(spark):
+    from lettercrate.sources.parse import _common_reader
+
+    read = _common_reader()
+    long = ", ".join(f'"Name, {i}" <n{i}@x.example>' for i in range(5000))
+    head = f'From: a@b.example\r\nDate: Fri, 9 Jun 2006 00:44:16 -0730\r\nto:\t"A  b" <c@d.example>,\r\n {long} \r\nTO: z@z\r\nSubject: s t \r\n\r\nbody: x'
+    want = ("", "a@b.example", "a", "b.example", "2006-06-09 00:44:16", -27000, "s t", 5001, None, "A  b", "c@d.example", False, False)
+    assert read(head.encode()) == want
+    odd = ["", "\n", "no header\n", "bad name: x\n", "From a: b\n", "X: a\rb\n", "X: \xe9\n", "X: =?utf-8?q?x?=\n", "To: a\n", "Date: 9 Jun 06 1:2:3\n", "Sender:\n", "Reply-To: x\n"]
+    assert [read(f"{o}From: a@b.example\nDate: 9 Jun 2006 00:44:16 +0000\n".encode()) for o in odd[1:]] == [None] * (len(odd) - 1) and read(b"") is read(None) is None
