@@ -133,7 +133,8 @@ def write_parsed(
     try:
         seen, fails, items = Observation(), F.col("error").isNotNull(), F.coalesce(~F.col("place.text"), F.lit(True))
         parsed.observe(seen, F.count_if(items).alias("read"), F.count_if(items & fails).alias("failed")).write.parquet(staging)
-        kept = every = positioned(spark.read.schema(parsed.schema).parquet(staging), sizes)
+        every = spark.read.schema(parsed.schema).parquet(staging)
+        kept = positioned(every, sizes)
         if since is not None:
             kept = kept.join(F.broadcast(since.select("path", "start")), "path", "left").where("start is null or coalesce(position >= start, true)").drop("start")
             found = kept.agg(F.count_if(items).alias("read"), F.count_if(items & fails).alias("failed")).first().asDict()
@@ -146,7 +147,7 @@ def write_parsed(
         mails = good(kept)
         write_emails(mails, f"{path}/emails/{new.folder}")
         tell("written", counts["written"])
-        failed(kept).write.parquet(f"{path}/errors/{new.folder}")
+        failed(every if since is None else kept).write.parquet(f"{path}/errors/{new.folder}")  # places are only needed to choose by them
         known = every.select(file_key("path", "format").alias("key"), "path", F.col("place.file_length").alias("length"), F.col("place.file_time").alias("modified"))
         if files is not None:
             known = known.unionByName(files.select(F.col("path").alias("key"), "path", "length", "modified"))

@@ -96,7 +96,8 @@ def _import_mbox(spark: SparkSession, folder: str, database_path: str, senders,
         # a share of a file that ends before what is new isn't parsed; where the rest begins is known from the sizes
         unread = parts.join(F.broadcast(since), "path", "left").where("start is null or block_end >= start").drop("start")
         parsed = parse_archive(archives.mbox_rows(unread), senders, parts=True)
-        write_parsed(parsed, database_path, batch=f"new-mbox-{base.version + 1}", progress=progress, sizes=sizes, since=since, files=read, expected=base.version)
+        some = {"sizes": sizes, "since": since} if any(r["start"] is not None for r in rows) else {}  # files that are all new are parsed whole, in one scan
+        write_parsed(parsed, database_path, batch=f"new-mbox-{base.version + 1}", progress=progress, files=read, expected=base.version, **some)
         return True
 
     while True:

@@ -404,3 +404,17 @@ def test_common_headers_are_read_without_the_library(spark):
     assert read(head.encode()) == want
     odd = ["", "\n", "no header\n", "bad name: x\n", "From a: b\n", "X: a\rb\n", "X: \xe9\n", "X: =?utf-8?q?x?=\n", "To: a\n", "Date: 9 Jun 06 1:2:3\n", "Sender:\n", "Reply-To: x\n"]
     assert [read(f"{o}From: a@b.example\nDate: 9 Jun 2006 00:44:16 +0000\n".encode()) for o in odd[1:]] == [None] * (len(odd) - 1) and read(b"") is read(None) is None
+
+
+def test_tags_of_mailboxes_are_names_up_to_the_last_dot(spark):
+    names = {"A.mbox": "A", "a.b.mbox": "a.b", ".mbox": ".mbox", "x.mbox/part": "part", "x.mbox/part-1.c000.txt": "part-1.c000", "x.mbox/a.": "a"}
+    parts = spark.createDataFrame([(f"file:/d.e/{n}", "x 2001\n") for n in names], "path string, value string")
+    assert {r.path.removeprefix("file:/d.e/"): r.path_tags[0] for r in archives.mbox_rows(parts).collect()} == names
+
+
+def test_a_write_shuffles_no_mails_for_their_positions(spark, tmp_path):
+    (tmp_path / "A.mbox").write_text("\n".join(entry(str(i)) for i in range(5)))
+    parsed = parse_archive(archives.read_mbox(spark, str(tmp_path)), parts=True)
+    parsed.write.parquet(str(tmp_path / "parsed"))
+    plan = positioned(spark.read.schema(parsed.schema).parquet(str(tmp_path / "parsed")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
