@@ -69,7 +69,7 @@ def _import_files(spark: SparkSession, folder: str, database_path: str, senders,
             new = found.join(open_files(spark, database_path).select("key"), "key", "left_anti")
             paths = [archives.escaped(r["path"]) for r in new.groupBy("key").agg(F.max("path").alias("path")).collect()]  # no more than files_per_batch
             if paths:
-                mails = spark.read.format("binaryFile").options(**options).load(paths)
+                mails = archives.in_few_tasks(spark.read.format("binaryFile").options(**options).load(paths))
                 write_parsed(parse_archive(raw_of(mails), senders, parts=True), database_path, batch=key, progress=progress, expected=base.version)
 
         _again(attempt)

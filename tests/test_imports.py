@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lettercrate.operators import query as Q
-from lettercrate.plans.rendering import write_files, write_joined
+from lettercrate.plans.rendering import delete_files, write_files, write_joined
 from lettercrate.sources import archives, snapshots, store
 from lettercrate.sources.parse import good, parse_archive, parse_headers, positioned, with_common
 from lettercrate.streaming.incremental import import_new, open_imported
@@ -418,3 +418,29 @@ def test_a_write_shuffles_no_mails_for_their_positions(spark, tmp_path):
     parsed.write.parquet(str(tmp_path / "parsed"))
     plan = positioned(spark.read.schema(parsed.schema).parquet(str(tmp_path / "parsed")))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def small_files(spark, folder, names):
+    rows = spark.createDataFrame([(n, mail(**BASE, Subject=n)) for n in names], "name string, content string")
+    assert write_files(rows, str(folder)) == len(names)
+    return rows
+
+
+def test_archives_of_small_files_are_read_by_few_tasks(spark, tmp_path):
+    small_files(spark, tmp_path, [f"A.mbox/{i}.emlx" for i in range(100)] + [f"{i}.eml" for i in range(100)] + [f"box/new/{i}" for i in range(100)])
+    most, before = archives.TASKS_PER_CORE * spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a partition a file
+        for name, below in (("apple", ""), ("gmailvault", ""), ("maildir", "/box")):
+            raw = archives.read_archive(spark, f"{tmp_path}{below}", name)
+            assert raw.count() == 100
+            assert raw.rdd.getNumPartitions() <= most, name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_are_deleted_by_tasks(spark, tmp_path):
+    rows = small_files(spark, tmp_path / "a b", ["x/1 é.eml", "x/2.eml", "3.eml"])
+    assert delete_files(rows.where("name != '3.eml'"), f"file://{tmp_path}/a b") == 2
+    assert [str(p.relative_to(tmp_path)) for p in sorted(tmp_path.rglob("*"))] == ["a b", "a b/3.eml", "a b/x"]
+    assert delete_files(rows, str(tmp_path / "a b")) == 3 and not list(tmp_path.rglob("*.eml"))  # a second try
