@@ -439,6 +439,14 @@ def test_archives_of_small_files_are_read_by_few_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_files_of_a_maildir_are_opened_once(spark, tmp_path):
+    seen = {"new/1": False, "new/2:2,S": False, "cur/3:2,RS": True, "cur/4:2,R": False, ".Work/cur/5:2,S": True, ".Work/new/6": False, "cur/.7:2,S": None, "tmp/8": None}
+    small_files(spark, tmp_path / "box", list(seen))
+    raw = archives.read_archive(spark, str(tmp_path / "box"), "maildir")
+    assert {r.path.split("/box/")[1]: r.seen_hint for r in raw.collect()} == {k: v for k, v in seen.items() if v is not None}
+    assert raw._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") == 1
+
+
 def test_files_are_deleted_by_tasks(spark, tmp_path):
     rows = small_files(spark, tmp_path / "a b", ["x/1 é.eml", "x/2.eml", "3.eml"])
     assert delete_files(rows.where("name != '3.eml'"), f"file://{tmp_path}/a b") == 2
