@@ -452,3 +452,14 @@ def test_files_are_deleted_by_tasks(spark, tmp_path):
     assert delete_files(rows.where("name != '3.eml'"), f"file://{tmp_path}/a b") == 2
     assert [str(p.relative_to(tmp_path)) for p in sorted(tmp_path.rglob("*"))] == ["a b", "a b/3.eml", "a b/x"]
     assert delete_files(rows, str(tmp_path / "a b")) == 3 and not list(tmp_path.rglob("*.eml"))  # a second try
+
+
+def test_rounds_are_counted_in_files_and_leave_none(spark, monkeypatch):
+    from lettercrate import queries
+
+    sizes, write, place = [], queries.write_files, []
+    monkeypatch.setattr(queries, "ROUND_MAILS", 1000)
+    monkeypatch.setattr(queries, "write_files", lambda rows, folder: (place.append(folder), sizes.append(write(rows, folder))))
+    assert queries.QUERIES["import_gmail"](spark, "/root/testdata/sf0.001").count() * 2 == sum(sizes) == 3000
+    assert len(sizes) == 3 and max(sizes) < 1200
+    assert not any(snapshots.file_system(spark, f)[0].exists(snapshots.file_system(spark, f)[1](f)) for f in place)
